@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treelake.llm import bpe, secrets, telephony, url_filter
+from treelake.llm import bpe, fingerprint, mixing, secrets, telephony, url_filter
 from treelake.llm._spark import table
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -37,6 +38,50 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND k = 1
 """
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS m FROM documents
+), sources AS MATERIALIZED (
+  SELECT source, sum(tokens)::BIGINT AS total FROM docs GROUP BY source HAVING sum(tokens) > 0
+), shares AS MATERIALIZED (
+  SELECT source, total, total / (SELECT sum(total)::DOUBLE FROM sources) AS p, (SELECT count(*) FROM sources) AS n, (SELECT min(total) / sum(total)::DOUBLE FROM sources) AS least FROM sources
+), flat(k, low, high, mid) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END, (CASE WHEN ok THEN mid ELSE low END + CASE WHEN ok THEN high ELSE mid END) / 2
+  FROM (SELECT k, any_value(low) AS low, any_value(high) AS high, any_value(mid) AS mid, ln(sum(p ** mid)) - any_value(mid) * sum(p ** mid * ln(p)) / sum(p ** mid) >= 0.98 * ln(any_value(n)) - 1e-12 AS ok FROM flat, shares GROUP BY k)
+  WHERE k < 40
+), often(k, low, high, mid) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END, (CASE WHEN ok THEN mid ELSE low END + CASE WHEN ok THEN high ELSE mid END) / 2
+  FROM (SELECT k, any_value(low) AS low, any_value(high) AS high, any_value(mid) AS mid, any_value(least) ** (any_value(mid) - 1) / sum(p ** mid) > 4.0 AS ok FROM often, shares GROUP BY k)
+  WHERE k < 40
+), exponent AS (
+  SELECT CASE WHEN (SELECT count(*) FROM sources) < 2 THEN 1.0 ELSE round(greatest((SELECT low FROM flat WHERE k = 40), (SELECT low FROM often WHERE k = 40)), 6) END AS a
+), weights AS (
+  SELECT source, total, p ** a / (SELECT sum(p ** a) FROM shares, exponent) AS weight FROM shares, exponent
+), quotas AS (
+  SELECT source, total, weight, floor(round(weight * (SELECT sum(total)::DOUBLE FROM sources), 3))::BIGINT AS quota FROM weights
+), laid AS (
+  SELECT d.doc_id, d.source, d.tokens, d.m, weight, quota // total AS whole, quota % total AS rest, pass,
+         md5(concat_ws('|', '20', pass, d.doc_id, d.m)) AS "order"
+  FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source, unnest(range(quota // total + 1)) t(pass)
+), summed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source, pass ORDER BY "order", doc_id, m ROWS UNBOUNDED PRECEDING) AS until FROM laid
+)
+SELECT doc_id, source, tokens, round(weight, 9) AS weight, pass::INT AS pass, "order" FROM summed WHERE pass < whole OR (until <= rest AND rest > 0)
+"""
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(table(spark, sf_dir, "documents"))
 
@@ -54,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_mixing": OP4_SQL}
