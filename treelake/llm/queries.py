@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm import bpe, fingerprint, mixing, secrets, telephony, url_filter
+from treelake.llm import bpe, fingerprint, hmm, langid, mixing, secrets, telephony, toxicity, url_filter
 from treelake.llm._spark import table
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -48,7 +48,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE docs AS MATERIALIZED (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS m FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS m FROM documents
 ), sources AS MATERIALIZED (
   SELECT source, sum(tokens)::BIGINT AS total FROM docs GROUP BY source HAVING sum(tokens) > 0
 ), shares AS MATERIALIZED (
@@ -82,14 +83,33 @@ SELECT doc_id, source, tokens, round(weight, 9) AS weight, pass::INT AS pass, "o
 """
 
 
+def remainder(k: int, key: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo k."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % k
+
+
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda i: F.crc32(i.cast("string").cast("binary")) % 4 != 2)
+    return toxicity.score(docs, machine, remainder(4) == 2)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), remainder(4) == 2)
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(table(spark, sf_dir, "documents"))
 
