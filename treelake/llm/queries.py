@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm import bpe, fingerprint, hmm, langid, mixing, secrets, telephony, toxicity, url_filter
+from treelake.llm import bpe, fingerprint, hmm, jaccard, langid, mixing, secrets, telephony, toxicity, url_filter
 from treelake.llm._spark import table
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -110,6 +110,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), remainder(4) == 2)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(table(spark, sf_dir, "documents"))
 
