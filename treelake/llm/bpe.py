@@ -193,23 +193,47 @@ def read_file(path: str | None) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, ids array<long>, decoded string) for each row; path: the vocabulary's file, read on the driver."""
-    from treelake.llm._arrow import col, map_texts
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, n_tokens, ids array<int>) for each row; path: the vocabulary's file, read on the driver."""
+    import numpy as np
+    import pyarrow as pa
+
+    from treelake.llm._arrow import col, map_columns
 
     file = df.sparkSession.sparkContext.broadcast(read_file(path))
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
+    rows = df.select(col(id_col).alias("i"), col(text_col).cast("string").alias("t"), *(col(c).alias(f"x{k}") for k, c in enumerate(carry)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "t"}
 
     def start():
         bpe = load(file.value)
 
-        def run(keys, texts):
+        def run(keys, texts, *more):
             got = [bpe.encode(t) for t in texts]
-            yield {"i": keys, "ids": [memoryview(g).cast("I").tolist() for g in got], "decoded": [bpe.decode(g) for g in got]}
+            n = np.array([len(g) // 4 for g in got])
+            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.frombuffer(b"".join(got), np.int32))
+            yield {"i": keys} | {f"x{k}": v for k, v in enumerate(more)} | {"n_tokens": n.tolist(), "ids": ids}
 
         return run
 
-    return map_texts(df, id_col, text_col, f"i {kind}, ids array<long>, decoded string", start).selectExpr(f"i as `{id_col}`", "ids", "decoded")
+    out = map_columns(rows, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", n_tokens long, ids array<int>", start)
+    return out.select(out["i"].alias(id_col), *(out[f"x{k}"].alias(c) for k, c in enumerate(carry)), "n_tokens", "ids")
+
+
+def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """(id, decoded string) of arrays of ids; null ids decode to null."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from treelake.llm._arrow import col
+
+    file = df.sparkSession.sparkContext.broadcast(read_file(path))
+
+    @pandas_udf("string")
+    def strings(ids: pd.Series) -> pd.Series:
+        names = load(file.value).strings
+        return ids.map(lambda x: None if x is None else " ".join([names[int(i)] for i in x]))
+
+    return df.select(col(id_col), strings(col(ids_col)).alias("decoded"))
 
 
 def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

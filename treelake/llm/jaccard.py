@@ -341,3 +341,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     docs = df.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t"))
     out = Join(docs, size, num, den, leaf).run()
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of df, all columns, but of each group of linked documents only the one with the least id.
+
+    Of rows that share an id one stays; rows with a null id, which no other row can stand for, all stay.
+    """
+    found = link(df, id_col, text_col, size, num, den)
+    chosen = found.where(col(id_col) == F.col("component_id")).select(col(id_col).alias("__kept")).distinct()
+    known = df.where(col(id_col).isNotNull()).join(chosen, col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    return known.dropDuplicates([id_col]).unionByName(df.where(col(id_col).isNull()))

@@ -90,6 +90,46 @@ def weights(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY
     return sources.select("source", "tokens", F.lit(a).alias("exponent"), weight.alias("weight"), F.floor(F.round(weight * F.lit(float(budget)), 3)).alias("quota"))
 
 
+def _order(seed: int, pass_, i, m):
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), pass_.cast("string"), i.cast("string"), m))
+
+
+def cuts(docs: DataFrame, budget: int | None, entropy: float, repeats: float, seed: int) -> DataFrame:
+    """docs: (i, source, tokens, m). Of each source: weight, whole passes, and where its last pass ends (block and key)."""
+    quotas = weights(docs.select("source", "tokens"), budget, entropy, repeats)
+    quotas = quotas.withColumn("whole", F.floor(F.col("quota") / F.col("tokens")).cast("int"))
+    quotas = written(quotas.select(F.col("source").alias("qs"), "weight", "whole", (F.col("quota") - F.col("whole") * F.col("tokens")).alias("rest")), "mix-quotas")
+    # Sources can be many: the join is left to Spark, which broadcasts a small side and splits a hot source's rows.
+    laid = docs.join(quotas, F.col("source").eqNullSafe(F.col("qs"))).drop("qs").withColumn("order", _order(seed, F.col("whole"), F.col("i"), F.col("m")))
+    laid = laid.withColumn("block", F.substring("order", 1, BLOCK_DIGITS))
+    blocks = laid.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    sums = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.withColumn("until", F.sum("n").over(sums)).withColumn("before", F.col("until") - F.col("n"))
+    ends = blocks.where("rest > 0 AND before <= rest AND until > rest").select(F.col("source").alias("es"), F.col("block").alias("end"), (F.col("rest") - F.col("before")).alias("left"))
+    ends = written(ends, "mix-ends")
+    ordered = Window.partitionBy("source").orderBy("order", "i", "m").rowsBetween(Window.unboundedPreceding, 0)
+    inside = laid.join(ends, F.col("source").eqNullSafe(F.col("es")) & (F.col("block") == F.col("end")))
+    inside = inside.withColumn("sum", F.sum("tokens").over(ordered)).where("sum <= left")
+    last = inside.groupBy("source").agg(F.max(F.struct("order", "i", "m")).alias("last")).select(F.col("source").alias("ls"), "last")
+    out = quotas.join(ends.drop("left"), F.col("qs").eqNullSafe(F.col("es")), "left").join(last, F.col("qs").eqNullSafe(F.col("ls")), "left")
+    return written(out.select("qs", "weight", "whole", "rest", "end", "last"), "mix-cuts")
+
+
+def _passes(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:
+    """rows: with columns i, source, m. A row for each pass that takes it."""
+    out = rows.join(found, F.col("source").eqNullSafe(F.col("qs"))).drop("qs")
+    out = out.withColumn("order", _order(seed, F.col("whole"), F.col("i"), F.col("m")))
+    begun = (F.substring("order", 1, BLOCK_DIGITS) < F.col("end")) | (F.col("last").isNotNull() & (F.struct("order", "i", "m") <= F.col("last")))
+    count = F.col("whole") + F.when((F.col("rest") > 0) & F.coalesce(begun, F.lit(False)), 1).otherwise(0)
+    return out.where(count > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), count - 1)))
+
+
+def _slim(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    key = F.md5(F.coalesce(col(text_col), F.lit("")))
+    docs = df.select(col(id_col).alias("i"), col(source_col).cast("string").alias("source"), token_count(col(text_col)).alias("tokens"), key.alias("m"))
+    return written(docs, "mix-docs")  # texts are read once; what follows reads ids and counts
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -105,28 +145,25 @@ def mix(
     Training order is by ``order`` within each pass; budget: tokens, those of df
     by default.
     """
-    key = F.md5(F.coalesce(col(text_col), F.lit("")))
-    docs = df.select(col(id_col).alias("i"), col(source_col).cast("string").alias("source"), token_count(col(text_col)).alias("tokens"), key.alias("m"))
-    docs = written(docs, "mix-docs")  # texts are read once; what follows reads ids and counts
-    quotas = weights(docs.select("source", "tokens"), budget, entropy, repeats)
-    # Sources can be many: the join is left to Spark, which splits a hot source's rows.
-    passes = F.floor(F.col("quota") / F.col("total")).cast("int")
-    docs = docs.alias("d").join(quotas.select(F.col("source").alias("qs"), F.col("tokens").alias("total"), "weight", "quota"), F.col("source").eqNullSafe(F.col("qs")))
-    docs = docs.withColumn("full", passes).withColumn("rest", F.col("quota") - F.col("full") * F.col("total"))
-    docs = docs.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.col("i").cast("string"), F.col("m"))))
-    docs = docs.withColumn("block", F.substring("order", 1, BLOCK_DIGITS)).drop("qs")
-    blocks = docs.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
-    sums = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("until", F.sum("block_tokens").over(sums)).withColumn("before", F.col("until") - F.col("block_tokens"))
-    # Of each source: the block in which its quota ends, and the tokens left for it.
-    ends = blocks.where("before <= rest AND until > rest").select(F.col("source").alias("es"), F.col("block").alias("end"), (F.col("rest") - F.col("before")).alias("left"))
-    docs = docs.join(ends, F.col("source").eqNullSafe(F.col("es")), "left").drop("es")
-    inside = docs.where("block = end")
-    ordered = Window.partitionBy("source").orderBy("order", "i", "m").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("sum", F.sum("tokens").over(ordered)).where("sum <= left").drop("sum")
-    partial = docs.where("rest > 0 AND (end IS NULL OR block < end)").unionByName(inside)
-    whole = docs.where("full > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    whole = whole.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.col("i").cast("string"), F.col("m"))))
-    names = ["i", "source", "tokens", "weight", "pass", "order"]
-    out = whole.select(names).unionByName(partial.withColumn("pass", F.col("full")).select(names))
-    return out.withColumnRenamed("i", id_col)
+    docs = _slim(df, id_col, text_col, source_col)
+    out = _passes(docs, cuts(docs, budget, entropy, repeats, seed), seed)
+    return out.select(F.col("i").alias(id_col), "source", "tokens", "weight", "pass", _order(seed, F.col("pass"), F.col("i"), F.col("m")).alias("order"))
+
+
+def mixed_rows(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    budget: int | None = None,
+    entropy: float = ENTROPY,
+    repeats: float = REPEATS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Rows of df, all columns, each as often as it is taken."""
+    docs = _slim(df, id_col, text_col, source_col)
+    names = [f"c{k}" for k in range(len(df.columns))]
+    rows = df.toDF(*names)
+    at = dict(zip(df.columns, names))
+    rows = rows.withColumns({"i": F.col(at[id_col]), "source": F.col(at[source_col]).cast("string"), "m": F.md5(F.coalesce(F.col(at[text_col]), F.lit("")))})
+    return _passes(rows, cuts(docs, budget, entropy, repeats, seed), seed).select(names).toDF(*df.columns)

@@ -157,3 +157,32 @@ def scan_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = f"i {kind}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string"
     return map_texts(df, id_col, text_col, schema, start).selectExpr(f"i as `{id_col}`", *names, "base_sha256", "spans")
+
+
+def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", ranks_path: str | None = None) -> DataFrame:
+    """df with each secret in its text replaced, and the count of characters set to the new text's."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from treelake.llm._arrow import slices
+
+    make = scanner(df.sparkSession, ranks_path)
+    at = df.columns.index(text_col)
+    chars = df.columns.index(chars_col) if chars_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = make()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices(batch, texts):
+                part = batch.slice(a, b - a)
+                new = [redact_text(t, s.spans(t)) for t in texts[a:b]]
+                part = part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+                if chars is not None:
+                    field = part.schema.field(chars)
+                    n = [old if t == was else len(t) for t, was, old in zip(new, texts[a:b], part.column(chars).to_pylist())]
+                    part = part.set_column(chars, field, pa.array(n, field.type))
+                yield part
+
+    return df.mapInArrow(run, df.schema)
