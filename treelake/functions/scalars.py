@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 #: 1 below it is seconds, from it on milliseconds.
 SECONDS_BELOW = 1_000_000_000_000
@@ -179,7 +180,7 @@ def sanitize(name: str) -> str:
     return name
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fnv1a64(content: pd.Series) -> pd.Series:
     """64-bit FNV-1a of bytes, in hexadecimal."""
 
@@ -192,14 +193,14 @@ def fnv1a64(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else one(bytes(x)))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def deflate(content: pd.Series) -> pd.Series:
     import zlib
 
     return content.map(lambda x: None if x is None else zlib.compress(bytes(x)))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def inflate(content: pd.Series) -> pd.Series:
     import zlib
 
