@@ -12,8 +12,8 @@ inequality around far pivots hold every document. So there are two kinds of pivo
    replicated to the regions of the next ones within its window: were two sets to
    differ in all of the first n - ceil(t n) + 1 shingles of one of them, their
    distance would exceed r. So each link has a region that holds both ends.
-2. *Documents as pivots, recursively within a region.* A region's first document
-   (by hash) is its pivot; members within r of it link to it. A member x beyond r
+2. *Documents as pivots, recursively within a region.* A region's most
+   central document, which shares most with others, is its pivot; members within r of it link to it. A member x beyond r
    stays, and a linked member y stays only if d(y, pivot) >= d(x, pivot) - r for some
    such x: by the triangle inequality, other y can't link to any x. Members of one
    component need no further comparison. What is left recurs with a new pivot, is cut
@@ -45,20 +45,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._arrow import col, lower_ascii, slices
+from treelake.llm._arrow import col
 from treelake.llm._spark import written
 from treelake.llm.components import components
-from treelake.llm.hmm import WORD
 
 HEAVY = 1 << 16
 #: A shingle is a candidate for HEAVY if so many documents of one slice have it.
 HEAVY_LEAST = 4
 #: Regions of up to LEAF documents are compared within a task.
-LEAF = 256
+LEAF = 1024
+#: Rounds of spanning forests over what is left, before all of its pairs that the bitmaps don't part are compared.
+FOREST_ROUNDS = 3
 #: Document pivots before a large region is cut by a second shingle, and cuts.
 PIVOT_ROUNDS, DEPTH = 3, 2
 SLICE = 8 << 20
@@ -66,32 +67,81 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class Shingler:
-    """Sets of hashed shingles of ``size`` words."""
+    """Sets of hashed shingles of ``size`` words, from the UTF-8 bytes of many texts at once.
+
+    ASCII white space never occurs inside a longer UTF-8 sequence, so words are
+    found on bytes. A word's hash is a polynomial of random 64-bit values of its
+    bytes, taken from prefix sums: no step runs word by word.
+    """
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.words: dict[str, int] = {}
-
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Distinct hashes, ascending (unsigned)."""
-        words = WORD.findall(lower_ascii(text)) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if missing := set(words).difference(known):
-            if len(known) > 1 << 19:
-                known.clear()
-                missing = set(words)
-            for w in missing:
-                known[w] = xxhash.xxh64_intdigest(w.encode())
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
+        values = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+        values[65:91] = values[97:123]  # A-Z as a-z
+        self.values = values
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, 1 << 21)
+            base = 0x9E3779B97F4A7C15
+            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)]))
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """Distinct hashes of each text, ascending (unsigned)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        out: list[np.ndarray] = []
+        start = 0
+        while start < len(texts):  # about a megabyte at once, a longer text alone
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + (1 << 20), "right")) - 1)
+            out += self._part(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+            start = end
+        return out
+
+    def _part(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n = len(data)
+        none = np.zeros(0, np.uint64)
+        if not n:
+            return [none] * (len(offsets) - 1)
+        self._grow(n + 1)
+        gap = np.ones(n + 1, bool)  # whether a word can't go on from the byte before
+        inside = ~self.space[data]
+        gap[1:n] = ~inside[:-1]
+        gap[offsets] = True
+        starts = np.flatnonzero(inside & gap[:n])
+        stop = np.ones(n, bool)
+        stop[:-1] = ~inside[1:]
+        stop[offsets[1:][offsets[1:] > 0] - 1] = True
+        ends = np.flatnonzero(inside & stop) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
+        first = np.searchsorted(starts, offsets)  # of each text's words
+        k = self.size
+        rolled = self._roll(h, k) if len(h) >= k else none
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            out.append(np.unique(rolled[a : b - k + 1]) if b - a >= k else self._roll(h[a:b], b - a) if b > a else none)
+        return out
+
+    @staticmethod
+    def _roll(h: np.ndarray, k: int) -> np.ndarray:
+        """A hash of each k words that follow one another."""
+        m = len(h) - k + 1
+        out = np.full(m, k, np.uint64)
+        for j in range(k):
             out ^= out >> np.uint64(29)
-            out = (out + h[k : len(h) - n + 1 + k]) * _ODD[k % len(_ODD)]
+            out = (out + h[j : j + m]) * _ODD[j % len(_ODD)]
         out ^= out >> np.uint64(32)
-        return np.unique(out * _ODD[0])
+        return out * _ODD[0]
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -112,13 +162,23 @@ def ranked(hashes: np.ndarray, heavy: np.ndarray, order: np.ndarray) -> np.ndarr
     return np.concatenate([hashes[~is_heavy], hashes[is_heavy][np.argsort(order[at[is_heavy]], kind="stable")]])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch of (id, text) of about SLICE bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
+        yield start, end
+        start = end
+
+
 def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(batch, texts, SLICE):
-                h, n = np.unique(np.concatenate([make.hashes(t) for t in texts[a:b]]), return_counts=True)
+            for a, b in _rows(batch):
+                h, n = np.unique(np.concatenate(make.sets(batch.column(1).slice(a, b - a))), return_counts=True)
                 keep = n >= HEAVY_LEAST
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
@@ -138,11 +198,10 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, (heavy, order) = Shingler(size), held.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(batch, texts, SLICE):
+            ids = batch.column(0)
+            for a, b in _rows(batch):
                 n, keys, prefixes, bits = [], [], [], []
-                for k, t in enumerate(texts[a:b]):
-                    h = make.hashes(t)
+                for k, h in enumerate(make.sets(batch.column(1).slice(a, b - a))):
                     n.append(len(h))
                     if not len(h):
                         keys.append(f"empty {ids[a + k].as_py()}".encode())  # never looked up; spreads empty texts
@@ -192,7 +251,7 @@ class Join:
         self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
         window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
         homes = self.nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("pos", "region"))
-        members = written(self._open(homes), "jaccard-members")
+        members = written(self._open(self._central(homes)), "jaccard-members")
         links = self._pivot(members)
         labels = written(components(self._all([links])), "jaccard-labels")
         members = self._left(members, links, labels)
@@ -209,10 +268,17 @@ class Join:
             done.append(links)
             labels = written(components(self._all(done)), "jaccard-labels")
             members = written(self._left(big, links, labels).unionByName(self._apart(small, labels)), "jaccard-members")
-        links = self._links(self._leaves(members, labels))
-        if links.limit(1).count():
+        rejected = None
+        for k in range(FOREST_ROUNDS + 1):
+            pairs = self._leaves(members, labels, rejected, forest=k < FOREST_ROUNDS)
+            if not pairs.limit(1).count():
+                break
+            links = self._links(pairs)
             done.append(links)
             labels = written(components(self._all(done)), "jaccard-labels")
+            members = written(self._apart(members, labels), "jaccard-members")
+            no = links.where("NOT linked").select("a", "b")
+            rejected = no if rejected is None else rejected.unionByName(no)
         named = classes.join(labels, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
         out = self.profile.select("i", "n", "key").join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
@@ -224,9 +290,19 @@ class Join:
             out = out.union(x.where("linked").select("a", "b"))
         return out
 
+    def _central(self, homes: DataFrame) -> DataFrame:
+        """Members of regions with two or more, with w: how many others a document meets in its regions, for each of its shingles.
+
+        An original shares all its window with its near copies, an edited copy lacks what was edited; so the largest w is central.
+        """
+        shared = homes.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+        members = written(homes.join(shared, "region"), "jaccard-shared")
+        weight = members.groupBy("node").agg((F.sum("c") / F.first("n")).alias("w"))
+        return members.drop("c").join(weight, "node")
+
     def _open(self, members: DataFrame) -> DataFrame:
-        """Members of regions with two or more, each with its region's pivot."""
-        pivots = members.groupBy("region").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+        """Members of regions with two or more, each with its region's pivot: the most central one."""
+        pivots = members.groupBy("region").agg(F.max(F.struct("w", F.xxhash64("node").alias("h"), "node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
         pivots = pivots.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
         return members.join(pivots, "region")
 
@@ -248,9 +324,8 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Shingler(size)
             for batch in batches:
-                t = batch.column(1).to_pylist()
-                for a, b in slices(batch, t, SLICE):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([make.hashes(x).view(np.int64) for x in t[a:b]], pa.list_(pa.int64()))], names=["i", "h"])
+                for a, b in _rows(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.view(np.int64) for h in make.sets(batch.column(1).slice(a, b - a))], pa.list_(pa.int64()))], names=["i", "h"])
 
         sets = written(texts.mapInArrow(run, "i long, h array<long>"), "jaccard-sets")
         exact = maybe.join(sets.select(F.col("i").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("i").alias("b"), F.col("h").alias("y")), "b")
@@ -267,15 +342,15 @@ class Join:
         rest = members.where("node <> pivot").join(links.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked", (2 * F.col("bound") / (F.col("total") + F.col("bound"))).alias("d")), ["pivot", "node"], "left")
         # A size too unlike the pivot's: the distance is at least 1 - least / greatest.
         rest = rest.withColumn("d", F.coalesce("d", 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"))).withColumn("linked", F.coalesce("linked", F.lit(False)))
-        rest = rest.select("region", "node", "n", "pos", "linked", "d")
+        rest = rest.select("region", "node", "n", "w", "pos", "linked", "d")
         far = rest.where("NOT linked").groupBy("region").agg(F.min("d").alias("least"))
         r = 1 - self.num / self.den
-        rest = rest.join(far, "region").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("region", "node", "n", "pos")
+        rest = rest.join(far, "region").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("region", "node", "n", "w", "pos")
         return written(self._apart(self._open(rest), labels), "jaccard-left")
 
     def _apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of regions that hold more than one component."""
-        members = members.select("region", "node", "n", "pos", "pivot", "pivot_n")
+        members = members.select("region", "node", "n", "w", "pos", "pivot", "pivot_n")
         label = members.select("node", "region").join(labels, "node", "left").select("region", F.coalesce("component", "node").alias("c"))
         mixed = label.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("region")
         return members.join(mixed, "region", "left_semi")
@@ -283,57 +358,85 @@ class Join:
     def _cut(self, members: DataFrame, depth: int) -> DataFrame:
         """Regions cut by their documents' next shingles: a linked pair shares a ``depth``-th one within the longer window."""
         window = F.col("m") - F.expr(f"(m * {self.num} + {self.den - 1}) div {self.den}") + depth
-        rows = members.select("region", "node", "n", "pos").join(self.nodes.select("node", F.col("n").alias("m"), "prefix"), "node")
+        rows = members.select("region", "node", "n", "w", "pos").join(self.nodes.select("node", F.col("n").alias("m"), "prefix"), "node")
         rest = F.slice("prefix", F.col("pos") + 2, F.greatest(window.cast("int") - F.col("pos") - 1, F.lit(0)))
-        rows = rows.select("region", "node", "n", F.col("pos").alias("before"), F.posexplode(rest).alias("p", "s"))
-        return rows.select(F.xxhash64("region", "s").alias("region"), "node", "n", (F.col("before") + 1 + F.col("p")).alias("pos"))
+        rows = rows.select("region", "node", "n", "w", F.col("pos").alias("before"), F.posexplode(rest).alias("p", "s"))
+        return rows.select(F.xxhash64("region", "s").alias("region"), "node", "n", "w", (F.col("before") + 1 + F.col("p")).alias("pos"))
 
-    def _leaves(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b): pairs within regions, of different components, that the bitmaps don't part."""
+    def _leaves(self, members: DataFrame, labels: DataFrame, rejected: DataFrame | None, forest: bool) -> DataFrame:
+        """(a, b): pairs within regions, of different components, that neither the bitmaps nor an earlier comparison parts.
+
+        forest: only as many as connect a region's components, so that copies never become all their pairs.
+        """
         rows = members.select("region", "node").distinct().join(self.nodes.select("node", "n", "bits"), "node").join(labels, "node", "left")
-        rows = rows.select("region", "node", "n", F.coalesce("component", "node").alias("c"), "bits").repartition("region").sortWithinPartitions("region", "node")
-        num, den, block = self.num, self.den, max(self.leaf, 512)
+        if rejected is None:
+            rows = rows.withColumn("no", F.array().cast("array<bigint>"))
+        else:
+            both = rejected.union(rejected.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no"))
+            rows = rows.join(both, "node", "left").withColumn("no", F.coalesce("no", F.array().cast("array<bigint>")))
+        rows = rows.select("region", "node", "n", F.coalesce("component", "node").alias("c"), "bits", "no").repartition("region").sortWithinPartitions("region", "n", "node")
+        num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
+            held = None
             for batch in batches:
-                held += zip(*(c.to_pylist() for c in batch.columns[:4]), (np.array(x, np.int64).view(np.uint64) for x in batch.column(4).to_pylist()))
-                region, start = [r[0] for r in held], 0
-                for k in range(1, len(held)):
-                    if region[k] != region[k - 1]:
-                        yield from compare(held[start:k])
-                        start = k
-                held = held[start:]
-            yield from compare(held)
-
-        def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            node, n, c = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-            for x, y in _survivors(n, c, [r[4] for r in rows], num, den, block):
-                yield pa.RecordBatch.from_arrays([pa.array(node[x], pa.int64()), pa.array(node[y], pa.int64())], names=["a", "b"])
+                t = pa.Table.from_batches([batch])
+                t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+                region = t["region"].to_numpy()
+                cuts = np.flatnonzero(region[1:] != region[:-1]) + 1
+                last = int(cuts[-1]) if len(cuts) else 0
+                if last:
+                    yield from compare(t.slice(0, last), np.concatenate([[0], cuts]))
+                held = t.slice(last)
+            if held is not None and len(held):
+                yield from compare(held, np.array([0, len(held)]))
+
+        def compare(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            node, n, c = (t[k].to_numpy() for k in ("node", "n", "c"))
+            bits, no = (t[k].combine_chunks() for k in ("bits", "no"))
+            at = bits.offsets.to_numpy()
+            flat = bits.values.to_numpy().view(np.uint64)
+            x, y = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a > 1 and (c[a:b] != c[a]).any():
+                    known = [no[k].as_py() for k in range(a, b)] if len(no.values) else None
+                    for i, js in _survivors(node[a:b], n[a:b], c[a:b], [flat[at[k] : at[k + 1]] for k in range(a, b)], known, num, den, forest):
+                        x.append(np.full(len(js), node[a + i]))
+                        y.append(node[a + js])
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()), pa.array(np.concatenate(y), pa.int64())], names=["a", "b"])
 
         return written(rows.mapInArrow(run, "a long, b long").distinct(), "jaccard-leaves")
 
 
-def _survivors(n: np.ndarray, c: np.ndarray, bits: list[np.ndarray], num: int, den: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of like size, different component and near bitmaps; rows by size, so that each looks only at those up to its window's end."""
-    order = np.argsort(n, kind="stable")
-    size = n[order]
-    ends = np.searchsorted(size, size * den // num, "right")
-    for k, i in enumerate(order):
-        for s in range(k + 1, int(ends[k]), block):
-            js = order[s : min(s + block, int(ends[k]))]
-            js = js[c[js] != c[i]]
-            if not len(js):
-                continue
-            # Sizes in the window may have longer bitmaps: fold them to this one's length.
-            width = len(bits[i])
-            other = np.stack([np.bitwise_xor.reduce(bits[j].reshape(-1, width), 0) for j in js])
-            differ = np.bitwise_count(other ^ bits[i]).sum(1, dtype=np.int64)
-            js = js[differ * (num + den) <= (n[js] + n[i]) * (den - num)]
-            if len(js):
-                yield np.full(len(js), i), js
+def _survivors(node: np.ndarray, n: np.ndarray, c: np.ndarray, bits: list[np.ndarray], rejected: list[list[int]] | None, num: int, den: int, forest: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of rows in ascending size: pairs of like size, different component and near bitmaps.
+
+    A row looks only at those up to its size window's end, whose longer bitmaps are folded to its own length.
+    """
+    ends = np.searchsorted(n, n * den // num, "right")
+    label = np.unique(c, return_inverse=True)[1]
+    folded: dict[int, tuple[int, np.ndarray]] = {}  # by width: rows from the first of that width on
+    for i in range(len(n) - 1):
+        width, end = len(bits[i]), int(ends[i])
+        js = np.arange(i + 1, end)
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        if width not in folded:
+            most = int(ends[max(k for k in range(i, len(n)) if len(bits[k]) == width)])
+            folded[width] = i, np.stack([np.bitwise_xor.reduce(bits[k].reshape(-1, width), 0) for k in range(i, most)])
+        first, table = folded[width]
+        differ = np.bitwise_count(table[js - first] ^ bits[i]).sum(1, dtype=np.int64)
+        js = js[differ * (num + den) <= (n[js] + n[i]) * (den - num)]
+        if rejected is not None and rejected[i]:
+            js = js[~np.isin(node[js], rejected[i])]
+        if not len(js):
+            continue
+        if forest:
+            js = js[np.unique(label[js], return_index=True)[1]]
+            label[np.isin(label, label[js])] = label[i]
+        yield i, js
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF) -> DataFrame:
