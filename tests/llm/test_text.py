@@ -1,0 +1,202 @@
+"""Operators on single texts: secrets, BPE, telephony, URLs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import DATA
+from treelake.llm import bpe, queries, secrets, telephony, url_filter
+
+
+def test_op1_equals_sql(spark, duck):
+    got = sorted(str(tuple(r)) for r in queries.op1_url_filter(spark, DATA).collect())
+    assert got == sorted(str(tuple(r)) for r in duck.execute(queries.OP1_SQL).fetchall())
+
+
+def brute_url(url, rules):
+    host, path = url_filter.split_url(url)
+    fits = [r for r in rules if (not r.host or host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    if not fits:
+        return None
+    labels = lambda r: len(r.host.split(".")) if r.host else 0
+    best = max((labels(r), len(r.path)) for r in fits)
+    top = [r for r in fits if (labels(r), len(r.path)) == best]
+    return next((r for r in top if r.verdict == "block"), top[0])
+
+
+def test_url_trie_equals_brute_force():
+    rnd = random.Random(1)
+    label, seg = ["a", "b", "com", "x-1"], ["", "p", "pq", "q"]
+    rules = [url_filter.Rule(".".join(rnd.choices(label, k=rnd.randrange(0, 4))), "".join("/" + rnd.choice(seg) for _ in range(rnd.randrange(0, 4))), rnd.choice(["allow", "block"])) for _ in range(60)]
+    trie = url_filter.UrlTrie(rules)
+    for _ in range(2000):
+        url = "http://" + ".".join(rnd.choices(label, k=rnd.randrange(0, 5))) + "".join("/" + rnd.choice(seg) for _ in range(rnd.randrange(0, 5))) + rnd.choice(["", "?x", "#y"])
+        found, want = trie.find(*url_filter.split_url(url)), brute_url(url, rules)
+        assert (found and (found[1].text, found[1].verdict)) == (want and (want.text, want.verdict)), url
+
+
+def test_url_edges(spark):
+    rows = [(1, None), (2, "no scheme"), (None, "HTTP://A.Example.COM:80/en/7?x=/#"), (4, ""), (5, "x://É.com/en/" + "y" * 50_000), (5, "x://h")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, host string")
+    rules = [url_filter.Rule.parse("com/en/", "block"), url_filter.Rule.parse("h", "block")]
+    for per in (1, 100):
+        got = {(r["page_id"], r["host"][:20], r["path"][:6], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, rules, rules_per_trie=per).collect()}
+        assert got == {(1, "", "", None, "allow"), (2, "", "", None, "allow"), (None, "a.example.com:80", "/en/7", None, "allow"), (4, "", "", None, "allow"), (5, "É.com", "/en/yy", "com/en/", "block"), (5, "h", "", "h", "block")}
+    assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+def brute_base(text):
+    kinds = [
+        (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8),
+        (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16),
+        (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 32),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (p, flags, ok) in enumerate(kinds) for m in re.finditer(p, text or "", flags) if ok(m))
+
+
+def test_op5_base_spans(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op5_secrets(spark, DATA).collect():
+        want = brute_base(texts[r["doc_id"]])
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("token:")] == [s for s in joined.split(",") if s]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
+
+
+def test_token_efficiency(spark):
+    s = secrets.scanner(spark)()
+    kind = lambda t: [secrets.KINDS[k] for _, k, _ in s.spans(t)]
+    assert kind("key xK9qLmZ27vPwR4tYbN8dQ1sF0hJ and more") == ["token"]
+    for clean in ("a perfectly normal internationalization", "123456789012345678901234567890", "550e8400-e29b-41d4-a716-446655440000", "some_very_long_identifier_name_with_parts", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"):
+        assert kind(clean) == [], clean
+    assert kind("password = 'abcdefgh12'") == ["assign"]
+    assert kind("PassWord:short") == []
+    assert secrets.redact_text("a password=abcdefgh1 b", s.spans("a password=abcdefgh1 b")) == "a <SECRET> b"
+
+
+def test_secret_edges(spark, edge):
+    rows = secrets.scan(edge).collect()
+    assert len(rows) == edge.count()
+    assert {r["doc_id"] for r in rows if r["spans"]} == {8}
+    out = secrets.redact(edge)
+    assert out.columns == edge.columns and out.count() == edge.count()
+    assert out.where("doc_id = 8").first()["text"].endswith("<SECRET>")
+    assert secrets.scan(edge.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_op7_equals_library(spark, docs, library):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op7_bpe(spark, DATA).collect():
+        e = library.encode(texts[r["doc_id"]], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        decoded = library.decode(e.ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(e.ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_bpe_odd_texts(library):
+    b = bpe.Bpe(bpe.read_file(None))
+    rnd = random.Random(2)
+    texts = ["", "ΑΣ ΟΔΟΣ Σ", "İstanbul ı ſ K", "<|endoftext|>a<|startoftext|>", "a b　c", "x'd 'S IT'LL", "１２³ ¼", "日本語" * 50, "😀👍🏽", "\x00\x1c\x85", "x" * 3000, "ab" * 5000, "ß ẞ ŉ ª µ"]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 0x180), rnd.randrange(32, 0x2FFF)])) for _ in range(50)) for _ in range(300)]
+    for t in texts:
+        e = library.encode(t, add_special_tokens=False)
+        assert b.encode(t) == np.array(e.ids, "<u4").tobytes(), t
+        assert b.decode(b.encode(t)) == library.decode(e.ids, skip_special_tokens=False)
+
+
+def test_forced_cuts_hold():
+    b = bpe.Bpe(bpe.read_file(None))
+    parts = b.split_forced("abqzxjqab")
+    assert "".join(parts) == "abqzxjqab" and len(parts) > 1
+
+
+def test_bpe_edges(edge, library):
+    rows = bpe.encode(edge, carry=("lang", "source", "i")).collect()
+    assert len(rows) == edge.count()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 7)} == {1: 0, 2: 0, 7: 0}
+    assert next(r["n_tokens"] for r in rows if r["doc_id"] == 4) == 40_000
+    back = {r["doc_id"]: r["decoded"] for r in bpe.decode(bpe.encode(edge)).collect()}
+    assert back[5] == "same</w> text</w> twice</w>"
+    assert bpe.encode(edge.limit(0)).count() == 0
+
+
+def test_op10_round_trip(spark, docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in queries.op10_telephony(spark, DATA).collect():
+        data = texts[r["doc_id"]]
+        payload = data + b"\xff" * (-len(data) % 576 or (576 if not data else 0))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
+def test_companding_tables():
+    """Against the standards' definitions, sample by sample."""
+    for byte in range(256):
+        u = ~byte & 0xFF
+        t = ((u & 15) * 8 + 132) * 2 ** (u >> 4 & 7) - 132
+        assert telephony.MULAW[byte] == (-t if u & 128 else t)
+        a = byte ^ 0x55
+        e, m = a >> 4 & 7, a & 15
+        t = m * 16 + 8 if e == 0 else (m * 16 + 264) * 2 ** (e - 1)
+        assert telephony.ALAW[byte] == (t if a & 128 else -t)
+
+
+def test_adpcm_equals_one_block_at_a_time():
+    rng = np.random.default_rng(0)
+    blocks = rng.integers(0, 256, (50, 36), dtype=np.uint8)
+    got = telephony.decode_adpcm(blocks)
+    for block, samples in zip(blocks, got):
+        sample = int.from_bytes(block[:2].tobytes(), "little", signed=True)
+        index, want = min(int(block[2]), 88), [sample]
+        for byte in block[4:]:
+            for nibble in (int(byte) & 15, int(byte) >> 4):
+                step = int(telephony.STEPS[index])
+                diff = step >> 3
+                for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                    diff += part if nibble & bit else 0
+                sample = max(-32768, min(32767, sample + (-diff if nibble & 8 else diff)))
+                index = max(0, min(88, index + int(telephony.INDEX_CHANGE[nibble])))
+                want.append(sample)
+        assert samples.tolist() == want
+
+
+def test_wav_and_resampling():
+    data = bytes(range(256)) * 9
+    for codec in ("mulaw", "alaw", "adpcm", "pcm"):
+        wav = telephony.read_wav(telephony.write_wav(data, codec))
+        assert (wav.codec, bytes(wav.data)) == (codec, data)
+        assert len(telephony.to_pcm(wav))
+    pcm = np.array([0, 10, 20, -20], np.int16)
+    assert telephony.resample(pcm, 8000, 16000).tolist() == [0, 5, 10, 15, 20, 0, -20, -20]
+    assert telephony.resample(pcm, 8000, 8000).tolist() == pcm.tolist()
+
+
+def test_features_do_not_depend_on_chunks(monkeypatch):
+    data = telephony.pad(random.Random(0).randbytes(50_000))
+    whole = telephony.features(data)
+    monkeypatch.setattr(telephony, "CHUNK", 36 * 16 * 4)
+    parts = telephony.features(data)
+    assert whole.split(";")[:3] == parts.split(";")[:3]
+
+
+def test_media_edges(edge):
+    rows = telephony.store(edge).collect()
+    assert len(rows) == edge.count()
+    empty = next(r for r in rows if r["doc_id"] == 1)
+    assert bytes(telephony.read_wav(bytes(empty["media"])).data) == b"\xff" * 576
+    assert telephony.digests(edge.limit(0)).count() == 0
+    same = {r["feature"] for r in telephony.digests(edge.where(F.col("doc_id").isin(5, 6))).collect()}
+    assert len(same) == 1

@@ -32,6 +32,7 @@ import unicodedata
 from operator import concat
 from typing import TYPE_CHECKING
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 if TYPE_CHECKING:
@@ -221,14 +222,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(id, decoded string) of arrays of ids; null ids decode to null."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import StringType
 
     from treelake.llm._arrow import col
 
     file = df.sparkSession.sparkContext.broadcast(read_file(path))
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def strings(ids: pd.Series) -> pd.Series:
         names = load(file.value).strings
         return ids.map(lambda x: None if x is None else " ".join([names[int(i)] for i in x]))
