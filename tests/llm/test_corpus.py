@@ -15,6 +15,7 @@ from treelake.llm import fingerprint, hmm, jaccard, langid, mixing, queries, tox
 from treelake.llm._arrow import lower_ascii
 from treelake.llm.components import components
 
+SF = "/root/testdata/sf0.1"  # enough labels to learn each language from
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -173,10 +174,10 @@ def test_hmm_edges(edge):
 
 
 def test_op6_held_out(spark):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    rows = [r for r in queries.op6_toxicity(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and r["doc_id"] in labels]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [r for r in queries.op6_toxicity(spark, SF).collect() if r["held_out"] and r["doc_id"] in labels]
     right = sum(r["predicted"] == labels[r["doc_id"]] for r in rows)
-    assert right / len(rows) > 0.95
+    assert right / len(rows) > 0.97
 
 
 def test_machine_learns_pairs():

@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text's terms are its distinct words and their first 4, 5 and 6 letters, each
+A text's terms are its distinct words and their first 3, 4, 5 and 6 letters, each
 hashed to 32 bits. The machine's log-odds are a bias, a weight for each term and
 the dot products of the factor vectors of each pair of terms, so that two terms
 that are harmless alone (an insult's word in a quotation, a group's name) can be
@@ -26,17 +26,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col, keep_rows, map_columns
 
-SAMPLE, TERMS, FACTORS, STEPS = 12_000, 4096, 8, 150
+SAMPLE, TERMS, FACTORS, STEPS = 16_000, 4096, 8, 150
 #: Least chi-square of a term, and least rows that have it.
-CHI2, ROWS = 30.0, 5
+CHI2, ROWS = 20.0, 4
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (3, 4, 5, 6)
 CACHE = 1 << 19
 
 
@@ -142,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["i", "y", "h"])
 
     got = joined.mapInArrow(run, "i long, y int, h array<long>").toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
-    rows = [np.asarray(h, np.int64) for h in got["h"].to_pylist()]
+    hashed = got["h"].combine_chunks()
+    rows = np.split(hashed.flatten().to_numpy(), np.cumsum(pc.list_value_length(hashed).to_numpy())[:-1]) if len(got) else []
     return fit(rows, got["y"].to_numpy().astype(float)) if rows else fit([np.zeros(0, np.int64)], np.zeros(1))
 
 
