@@ -28,9 +28,11 @@ zero counts; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,16 +61,6 @@ def bucket(word: str) -> int:
     return OWN + zlib.crc32(word.encode()) % BUCKETS
 
 
-class Classes(dict):
-    """Word to class; words that aren't known are hashed (and kept, up to a bound)."""
-
-    def __missing__(self, word: str) -> int:
-        k = bucket(word)
-        if len(self) < 1 << 19:
-            self[word] = k
-        return k
-
-
 def blocks(sequences: list[np.ndarray], rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of like length side by side: (indices, lengths descending, (longest, n) padded with the end class)."""
     lengths = np.array([len(s) for s in sequences])
@@ -177,9 +169,9 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): base-10 logarithms of each whole text."""
     spark = df.sparkSession
     rows = df.select(col(id_col).alias("i"), col(text_col).cast("string").alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"))
-    learn = rows.where(~F.col("h"))
-    counts = written(count_words(learn, "t"), "hmm-counts")
-    texts = learn.count()
+    train = rows.where(~F.col("h"))
+    counts = written(count_words(train, "t"), "hmm-counts")
+    texts = train.count()
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = (whole["n"] or 0) + texts, whole["v"] + (texts > 0)
     top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).toPandas()
@@ -195,60 +187,144 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     inside = np.zeros(CLASSES)  # log10 of a bucket's tokens + words + 1; nothing for words with a class of their own
     inside[OWN:END] = np.log10(rest.sum(1) + 1)
 
-    classes = spark.sparkContext.broadcast(own)
-    some = learn.orderBy(F.xxhash64("i"), "i", "t").limit(INITIAL).select("t").toPandas()["t"] if texts else []
+    lookup = spark.sparkContext.broadcast((top["word"].tolist(), np.log10(top["n"].to_numpy() + 1.0)))
+    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
+    texts_seen = rows.mapInArrow(_encode(lookup), f"u long, i {kind}, h boolean, n_tokens long, n_known long, base double, extra double, classes binary, w array<string>, k array<int>")
+    # Words are looked up once; training and scoring then read two bytes a token.
+    encoded = written(texts_seen, "hmm-encoded")
+
+    learn = encoded.where(~F.col("h"))
+    some = learn.orderBy(F.xxhash64("i"), "u").limit(INITIAL).select("classes").toPandas()["classes"] if texts else []
     model = Model.random(totals)
-    first = [w for t in some for w in windows(encode(Classes(own), t))]
+    first = [w for x in some for w in windows(unpack(x))]
     for _ in range(INITIAL_STEPS if first else 0):
         model = Model.estimated(model.expected(first), totals)
     for _ in range(passes if texts else 0):
         held = spark.sparkContext.broadcast(model)
-        got = learn.select("t").mapInArrow(_expect(classes, held), "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+        got = learn.select("classes").mapInArrow(_expect(held), "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
         flat = np.zeros(STATES * (1 + STATES + CLASSES))
         flat[got["k"]] = got["n"]
         a, b = STATES, STATES * (1 + STATES)
         model = Model.estimated((flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, CLASSES)), totals)
 
-    lookup = spark.sparkContext.broadcast((dict(zip(top["word"], np.log10(top["n"].to_numpy() + 1.0))), classes.value, model, inside))
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    partial = rows.mapInArrow(_score(lookup), f"i {kind}, h boolean, u string, n_tokens long, n_known long, base double, model double, rare array<struct<w: string, n: long>>")
-    every = np.log10(tokens + distinct + 1.0)
-    # A text without rare words keeps a row under a key of its own, which no word can equal as it has a space.
-    rare = partial.withColumn("r", F.explode(F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.array(F.struct(F.concat(F.lit(" "), F.col("u")).alias("w"), F.lit(0).cast("long").alias("n"))))))
-    rare = rare.select("i", "h", "u", "n_tokens", "n_known", "base", "model", F.col("r.w").alias("w"), F.col("r.n").alias("k"))
+    # Of rarer words only (text, word, times) travels; the sums by text come back to one row each.
+    rare = encoded.select("u", F.explode(F.arrays_zip("w", "k")).alias("r")).select("u", F.col("r.w").alias("w"), F.col("r.k").alias("k"))
     found = rare.join(counts.select(F.col("word").alias("w"), F.col("n").alias("c")), "w", "left")
-    gain = F.col("k") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
-    out = found.groupBy("u").agg(
-        *(F.first(c).alias(c) for c in ("i", "h", "n_tokens", "n_known", "base", "model")), F.sum(gain).alias("gain"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("seen")
-    )
-    end = float(np.log10(texts + 1.0))
+    gain = found.groupBy(F.col("u").alias("g")).agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("gain"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("seen"))
+    final = spark.sparkContext.broadcast((model, inside))
+    out = encoded.select("u", "i", "h", "n_tokens", "n_known", "base", "extra", "classes").mapInArrow(_score(final), f"u long, i {kind}, h boolean, n_tokens long, n_known long, base double, model double")
+    out = out.join(gain, F.col("u") == F.col("g"), "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    every, end = float(np.log10(tokens + distinct + 1.0)), float(np.log10(texts + 1.0))
     return out.select(
         F.col("i").alias(id_col),
         F.col("h").alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.col("seen") + F.lit(int(texts > 0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("seen", F.lit(0)) + F.lit(int(texts > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("gain") + F.lit(end) - F.col("n_tokens") * F.lit(float(every))).alias("base_score"),
+        (F.col("base") + F.col("gain") + F.lit(end) - F.col("n_tokens") * F.lit(every)).alias("base_score"),
         (F.col("model") + F.col("gain")).alias("score"),
     )
 
 
-def encode(classes: Classes, text: str | None) -> np.ndarray:
-    words = words_of(text)
-    out = np.empty(len(words) + 1, np.int32)
-    out[:-1] = [classes[w] for w in words]
-    out[-1] = END
-    return out
+def unpack(classes: bytes) -> np.ndarray:
+    return np.frombuffer(classes, np.uint16).astype(np.int32)
+
+
+class Encoder:
+    """Texts to classes, with what the lookup table knows of their words."""
+
+    def __init__(self, words: list[str], logs: np.ndarray) -> None:
+        self.code = dict(zip(words, range(len(words))))
+        self.logs = np.append(logs, 0.0)  # the last is for rarer words
+        own = len(words[:OWN])
+        self.classes = np.array([*range(own), *(bucket(w) for w in words[own:]), 0], np.uint16)
+        #: What a known word adds to the model's score beside its class.
+        self.extra = np.where(np.arange(len(self.logs)) < own, 0.0, self.logs)
+        self.buckets: dict[str, int] = {}
+
+    def text(self, text: str | None) -> tuple[bytes, int, int, float, float, list[str], list[int]]:
+        words = words_of(text)
+        rest = len(self.logs) - 1
+        codes = np.fromiter(map(self.code.get, words, repeat(rest)), np.int32, len(words))
+        classes = np.empty(len(words) + 1, np.uint16)
+        classes[:-1] = self.classes[codes]
+        classes[-1] = END
+        at = np.flatnonzero(codes == rest)
+        rare: dict[str, int] = {}
+        if len(at):
+            known = self.buckets
+            some = [words[k] for k in at]
+            ids = []
+            for w in some:
+                k = known.get(w)
+                if k is None:
+                    if len(known) > 1 << 19:
+                        known.clear()
+                    k = known[w] = bucket(w)
+                ids.append(k)
+            classes[at] = ids
+            rare = Counter(some)
+        return classes.tobytes(), len(words) + 1, len(words) - len(at), float(self.logs[codes].sum()), float(self.extra[codes].sum()), list(rare), list(rare.values())
+
+
+_ENCODER: dict[str, Encoder] = {}
+
+
+def _encode(lookup):
+    name = uuid.uuid4().hex
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ENCODER:  # one in each worker, so that it outlives a task
+            _ENCODER.clear()
+            _ENCODER[name] = Encoder(*lookup.value)
+        encoder, row = _ENCODER[name], TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(batch, texts, SLICE // 2):
+                classes, tokens, known, base, extra, w, k = zip(*map(encoder.text, texts[a:b]))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int32)
+                # A row's own key, as ids may be null or repeat; a repeated task gives the same keys.
+                u = np.arange(row, row + b - a)
+                row += b - a
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(u, pa.int64()),
+                        batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
+                        pa.array(tokens, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(extra, pa.float64()),
+                        pa.array(classes, pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array([x for y in w for x in y], pa.string())),
+                        pa.ListArray.from_arrays(offsets, pa.array([x for y in k for x in y], pa.int32())),
+                    ],
+                    names=["u", "i", "h", "n_tokens", "n_known", "base", "extra", "classes", "w", "k"],
+                )
 
-def _expect(classes, held):
+    return run
+
+
+def _ranges(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many tokens."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _expect(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, model = Classes(classes.value), held.value
+        model = held.value
         total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(batch, texts, SLICE // 2):
-                for x, y in zip(total, model.expected([w for t in texts[a:b] for w in windows(encode(find, t))])):
+            rows = batch.column(0).to_pylist()
+            for a, b in _ranges([len(x) // 2 for x in rows], 1 << 20):
+                for x, y in zip(total, model.expected([w for r in rows[a:b] for w in windows(unpack(r))])):
                     x += y
         flat = np.concatenate([x.reshape(-1) for x in total])
         at = np.flatnonzero(flat)
@@ -257,46 +333,14 @@ def _expect(classes, held):
     return run
 
 
-def _score(lookup):
+def _score(final):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, own, model, inside = lookup.value
-        find, part, row = Classes(own), TaskContext.get().partitionId(), 0
+        model, inside = final.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(batch, texts, SLICE):
-                sequences = [encode(find, t) for t in texts[a:b]]
-                log10 = model.log10(sequences) - [inside[s].sum() for s in sequences]
-                known, base, extra, rare = [], [], [], []
-                for t in texts[a:b]:
-                    k, x, y, r = 0, 0.0, 0.0, []
-                    for w, n in Counter(words_of(t)).items():
-                        g = logs.get(w)
-                        if g is None:
-                            r.append({"w": w, "n": n})
-                            continue
-                        k += n
-                        x += n * g
-                        if w not in own:
-                            y += n * g
-                    known.append(k)
-                    base.append(x)
-                    extra.append(y)
-                    rare.append(r)
-                n = b - a
-                keys = [f"{part}-{k}" for k in range(row, row + n)]  # ids may be null or repeat; a repeated task gives the same keys
-                row += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, n),
-                        batch.column(2).slice(a, n),
-                        pa.array(keys),
-                        pa.array([len(s) for s in sequences], pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(log10 + extra, pa.float64()),
-                        pa.array(rare, pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))),
-                    ],
-                    names=["i", "h", "u", "n_tokens", "n_known", "base", "model", "rare"],
-                )
+            rows, extra = batch.column(7).to_pylist(), batch.column(6).to_numpy()
+            for a, b in _ranges([len(x) // 2 for x in rows]):
+                sequences = [unpack(r) for r in rows[a:b]]
+                scores = model.log10(sequences) - np.array([inside[s].sum() for s in sequences]) + extra[a:b]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(6)), pa.array(scores)], names=["u", "i", "h", "n_tokens", "n_known", "base", "model"])
 
     return run
