@@ -2,13 +2,14 @@
 
 import collections
 
-from tests.conftest import DATA
 from tests.llm.test_corpus import brute_components
 
 import corpus_pipeline
 from treelake.llm import toxicity
 from treelake.llm._spark import table, written
 
+DATA = "/root/testdata/sf0.01"  # has secrets, copies and toxic documents
+
 
 def test_stages(spark):
     docs = table(spark, DATA, "documents")
