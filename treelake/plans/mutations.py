@@ -11,15 +11,14 @@ from treelake.plans.registry import query
 from treelake.sources.catalog import NOW_MS, Catalog
 from treelake.streaming import watch
 
-P = F.col("path")
 
 
 @query("m01_apply", "SELECT path, CASE WHEN path LIKE '%1.html' THEN 7 ELSE size END AS size FROM files WHERE NOT path LIKE '%2.html' UNION ALL SELECT '/new/' || page_id, page_id FROM pages")
 def apply(c: Catalog) -> DataFrame:
     base = c.files.select("path", "size")
-    put = c.files.where(P.like("%1.html")).select(F.lit(5).alias("seq"), F.lit("put").alias("op"), "path", F.lit(7).cast("long").alias("size"))
+    put = c.files.where(F.col("path").like("%1.html")).select(F.lit(5).alias("seq"), F.lit("put").alias("op"), "path", F.lit(7).cast("long").alias("size"))
     early = put.withColumn("seq", F.lit(1)).withColumn("op", F.lit("delete"))
-    gone = c.files.where(P.like("%2.html")).select(F.lit(3).alias("seq"), F.lit("delete").alias("op"), "path", "size")
+    gone = c.files.where(F.col("path").like("%2.html")).select(F.lit(3).alias("seq"), F.lit("delete").alias("op"), "path", "size")
     new = c.table("pages").select(F.lit(2).alias("seq"), F.lit("put").alias("op"), F.concat(F.lit("/new/"), F.col("page_id").cast("string")).alias("path"), F.col("page_id").alias("size"))
     return ch.apply(base, put.unionByName(early).unionByName(gone).unionByName(new))
 
@@ -27,7 +26,7 @@ def apply(c: Catalog) -> DataFrame:
 @query("m02_append", "SELECT path, sha256(content || CASE WHEN path LIKE '%7.html' THEN '+tail' ELSE '' END) AS sha256 FROM regular WHERE starts_with(path, '/web/')")
 def append(c: Catalog) -> DataFrame:
     web = c.contents.where("path LIKE '/web/%'")
-    return ch.append(web, web.where(P.like("%7.html")).select("path", F.lit("+tail").alias("data"))).select("path", F.sha2("content", 256).alias("sha256"))
+    return ch.append(web, web.where(F.col("path").like("%7.html")).select("path", F.lit("+tail").alias("data"))).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 @query("m04_truncate", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular WHERE starts_with(path, '/chat/')")
@@ -204,7 +203,7 @@ def debounce_both(c: Catalog) -> DataFrame:
 
 @query("w09_delays", "SELECT event_id, CASE WHEN path = '/u/7/0.dat' THEN 5 WHEN starts_with(path, '/u/7/') THEN 10 WHEN regexp_matches(path, '^/u/1[^/]*/[^/]*$') THEN 20 ELSE 50 END AS ms FROM watch_events")
 def delays(c: Catalog) -> DataFrame:
-    return c.watch_events.select("event_id", watch.delay(P, [("/u/1*/*", 20), ("/u/7", 10), ("/u/7/0.dat", 5)], 50).alias("ms"))
+    return c.watch_events.select("event_id", watch.delay(F.col("path"), [("/u/1*/*", 20), ("/u/7", 10), ("/u/7/0.dat", 5)], 50).alias("ms"))
 
 
 @query(
