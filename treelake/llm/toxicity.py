@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._arrow import col, keep_rows, map_columns
+from treelake.llm._arrow import col, keep_rows, map_columns, slices
+from treelake.llm._spark import written
 
 SAMPLE, TERMS, FACTORS, STEPS = 16_000, 4096, 8, 150
 #: Least chi-square of a term, and least rows that have it.
@@ -84,31 +85,22 @@ class Machine:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = STEPS, l2: float = 1e-3, rate: float = 0.05) -> Machine:
-    """rows: hashed terms of each text; labels: 0 or 1. Full-batch Adam on the logistic loss; deterministic."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray | None = None, factors: int = FACTORS, steps: int = STEPS, l2: float = 1e-3, rate: float = 0.05) -> Machine:
+    """rows: hashed terms of each text (those of the ascending vocabulary, if given); labels: 0 or 1.
+
+    Full-batch Adam on the logistic loss; deterministic.
+    """
     n, positive = len(rows), float(labels.sum())
     bias = float(np.log((positive + 1) / (n - positive + 10)))
-    nothing = Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
-    if not positive or positive == n:
-        return nothing
-    sizes = np.array([len(r) for r in rows])
-    vocabulary, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
-    have = np.bincount(flat, minlength=len(vocabulary)).astype(float)
-    hit = np.bincount(flat, labels[row], len(vocabulary))
-    share = positive / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (hit - have * share) ** 2 / (have * share * (1 - share) * (1 - have / n))
-    chi2[(have < ROWS) | ~np.isfinite(chi2)] = 0
-    chosen = np.argsort(-chi2, kind="stable")[:TERMS]
-    chosen = np.sort(chosen[chi2[chosen] >= CHI2])
-    m = len(chosen)
-    if not m:
-        return nothing
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(m)
-    kept = place[flat] >= 0
-    at, row = place[flat][kept], row[kept]
+    if vocabulary is None:
+        vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+    m = len(vocabulary)
+    if not positive or positive == n or not m:
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    at = np.searchsorted(vocabulary, np.concatenate(rows))
+    if not len(at):
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
     starts, own = np.unique(row, return_index=True)  # rows with a chosen term, and where each begins
     rng = np.random.default_rng(0)
     p = {"b": np.array([bias]), "w": np.zeros(m), "v": rng.normal(0, 0.01, (m, factors))}
@@ -126,7 +118,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, step
             mean[k] += 0.1 * (grad[k] - mean[k])
             var[k] += 0.001 * (grad[k] ** 2 - var[k])
             p[k] -= rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(var[k] / (1 - 0.999**t)) + 1e-9)
-    return Machine(vocabulary[chosen], float(p["b"][0]), p["w"], p["v"])
+    return Machine(vocabulary, float(p["b"][0]), p["w"], p["v"])
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
@@ -135,17 +127,43 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
     known = labels.select(key.alias("i"), col(label_col).cast("int").alias("y")).where(may_learn(F.col("i")) & F.col("y").isin(0, 1) & F.col("i").isNotNull())
     chosen = known.orderBy(F.xxhash64("i"), "i", "y").limit(sample)
     texts = docs.select(key.alias("i"), col(text_col).cast("string").alias("t"))
-    joined = texts.join(F.broadcast(chosen), "i").select("i", "t", "y")  # at most ``sample`` rows
+    joined = written(texts.join(F.broadcast(chosen), "i").select("i", "t", "y"), "toxicity-sample")  # at most ``sample`` rows
+    whole = joined.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    if not 0 < whole["p"] < whole["n"]:
+        return fit([np.zeros(0, np.int64)] * whole["n"], np.full(whole["n"], float(whole["p"] > 0)))
+    vocabulary = _chosen_terms(joined, whole["n"], whole["p"])
+    known = joined.sparkSession.sparkContext.broadcast(set(vocabulary.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = [sorted(terms(t)) for t in batch.column(1).to_pylist()]
+            hashed = [sorted(terms(t) & known.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["i", "y", "h"])
 
     got = joined.mapInArrow(run, "i long, y int, h array<long>").toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
     hashed = got["h"].combine_chunks()
-    rows = np.split(hashed.flatten().to_numpy(), np.cumsum(pc.list_value_length(hashed).to_numpy())[:-1]) if len(got) else []
-    return fit(rows, got["y"].to_numpy().astype(float)) if rows else fit([np.zeros(0, np.int64)], np.zeros(1))
+    rows = np.split(hashed.flatten().to_numpy(), np.cumsum(pc.list_value_length(hashed).to_numpy())[:-1])
+    return fit(rows, got["y"].to_numpy().astype(float), vocabulary)
+
+
+def _chosen_terms(joined: DataFrame, n: int, positive: int) -> np.ndarray:
+    """Hashed terms, ascending, of the largest chi-square; terms are counted in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, y = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for a, b in slices(batch, texts):
+                found = [np.fromiter(x, np.int64, len(x)) for x in map(terms, texts[a:b])]
+                flat = np.concatenate(found)
+                h, at, have = np.unique(flat, return_inverse=True, return_counts=True)
+                hit = np.bincount(at, np.repeat(y[a:b], [len(x) for x in found]), len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(have), pa.array(hit)], names=["h", "have", "hit"])
+
+    counts = joined.mapInArrow(run, "h long, have long, hit long").groupBy("h").agg(F.sum("have").alias("have"), F.sum("hit").alias("hit"))
+    share = positive / n
+    have = F.col("have").cast("double")
+    chi2 = F.pow(F.col("hit") - have * share, F.lit(2.0)) / (have * (share * (1 - share)) * (1 - have / n))
+    best = counts.where((F.col("have") >= ROWS) & (F.col("have") < n)).select("h", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "h").limit(TERMS)
+    return np.sort(best.toPandas()["h"].to_numpy(np.int64))
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
