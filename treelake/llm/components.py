@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._spark import written
+from treelake.llm._spark import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,12 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        labels_now = labels.select("node", "component")
+        near = both.join(labels_now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = labels_now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         step = written(step, "labels-step")
         up = step.select(F.col("node").alias("up"), F.col("component").alias("over"))
         new = step.join(up, F.col("component") == F.col("up"), "left")
         new = written(new.select("node", "old", F.least("component", F.coalesce("over", "component")).alias("component")), "labels")
+        discard(step, labels)
         if not new.where("component < old").limit(1).count():
+            discard(both)
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = new

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col
-from treelake.llm._spark import written
+from treelake.llm._spark import discard, written
 from treelake.llm.components import components
 
 HEAVY = 1 << 16
@@ -245,13 +245,17 @@ class Join:
 
     def run(self) -> DataFrame:
         """(i, n, component) of each row."""
-        self.profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
-        classes = written(self.profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
-        nodes = self.profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
+        profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
+        classes = written(profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
+        nodes = profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
         self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
+        rows = written(profile.select("i", "n", "key"), "jaccard-rows")
+        discard(profile)
         window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
         homes = self.nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("pos", "region"))
-        members = written(self._open(self._central(homes)), "jaccard-members")
+        shared = self._shared(homes)
+        members = written(self._open(self._central(shared)), "jaccard-members")
+        discard(shared)
         links = self._pivot(members)
         labels = written(components(self._all([links])), "jaccard-labels")
         members = self._left(members, links, labels)
@@ -280,7 +284,7 @@ class Join:
             no = links.where("NOT linked").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
         named = classes.join(labels, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
-        out = self.profile.select("i", "n", "key").join(named, F.col("key") == F.col("k"), "left")
+        out = rows.join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
 
     @staticmethod
@@ -290,13 +294,16 @@ class Join:
             out = out.union(x.where("linked").select("a", "b"))
         return out
 
-    def _central(self, homes: DataFrame) -> DataFrame:
-        """Members of regions with two or more, with w: how many others a document meets in its regions, for each of its shingles.
+    def _shared(self, homes: DataFrame) -> DataFrame:
+        """Members of regions with two or more, with c: how many."""
+        counts = homes.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+        return written(homes.join(counts, "region"), "jaccard-shared")
+
+    def _central(self, members: DataFrame) -> DataFrame:
+        """members with w: how many others a document meets in its regions, for each of its shingles.
 
         An original shares all its window with its near copies, an edited copy lacks what was edited; so the largest w is central.
         """
-        shared = homes.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-        members = written(homes.join(shared, "region"), "jaccard-shared")
         weight = members.groupBy("node").agg((F.sum("c") / F.first("n")).alias("w"))
         return members.drop("c").join(weight, "node")
 
@@ -332,7 +339,9 @@ class Join:
         both = F.size(F.array_intersect("x", "y"))
         exact = exact.select("a", "b", (F.size("x") + F.size("y") - 2 * both).alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
         out = pairs.join(exact, ["a", "b"], "left").select("a", "b", "total", F.coalesce("differ", "bound").alias("bound"), F.coalesce(self.within(F.col("differ"), F.col("total")), F.lit(False)).alias("linked"))
-        return written(out, "jaccard-links")
+        out = written(out, "jaccard-links")
+        discard(pairs, sets)
+        return out
 
     def _left(self, members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
         """What of the pivots' regions is still to be compared, with new pivots.
