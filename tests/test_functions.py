@@ -128,3 +128,34 @@ def test_stream_batches(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("batches").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("batches").count() == watch.batch(df, "10 minutes").count()
+
+
+def test_sequential_batches(spark):
+    import random
+
+    from treelake.streaming import sequential
+
+    rnd = random.Random(0)
+    rows = [(k, k % 3, f"/p{rnd.randrange(4)}", 1_700_000_000_000 + k * rnd.choice([5, 10, 40])) for k in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, path string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r["event_id"]: r["batch"] for r in sequential.count_or_time_batches(df, 100, 2).collect()}
+    burst = {r["event_id"]: r["burst"] for r in sequential.capped_bursts(df, 60, 200).collect()}
+    for key, result, close in ((1, got, lambda t, o, last, held: t - o >= 100 or len(held) >= 2), (2, burst, lambda t, o, last, held: t - last >= 60 or t - o >= 200)):
+        for value in {r[key] for r in rows}:
+            opened, last, held, n = None, None, set(), -1
+            for r in sorted((r for r in rows if r[key] == value), key=lambda r: (r[3], r[0])):
+                if opened is None or close(r[3], opened, last, held):
+                    opened, held, n = r[3], set(), n + 1
+                held.add(r[2])
+                last = r[3]
+                assert result[r[0]] == n
+
+
+def test_existence_filter(spark):
+    from treelake.operators import storage
+
+    held = storage.existence_filter(spark.range(2000).selectExpr("concat('k', id) AS k"), "k", 2000)
+    asked = spark.range(6000).selectExpr("concat('k', id) AS k", "id")
+    rows = {r["id"]: r["may_exist"] for r in storage.may_exist(asked, "k", held).collect()}
+    assert all(rows[k] for k in range(2000))
+    assert sum(rows[k] for k in range(2000, 6000)) < 4000 * 0.03

@@ -287,3 +287,66 @@ def tiered_read(requests: DataFrame, hot: DataFrame, warm: DataFrame, cold: Data
         out = out.join(frame.select(F.col(key).alias(f"__{name}")).distinct(), F.col(key) == F.col(f"__{name}"), "left")
     found = F.coalesce(*(F.when(F.col(f"__{n}").isNotNull(), F.lit(n)) for n in ("warm", "cold", "hot")))
     return out.select(key, found.alias("tier"))
+
+
+def flush_extents(dirty: DataFrame, pages_each: int) -> DataFrame:
+    """dirty: (path, chunk, data). (path, extent_index, start_page, page_count, data, checksum): pages packed in order.
+
+    An extent has at most pages_each pages, so its list is bounded.
+    """
+    order = F.array_sort(F.collect_list(F.struct("chunk", "data")))
+    out = dirty.groupBy("path", F.floor(F.col("chunk") / pages_each).cast("int").alias("extent_index")).agg(order.alias("p"))
+    data = F.aggregate(F.transform("p", lambda x: x["data"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    out = out.select("path", "extent_index", F.col("p")[0]["chunk"].alias("start_page"), F.size("p").alias("page_count"), data.alias("data"))
+    return out.withColumn("checksum", F.sha2("data", 256))
+
+
+def existence_filter(rows: DataFrame, key: str, expected: int, rate: float = 0.01) -> tuple[DataFrame, int, int]:
+    """A Bloom filter as bitmaps of 32,768 positions each: (bucket, bits), positions in all, hashes of a key.
+
+    Positions m = -n ln p / (ln 2)^2, hashes m / n ln 2.
+    """
+    import math
+
+    m = max(8, math.ceil(-expected * math.log(rate) / math.log(2) ** 2))
+    k = max(1, round(m / max(expected, 1) * math.log(2)))
+    at = rows.select(F.explode(_positions(F.col(key), m, k)).alias("at"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")), m, k
+
+
+def _positions(key: Column, m: int, k: int) -> Column:
+    # Two hashes give all positions; a position counts from 1, as bitmap buckets do.
+    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
+    return F.array(*(F.pmod(a.bitwiseAND(F.lit((1 << 40) - 1)) + b.bitwiseAND(F.lit((1 << 40) - 1)) * j, F.lit(m)) + 1 for j in range(k)))
+
+
+def may_exist(requests: DataFrame, key: str, held: tuple[DataFrame, int, int]) -> DataFrame:
+    """requests with may_exist: false only for keys that were never put in."""
+    bitmaps, m, k = held
+    asked = requests.select(key).distinct().select(key, F.explode(_positions(F.col(key), m, k)).alias("at"))
+    asked = asked.withColumn("bucket", F.bitmap_bucket_number("at")).join(bitmaps, "bucket", "left")
+    pos = F.bitmap_bit_position("at")
+    byte = F.conv(F.hex(F.substring("bits", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))
+    return requests.join(asked.withColumn("hit", hit).groupBy(key).agg(F.bool_and("hit").alias("may_exist")), key, "left")
+
+
+def compression_stats(contents: DataFrame) -> DataFrame:
+    """(files, original, compressed, ratio) under DEFLATE, where smaller; contents under 1 KiB are kept as they are."""
+    from treelake.functions.scalars import deflate
+
+    size = F.octet_length("content").cast("long")
+    rows = contents.select(size.alias("size"), F.when(size >= 1024, F.octet_length(deflate(F.col("content").cast("binary")))).alias("small"))
+    stored = F.least("size", F.coalesce("small", "size"))
+    return rows.agg(F.count("*").alias("files"), F.sum("size").alias("original"), F.sum(stored).alias("compressed"), (F.sum(stored) / F.sum("size")).alias("ratio"))
+
+
+def put_objects(contents: DataFrame) -> DataFrame:
+    """(hash, size, data, references): framed, hashed, compressed, one row for each object."""
+    from treelake.functions import scalars
+
+    framed = scalars.framed("blob", F.col("content"))
+    rows = contents.select(F.sha1(framed).alias("hash"), F.octet_length("content").alias("size"), framed.alias("framed"))
+    # Counted before the bytes are compressed: each object is compressed once.
+    once = rows.groupBy("hash").agg(F.count("*").alias("references"), F.first("size").alias("size"), F.first("framed").alias("framed"))
+    return once.select("hash", "size", scalars.deflate("framed").alias("data"), "references")

@@ -322,3 +322,39 @@ def chunks(c: Catalog) -> DataFrame:
 @query("m24_chunk_store", "SELECT path, sha256(content) AS sha256 FROM regular WHERE starts_with(path, '/web/') AND content <> ''")
 def chunk_store(c: Catalog) -> DataFrame:
     return st.assemble(st.chunks(c.contents.where("path LIKE '/web/%'"), 512)).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("m22_flush_extents", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e) WHERE starts_with(path, '/web/')")
+def flush_extents(c: Catalog) -> DataFrame:
+    return st.flush_extents(st.chunks(c.contents.where("path LIKE '/web/%'"), 256), 4).drop("data")
+
+
+@query("a21_existence", "SELECT page_key, true AS may_exist FROM page_metadata WHERE access_count > 3")
+def existence(c: Catalog) -> DataFrame:
+    p = c.page_metadata.where("access_count > 3").select("page_key")
+    return st.may_exist(p, "page_key", st.existence_filter(c.page_metadata.where("access_count > 3"), "page_key", 100_000))
+
+
+@query("a17_compression")
+def compression(c: Catalog) -> DataFrame:
+    return st.compression_stats(c.contents)
+
+
+@query("d18_put_objects", 'SELECT sha1(encode(\'blob \' || strlen(content)) || \'\\x00\'::BLOB || encode(content)) AS hash, strlen(content) AS size, count(*) AS "references" FROM regular GROUP BY 1, 2')
+def put_objects(c: Catalog) -> DataFrame:
+    return st.put_objects(c.contents).drop("data")
+
+
+@query("f13_fnv")
+def fnv(c: Catalog) -> DataFrame:
+    return c.contents.where("path LIKE '/web/%'").select("path", scalars.fnv1a64(F.col("content").cast("binary")).alias("fnv"))
+
+
+@query("f16_codec", "SELECT path, 'none' AS codec FROM regular")
+def codec(c: Catalog) -> DataFrame:
+    return c.contents.select("path", scalars.codec(F.col("content").cast("binary")).alias("codec"))
+
+
+@query("f20_identity", "SELECT path, mode | 32768 AS mode FROM files WHERE type = 'file' AND uid = 3")
+def identity(c: Catalog) -> DataFrame:
+    return c.files.where("type = 'file' AND uid = 3").select("path", scalars.full_mode(F.col("mode"), F.col("type")).alias("mode"))

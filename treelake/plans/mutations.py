@@ -231,3 +231,18 @@ def rate_limit(c: Catalog) -> DataFrame:
 @query("t10_event_priority", "SELECT event_id, CASE type WHEN 'delete' THEN 3 WHEN 'rename' THEN 2 WHEN 'create' THEN 1 ELSE 0 END AS priority FROM watch_events ORDER BY priority DESC, event_id LIMIT 100")
 def event_priority(c: Catalog) -> DataFrame:
     return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id").limit(100)
+
+
+@query("w07_capped_debounce")
+def capped_debounce(c: Catalog) -> DataFrame:
+    from treelake.streaming.sequential import capped_bursts
+
+    rows = capped_bursts(c.watch_events, 3_600_000, 7_200_000)
+    return rows.groupBy("path", "burst").agg(F.count("*").alias("events"))
+
+
+@query("w10_count_or_time")
+def count_or_time(c: Catalog) -> DataFrame:
+    from treelake.streaming.sequential import count_or_time_batches
+
+    return count_or_time_batches(c.watch_events, 86_400_000, 2).select("event_id", "batch")
