@@ -48,8 +48,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE docs AS MATERIALIZED (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS m FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens, md5(coalesce(text, '')) AS m FROM documents
 ), sources AS MATERIALIZED (
   SELECT source, sum(tokens)::BIGINT AS total FROM docs GROUP BY source HAVING sum(tokens) > 0
 ), shares AS MATERIALIZED (
