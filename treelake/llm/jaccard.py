@@ -257,7 +257,7 @@ class Join:
         members = written(self._open(self._central(shared)), "jaccard-members")
         discard(shared)
         links = self._pivot(members)
-        labels = written(components(self._all([links])), "jaccard-labels")
+        labels = components(self._all([links]), rounds=1)
         members = self._left(members, links, labels)
         done = [links]
         for k in range(PIVOT_ROUNDS + DEPTH):
@@ -270,7 +270,7 @@ class Join:
                 big = written(self._open(self._cut(big, k - PIVOT_ROUNDS + 2)), "jaccard-cut")
             links = self._pivot(big)
             done.append(links)
-            labels = written(components(self._all(done)), "jaccard-labels")
+            labels = components(self._all(done), rounds=1)
             members = written(self._left(big, links, labels).unionByName(self._apart(small, labels)), "jaccard-members")
         rejected = None
         for k in range(FOREST_ROUNDS + 1):
@@ -279,10 +279,11 @@ class Join:
                 break
             links = self._links(pairs)
             done.append(links)
-            labels = written(components(self._all(done)), "jaccard-labels")
+            labels = components(self._all(done), rounds=1)
             members = written(self._apart(members, labels), "jaccard-members")
             no = links.where("NOT linked").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
+        labels = components(self._all(done))
         named = classes.join(labels, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
         out = rows.join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
