@@ -274,12 +274,14 @@ class Join:
             members = written(self._left(big, links, labels).unionByName(self._apart(small, labels)), "jaccard-members")
         rejected = None
         for k in range(FOREST_ROUNDS + 1):
-            pairs = self._leaves(members, labels, rejected, forest=k < FOREST_ROUNDS)
-            if not pairs.limit(1).count():
+            found = self._leaves(members, labels, rejected, forest=k < FOREST_ROUNDS)
+            if not found.limit(1).count():
                 break
-            links = self._links(pairs)
+            links = self._links(found.select("a", "b").distinct())
             done.append(links)
             labels = components(self._all(done), rounds=1)
+            # A region without a pair now never has one again.
+            members = members.join(found.select("region").distinct(), "region", "left_semi")
             members = written(self._apart(members, labels), "jaccard-members")
             no = links.where("NOT linked").select("a", "b")
             rejected = no if rejected is None else rejected.unionByName(no)
@@ -374,7 +376,7 @@ class Join:
         return rows.select(F.xxhash64("region", "s").alias("region"), "node", "n", "w", (F.col("before") + 1 + F.col("p")).alias("pos"))
 
     def _leaves(self, members: DataFrame, labels: DataFrame, rejected: DataFrame | None, forest: bool) -> DataFrame:
-        """(a, b): pairs within regions, of different components, that neither the bitmaps nor an earlier comparison parts.
+        """(region, a, b): pairs within regions, of different components, that neither the bitmaps nor an earlier comparison parts.
 
         forest: only as many as connect a region's components, so that copies never become all their pairs.
         """
@@ -406,17 +408,18 @@ class Join:
             bits, no = (t[k].combine_chunks() for k in ("bits", "no"))
             at = bits.offsets.to_numpy()
             flat = bits.values.to_numpy().view(np.uint64)
-            x, y = [], []
+            region, own, x, y = t["region"].to_numpy(), [], [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1 and (c[a:b] != c[a]).any():
                     known = [no[k].as_py() for k in range(a, b)] if len(no.values) else None
                     for i, js in _survivors(node[a:b], n[a:b], c[a:b], [flat[at[k] : at[k + 1]] for k in range(a, b)], known, num, den, forest):
+                        own.append(np.full(len(js), region[a]))
                         x.append(np.full(len(js), node[a + i]))
                         y.append(node[a + js])
             if x:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()), pa.array(np.concatenate(y), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (own, x, y)], names=["region", "a", "b"])
 
-        return written(rows.mapInArrow(run, "a long, b long").distinct(), "jaccard-leaves")
+        return written(rows.mapInArrow(run, "region long, a long, b long"), "jaccard-leaves")
 
 
 def _survivors(node: np.ndarray, n: np.ndarray, c: np.ndarray, bits: list[np.ndarray], rejected: list[list[int]] | None, num: int, den: int, forest: bool) -> Iterator[tuple[int, np.ndarray]]:
