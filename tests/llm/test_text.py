@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -80,6 +82,23 @@ def test_token_efficiency(spark):
     assert secrets.redact_text("a password=abcdefgh1 b", s.spans("a password=abcdefgh1 b")) == "a <SECRET> b"
 
 
+def test_letters_alone_are_no_identifier(spark):
+    s = secrets.scanner(spark)()
+    rnd = random.Random(5)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        text = "".join(rnd.choices(letters, k=40))
+        assert s.spans(f"key {text} end") == [(4, 3, 44)]
+        parts = "-".join("".join(rnd.choices(letters, k=12)) for _ in range(3))
+        assert s.spans(f"key {parts} end") == [(4, 3, 4 + len(parts))]
+    for clean in ("java/util/concurrent/ConcurrentHashMap", "MAX_CONNECTION_TIMEOUT_SECONDS", "getElementsByClassName2", "some_very_long_identifier_12"):
+        assert s.spans(clean) == [], clean
+    assert secrets.SEPARATORS.split("a+b/c") == ["a", "b", "c"] and not s.is_identifier("internationalization")
+    start = time.perf_counter()
+    s.is_random("a" * 200_000 + "12345x")
+    s.is_random("aB" * 100_000 + "_12345x")
+    assert time.perf_counter() - start < 5
+
+
 def test_secret_edges(spark, edge):
     rows = secrets.scan(edge).collect()
     assert len(rows) == edge.count()

@@ -6,8 +6,9 @@ characters. Each run of at least MIN_LENGTH key-like characters outside the
 pattern matches is encoded with a public byte-pair vocabulary (the tiktoken
 library), and is a secret when characters / tokens is below MAX_RATIO, unless it
 is a known digest (hex of the length of MD5, SHA-1, SHA-2), a UUID, a number, a
-date, or an identifier (words of letters joined by ``_``, ``-``, ``/``, ``.`` or
-camel case, with at most a short number at the end of each).
+date, or an identifier (two or more words of letters joined by ``_``, ``-``, ``/``
+or camel case, with at most a short number at the end of each part; every word
+must itself have MAX_RATIO characters a token, in lower case).
 
 Kinds of spans, in order: assign, access, hex (the patterns), token (the test).
 Offsets are code points, ends exclusive.
@@ -34,7 +35,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 NUMERIC = re.compile(r"[0-9+/_=-]+")
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+[0-9]{0,4}(?:[+/_=-]+|$))*(?:[a-z]+|[A-Z]+)?[0-9]{0,4}[+/_=-]*")
+SEPARATORS = re.compile(r"[+/_=-]+")
+PART = re.compile(r"([A-Za-z]+)[0-9]{0,4}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MIN_LENGTH = 20
 MAX_RATIO = 2.0
 
@@ -57,15 +60,29 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
         return found
 
-    def is_random(self, text: str) -> bool:
-        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or NUMERIC.fullmatch(text):
-            return False
-        if len(text) <= 512 and IDENTIFIER.fullmatch(text):
-            return False
+    def is_dense(self, text: str) -> bool:
+        """Whether the text has fewer than max_ratio characters a token."""
         # A long run is encoded in pieces: the cost of one encode call grows faster than its length.
         tokens = sum(len(self.encoding.encode_ordinary(text[k : k + 512])) for k in range(0, len(text), 512))
         return len(text) < self.max_ratio * tokens
 
+    def is_identifier(self, text: str) -> bool:
+        parts = [x for x in SEPARATORS.split(text) if x]
+        if len(parts) > 1 and NUMERIC.fullmatch(parts[-1]) and len(parts[-1]) <= 4:
+            parts.pop()
+        words: list[str] = []
+        for part in parts:
+            m = PART.fullmatch(part)
+            if not m:
+                return False
+            words += WORD.findall(m[1])
+        return len(words) > 1 and all(len(w) > 1 for w in words) and not any(self.is_dense(w.lower()) for w in words)
+
+    def is_random(self, text: str) -> bool:
+        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or NUMERIC.fullmatch(text):
+            return False
+        return self.is_dense(text) and not self.is_identifier(text)
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:
             return []
