@@ -2,13 +2,15 @@
 
 A tokenizer's vocabulary compresses natural text, identifiers and paths to
 several characters a token; a random string costs a token for every one to two
-characters. Each run of at least MIN_LENGTH key-like characters outside the
-pattern matches is encoded with a public byte-pair vocabulary (the tiktoken
+characters. Each run of at least MIN_LENGTH key-like characters, or piece of a
+run that pattern matches leave, is encoded with a public byte-pair vocabulary (the tiktoken
 library), and is a secret when characters / tokens is below MAX_RATIO, unless it
 is a known digest (hex of the length of MD5, SHA-1, SHA-2), a UUID, a number, a
 date, or an identifier (two or more words of letters joined by ``_``, ``-``, ``/``
 or camel case, with at most a short number at the end of each part; every word
-must itself have MAX_RATIO characters a token, in lower case).
+must itself have MAX_RATIO characters a token, in lower case). In a run that is
+none, each stretch of parts between separators that are below MAX_RATIO is tested
+in the same way, and then each of these parts.
 
 Kinds of spans, in order: assign, access, hex (the patterns), token (the test).
 Offsets are code points, ends exclusive.
@@ -36,6 +38,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 NUMERIC = re.compile(r"[0-9+/_=-]+")
 SEPARATORS = re.compile(r"[+/_=-]+")
+PADDING = re.compile(r"=*")
+PIECE = re.compile(r"(?<![A-Za-z0-9])(?P<uuid>[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12})(?![A-Za-z0-9])|[A-Za-z0-9]+")
 PART = re.compile(r"([A-Za-z]+)[0-9]{0,4}")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MIN_LENGTH = 20
@@ -50,6 +54,7 @@ class Scanner:
 
         self.encoding = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.candidate = CANDIDATE if min_length == MIN_LENGTH else re.compile(rf"[A-Za-z0-9+/_=-]{{{min_length},}}")
+        self.min_length = min_length
         self.max_ratio = max_ratio
 
     def patterns(self, text: str) -> list[tuple[int, int, int]]:
@@ -83,18 +88,69 @@ class Scanner:
             return False
         return self.is_dense(text) and not self.is_identifier(text)
 
+    def random_parts(self, run: str, a: int) -> list[tuple[int, int, int]]:
+        """The token spans of a run that starts at a: the whole of it, or else its stretches of dense parts."""
+        if len(run) < self.min_length:
+            return []
+        if self.is_random(run):
+            return [(a, 3, a + len(run))]
+        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or not SEPARATORS.search(run):
+            return []
+        found: list[tuple[int, int]] = []
+        stretch: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if stretch:
+                whole = (stretch[0][0], stretch[-1][1])
+                found.extend([whole] if self.is_key(run, *whole) else [x for x in stretch if self.is_key(run, *x)])
+                stretch.clear()
+
+        for m in PIECE.finditer(run):
+            if m["uuid"] or DIGEST.fullmatch(m[0]):
+                close()
+            elif len(m[0]) > 2:  # shorter ones are inside of keys as well as of paths
+                if NUMERIC.fullmatch(m[0]) or not self.is_dense(m[0]):
+                    close()
+                else:
+                    stretch.append(m.span())
+        close()
+        return [(a + s, 3, a + e + len(PADDING.match(run, e)[0])) for s, e in found]
+
+    def is_key(self, run: str, a: int, b: int) -> bool:
+        return b - a >= self.min_length and self.is_random(run[a:b])
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:
             return []
         found = self.patterns(text)
-        base = sorted((a, b) for a, _, b in found)
+        base: list[list[int]] = []  # disjoint, in order
+        for a, b in sorted((a, b) for a, _, b in found):
+            if base and a <= base[-1][1]:
+                base[-1][1] = max(base[-1][1], b)
+            else:
+                base.append([a, b])
         at = 0
         for m in self.candidate.finditer(text):
             a, b = m.span()
             while at < len(base) and base[at][1] <= a:
                 at += 1
-            if not any(s < b and e > a for s, e in base[at : at + 8]) and self.is_random(m[0]):
-                found.append((a, 3, b))
+            if at == len(base) or base[at][0] >= b:
+                found += self.random_parts(m[0], a)
+                continue
+            # What the base spans leave of the run, each piece on its own, without the separators beside a span.
+            while a < b:
+                cut = at < len(base) and base[at][0] < b
+                end = max(a, base[at][0]) if cut else b
+                piece = text[a:end]
+                if a > m.start():
+                    piece = piece.lstrip("+/_=-")
+                a = end - len(piece)
+                found += self.random_parts(piece.rstrip("+/_=-") if cut else piece, a)
+                if not cut:
+                    break
+                a = base[at][1]
+                if a < b:
+                    at += 1
         found.sort()
         return found
 
