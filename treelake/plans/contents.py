@@ -28,6 +28,12 @@ def grep_lines(c: Catalog) -> DataFrame:
     return rows.groupBy("path", "line", "content").agg(F.count("*").alias("hits"), F.min(F.instr("content", "th")).alias("first")).drop("content")
 
 
+@query("g02_grep_lines_all", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, 'th[ae]')) AS hits, min(strpos(content, 'th')) AS first FROM lines WHERE regexp_matches(content, 'th[ae]') GROUP BY path, line, content")
+def grep_lines_all(c: Catalog) -> DataFrame:
+    rows = g.grep(c.contents, g.Grep("th[ae]"))
+    return rows.groupBy("path", "line", "content").agg(F.count("*").alias("hits"), F.min(F.instr("content", "th")).alias("first")).drop("content")
+
+
 @query("g03_grep_word", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, '(?i)\\ble\\b')) AS hits FROM lines WHERE regexp_matches(content, '(?i)\\ble\\b')")
 def grep_word(c: Catalog) -> DataFrame:
     return g.grep(c.contents, g.Grep("le", literal=True, word=True, ignore_case=True)).groupBy("path", "line").agg(F.count("*").alias("hits"))
@@ -58,6 +64,11 @@ def grep_invert(c: Catalog) -> DataFrame:
     return g.grep(c.contents.where("path LIKE '/docs/src2/%'"), g.Grep("e", literal=True, invert=True)).select("path", "line", "column", "match")
 
 
+@query("g07_grep_invert_all", f"WITH {LINES} SELECT path, line, 1 AS \"column\", '' AS match FROM lines WHERE NOT contains(content, 'e')")
+def grep_invert_all(c: Catalog) -> DataFrame:
+    return g.grep(c.contents, g.Grep("e", literal=True, invert=True)).select("path", "line", "column", "match")
+
+
 @query("g08_grep_glob", f"WITH {LINES} SELECT DISTINCT path FROM lines WHERE path LIKE '%.md' AND contains(content, 'a')")
 def grep_glob(c: Catalog) -> DataFrame:
     return g.grep(c.contents, g.Grep("a", literal=True, glob="*.md", files_only=True)).select("path")
@@ -246,6 +257,11 @@ def object_hash(c: Catalog) -> DataFrame:
     return c.contents.where("path LIKE '/web/%'").select("path", scalars.object_hash("blob", F.col("content")).alias("hash"))
 
 
+@query("d16_object_hash_all", "SELECT path, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS hash FROM regular")
+def object_hash_all(c: Catalog) -> DataFrame:
+    return c.contents.select("path", scalars.object_hash("blob", F.col("content")).alias("hash"))
+
+
 @query("d17_object_path", "SELECT path, 'objects/' || blob_id[6:7] || '/' || blob_id[8:] AS object FROM files WHERE type = 'file'")
 def object_path(c: Catalog) -> DataFrame:
     h = F.substring("blob_id", 6, 64)
@@ -293,6 +309,11 @@ def chunk_range(c: Catalog) -> DataFrame:
     return st.range_of_chunks(rows, 700, 300, 512).select("path", F.lower(F.hex("data")).alias("data"))
 
 
+@query("d35_chunk_range_all", "SELECT path, lower(hex(encode(content)[701:1000])) AS data FROM regular WHERE strlen(content) > 512")
+def chunk_range_all(c: Catalog) -> DataFrame:
+    return st.range_of_chunks(st.chunks(c.contents, 512), 700, 300, 512).select("path", F.lower(F.hex("data")).alias("data"))
+
+
 @query("t04_oldest", "SELECT page_key, last_access_at FROM page_metadata WHERE tier = 'warm' ORDER BY last_access_at, page_key LIMIT 25")
 def oldest(c: Catalog) -> DataFrame:
     return st.oldest(c.page_metadata, 25, "warm").select("page_key", "last_access_at")
@@ -319,16 +340,32 @@ def chunks(c: Catalog) -> DataFrame:
     return rows.join(c.contents.select("path", F.octet_length("content").cast("long").alias("total")), "path").select("path", F.col("chunk").cast("long").alias("chunk"), "key", "total")
 
 
+@query("m23_chunks_all", "SELECT path, n AS chunk, '__page__' || path || ':' || n AS key, strlen(content) AS total FROM regular, unnest(range((strlen(content) + 511) // 512)) t(n)")
+def chunks_all(c: Catalog) -> DataFrame:
+    rows = st.chunks(c.contents, 512)
+    return rows.join(c.contents.select("path", F.octet_length("content").cast("long").alias("total")), "path").select("path", F.col("chunk").cast("long").alias("chunk"), "key", "total")
+
+
 @query("m24_chunk_store", "SELECT path, sha256(content) AS sha256 FROM regular WHERE starts_with(path, '/web/') AND content <> ''")
 def chunk_store(c: Catalog) -> DataFrame:
     return st.assemble(st.chunks(c.contents.where("path LIKE '/web/%'"), 512)).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+@query("m24_chunk_store_all", "SELECT path, sha256(content) AS sha256 FROM regular WHERE content <> ''")
+def chunk_store_all(c: Catalog) -> DataFrame:
+    return st.assemble(st.chunks(c.contents, 512)).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 @query("m22_flush_extents", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e) WHERE starts_with(path, '/web/')")
 def flush_extents(c: Catalog) -> DataFrame:
     return st.flush_extents(st.chunks(c.contents.where("path LIKE '/web/%'"), 256), 4).drop("data")
 
 
+@query("m22_flush_extents_all", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e)")
+def flush_extents_all(c: Catalog) -> DataFrame:
+    return st.flush_extents(st.chunks(c.contents, 256), 4).drop("data")
+
+
 @query("a21_existence", "SELECT page_key, true AS may_exist FROM page_metadata WHERE access_count > 3")
 def existence(c: Catalog) -> DataFrame:
     p = c.page_metadata.where("access_count > 3").select("page_key")
@@ -347,7 +384,7 @@ def put_objects(c: Catalog) -> DataFrame:
 
 @query("f13_fnv")
 def fnv(c: Catalog) -> DataFrame:
-    return c.contents.where("path LIKE '/web/%'").select("path", scalars.fnv1a64(F.col("content").cast("binary")).alias("fnv"))
+    return c.contents.select("path", scalars.fnv1a64(F.col("content").cast("binary")).alias("fnv"))
 
 
 @query("f16_codec", "SELECT path, 'none' AS codec FROM regular")

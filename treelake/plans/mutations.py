@@ -29,11 +29,22 @@ def append(c: Catalog) -> DataFrame:
     return ch.append(web, web.where(F.col("path").like("%7.html")).select("path", F.lit("+tail").alias("data"))).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+@query("m02_append_all", "SELECT path, sha256(content || CASE WHEN path LIKE '%7.%' THEN '+tail' ELSE '' END) AS sha256 FROM regular")
+def append_all(c: Catalog) -> DataFrame:
+    more = c.contents.where(F.col("path").like("%7.%")).select("path", F.lit("+tail").alias("data"))
+    return ch.append(c.contents, more).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 @query("m04_truncate", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular WHERE starts_with(path, '/chat/')")
 def truncate(c: Catalog) -> DataFrame:
     return ch.truncate(c.contents.where("path LIKE '/chat/%'"), 100).select("path", F.lower(F.hex("content")).alias("data"))
 
 
+@query("m04_truncate_all", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular")
+def truncate_all(c: Catalog) -> DataFrame:
+    return ch.truncate(c.contents, 100).select("path", F.lower(F.hex("content")).alias("data"))
+
+
 @query("m05_copy", "SELECT '/copy' || path[5:] AS path, blob_id FROM files WHERE path = '/web' OR starts_with(path, '/web/')")
 def copy(c: Catalog) -> DataFrame:
     return ch.copy_tree(c.files, "/web", "/copy").select("path", "blob_id")

@@ -74,16 +74,31 @@ def range_read(c: Catalog) -> DataFrame:
     return storage.range_read(c.contents.where("path LIKE '/web/%'"), 10, 29).select("path", F.lower(F.hex("data")).alias("data"))
 
 
+@query("s14_range_read_all", "SELECT path, lower(hex(encode(content)[11:30])) AS data FROM regular")
+def range_read_all(c: Catalog) -> DataFrame:
+    return storage.range_read(c.contents, 10, 29).select("path", F.lower(F.hex("data")).alias("data"))
+
+
 @query("s15_stream_read", "SELECT path, n AS chunk, lower(hex(encode(content)[n * 1024 + 1 : (n + 1) * 1024])) AS data FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(n) WHERE starts_with(path, '/docs/src3/')")
 def stream_read(c: Catalog) -> DataFrame:
     return storage.chunks(c.contents.where("path LIKE '/docs/src3/%'"), 1024).select("path", F.col("chunk").cast("long").alias("chunk"), F.lower(F.hex("data")).alias("data"))
 
 
+@query("s15_stream_read_all", "SELECT path, n AS chunk, lower(hex(encode(content)[n * 1024 + 1 : (n + 1) * 1024])) AS data FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(n)")
+def stream_read_all(c: Catalog) -> DataFrame:
+    return storage.chunks(c.contents, 1024).select("path", F.col("chunk").cast("long").alias("chunk"), F.lower(F.hex("data")).alias("data"))
+
+
 @query("s16_suffix_read", "SELECT path, lower(hex(encode(content)[greatest(strlen(content) - 15, 1):])) AS data FROM regular WHERE starts_with(path, '/web/')")
 def suffix_read(c: Catalog) -> DataFrame:
     return storage.suffix_read(c.contents.where("path LIKE '/web/%'"), 16).select("path", F.lower(F.hex("data")).alias("data"))
 
 
+@query("s16_suffix_read_all", "SELECT path, lower(hex(encode(content)[greatest(strlen(content) - 15, 1):])) AS data FROM regular")
+def suffix_read_all(c: Catalog) -> DataFrame:
+    return storage.suffix_read(c.contents, 16).select("path", F.lower(F.hex("data")).alias("data"))
+
+
 @query(
     "s17_overlay_pages",
     """WITH d AS (SELECT file_id, page_number, size * 2 AS size FROM page_metadata WHERE access_count = 3), s AS (SELECT file_id, page_number, size FROM page_metadata WHERE page_number < 2)
@@ -368,6 +383,13 @@ def encodings(c: Catalog) -> DataFrame:
     return c.contents.where("path LIKE '/web/%'").select("path", F.base64(F.encode(head, "UTF-8")).alias("b64"), F.lower(F.hex(head)).alias("hexa"))
 
 
+@query("f11_encodings_all", "SELECT path, base64(encode(content)) AS b64, lower(hex(encode(content))) AS hexa FROM regular")
+def encodings_all(c: Catalog) -> DataFrame:
+    # Spark may break base64 into lines of 76 characters.
+    b64 = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    return c.contents.select("path", b64.alias("b64"), F.lower(F.hex("content")).alias("hexa"))
+
+
 @query("f12_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_column(c: Catalog) -> DataFrame:
     return c.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
