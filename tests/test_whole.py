@@ -48,3 +48,11 @@ def test_fnv_of_longest(spark, texts):
         want = (want ^ b) * 0x100000001B3 % 2**64
     got = registry.QUERIES["f13_fnv"](spark, DATA).where(f"path = '{longest}'").first()["fnv"]
     assert (int(got, 16) if isinstance(got, str) else int(got) % 2**64) == want
+
+
+def test_orders_have_all_rows(spark):
+    c = Catalog(spark, DATA)
+    paths = [r["path"] for r in registry.QUERIES["t02_find_order_all"](spark, DATA).collect()]
+    assert len(paths) == c.files.count() > 100 and paths == sorted(paths)
+    events = [(-r["priority"], r["event_id"]) for r in registry.QUERIES["t10_event_priority_all"](spark, DATA).collect()]
+    assert len(events) == c.watch_events.count() > 100 and events == sorted(events)

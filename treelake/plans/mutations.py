@@ -244,6 +244,11 @@ def event_priority(c: Catalog) -> DataFrame:
     return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id").limit(100)
 
 
+@query("t10_event_priority_all", "SELECT event_id, CASE type WHEN 'delete' THEN 3 WHEN 'rename' THEN 2 WHEN 'create' THEN 1 ELSE 0 END AS priority FROM watch_events ORDER BY priority DESC, event_id")
+def event_priority_all(c: Catalog) -> DataFrame:
+    return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id")
+
+
 @query("w07_capped_debounce")
 def capped_debounce(c: Catalog) -> DataFrame:
     from treelake.streaming.sequential import capped_bursts

@@ -337,6 +337,11 @@ def find_order(c: Catalog) -> DataFrame:
     return ops.find(c.files, ops.Find()).limit(100)
 
 
+@query("t02_find_order_all", f"SELECT {STAT} FROM files ORDER BY path")
+def find_order_all(c: Catalog) -> DataFrame:
+    return ops.find(c.files, ops.Find()).orderBy("path")
+
+
 @query("j01_file_blob", "SELECT f.path, b.ref_count FROM files f JOIN blobs b ON b.id = f.blob_id")
 def file_blob(c: Catalog) -> DataFrame:
     return c.files.join(c.blobs.select("id", "ref_count").withColumnRenamed("id", "b"), F.col("blob_id") == F.col("b")).select("path", "ref_count")
