@@ -296,7 +296,24 @@ def test_op9_equals_brute_force(spark, docs):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("leaf", [4, 1024])
+def test_all_links_equal_brute_force(spark, leaf):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(5, 50, 5)] + [" ".join(base)] * 3 + ["other words of a text", "other words of a text", "", None]
+    rows = list(enumerate(texts, 1))
+    sets = {i: frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if (w := words(t)) else frozenset() for i, t in rows}
+    near = lambda a, b: a and b and 10 * len(a & b) >= 8 * len(a | b)
+    first = {i: min(j for j in sets if sets[j] == s) if s else None for i, s in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"]): (r["class_id"], r["n_links"]) for r in jaccard.link_counts(df, size=3, num=80, leaf=leaf).collect()}
+    assert got == {i: (first[i], sum(bool(near(s, t)) for j, t in sets.items() if j != i)) for i, s in sets.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in set(first.values()) - {None} for b in set(first.values()) - {None} if a < b and near(sets[a], sets[b])}
+    found = {(r["a"], r["b"]): r["similarity"] for r in jaccard.links(df, size=3, num=80, leaf=leaf).collect()}
+    assert len(want) > len({x for p in want for x in p}) and found == pytest.approx(want)
+
+
 def test_join_edges(edge):
+    assert {r["n_links"] for r in jaccard.link_counts(edge, size=2, num=80).collect()} == {0, 1}
     rows = jaccard.link(edge, size=2, num=80).collect()
     assert len(rows) == edge.count()
     assert {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 2), (None, None), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8)}

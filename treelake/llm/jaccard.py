@@ -243,16 +243,25 @@ class Join:
         """Whether sets that differ in so many of their ``total`` elements link."""
         return differ * (self.num + self.den) <= total * (self.den - self.num)
 
-    def run(self) -> DataFrame:
-        """(i, n, component) of each row."""
+    def _nodes(self) -> tuple[DataFrame, DataFrame]:
+        """(i, n, key) of each row and (key, node) of each distinct set; sets self.nodes."""
         profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
         classes = written(profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
         nodes = profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
         self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
         rows = written(profile.select("i", "n", "key"), "jaccard-rows")
         discard(profile)
+        return rows, classes
+
+    def _homes(self) -> DataFrame:
+        """(node, n, pos, region): a document in the region of each shingle of its window."""
         window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
-        homes = self.nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("pos", "region"))
+        return self.nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("pos", "region"))
+
+    def run(self) -> DataFrame:
+        """(i, n, component) of each row."""
+        rows, classes = self._nodes()
+        homes = self._homes()
         shared = self._shared(homes)
         members = written(self._open(self._central(shared)), "jaccard-members")
         discard(shared)
@@ -290,6 +299,27 @@ class Join:
         out = rows.join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
 
+    def pairs(self) -> tuple[DataFrame, DataFrame]:
+        """(i, n, node) of each row, and (a, b, differ, total) of every link between nodes, those within a component too.
+
+        A node is the least id with a set. Nothing is left out that the components already tell: in a group of
+        m distinct near copies all of up to m (m - 1) / 2 pairs are compared.
+        """
+        rows, classes = self._nodes()
+        shared = self._shared(self._homes())
+        counts = shared.groupBy("region").agg(F.ceil(F.first("c") / self.leaf).cast("int").alias("blocks"))
+        # A region of more than LEAF is dealt in blocks, each pair of blocks within a task.
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        members = shared.join(counts, "region").select("region", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
+        split = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+        members = members.select(F.when(F.col("blocks") > 1, split).otherwise(F.col("region")).alias("region"), "node")
+        alone = self.nodes.limit(0).select("node", F.col("node").alias("component"))
+        found = self._leaves(members, alone, None, forest=False)
+        links = self._links(found.select("a", "b").distinct()).where("linked")
+        ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        named = rows.join(classes.select(F.col("key").alias("k"), "node"), F.col("key") == F.col("k"), "left")
+        return named.select("i", "n", "node"), links.select(*ends, F.col("bound").alias("differ"), "total").dropDuplicates(["a", "b"])
+
     @staticmethod
     def _all(links: list[DataFrame]) -> DataFrame:
         out = links[0].where("linked").select("a", "b")
@@ -459,6 +489,29 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF) -> DataFrame:
+    """(a, b, similarity) of every two distinct sets that link, each named by the least id that has it; a < b."""
+    docs = df.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t"))
+    found = Join(docs, size, num, den, leaf).pairs()[1]
+    return found.select("a", "b", ((F.col("total") - F.col("differ")) / (F.col("total") + F.col("differ"))).alias("similarity"))
+
+
+def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF) -> DataFrame:
+    """(id, class_id, n_links) of each row: the least id with an equal set, and how many other documents it links to.
+
+    Copies count each, equal ones too; rows that share an id count once for each set. Null texts and texts without a word have no class and no links; a row with a
+    null id has the class and links of its set, and is no document for others.
+    """
+    docs = df.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t"))
+    rows, found = Join(docs, size, num, den, leaf).pairs()
+    sizes = rows.where("node IS NOT NULL AND i IS NOT NULL").groupBy("node").agg(F.countDistinct("i").alias("m"))
+    both = found.select("a", "b").union(found.select("b", "a"))
+    near = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("others"))
+    out = rows.join(sizes, "node", "left").join(near, "node", "left")
+    same = F.coalesce("m", F.lit(0)) - F.when(F.col("node").isNotNull() & F.col("i").isNotNull(), 1).otherwise(0)
+    return out.select(F.col("i").alias(id_col), F.col("node").alias("class_id"), (same + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of df, all columns, but of each group of linked documents only the one with the least id.
 
