@@ -7,26 +7,29 @@ Pivots of documents alone cannot part this space: unrelated texts all stand at a
 distance near 1 from each other and from any pivot, so that windows of the triangle
 inequality around far pivots hold every document. So there are two kinds of pivots.
 
-1. *Shingles as pivots.* All shingles are ranked (rare ones first, equal ones by
-   hash). A document's home is the region of its first shingle, and it is
-   replicated to the regions of the next ones within its window: were two sets to
-   differ in all of the first n - ceil(t n) + 1 shingles of one of them, their
-   distance would exceed r. So each link has a region that holds both ends.
-2. *Documents as pivots, recursively within a region.* A region's most
-   central document, which shares most with others, is its pivot; members within r of it link to it. A member x beyond r
-   stays, and a linked member y stays only if d(y, pivot) >= d(x, pivot) - r for some
-   such x: by the triangle inequality, other y can't link to any x. Members of one
-   component need no further comparison. What is left recurs with a new pivot, is cut
-   by a second shingle pivot where it is still large, or, once small, is compared
-   within a task.
-
-Distances are first bounded from below: a parity bitmap of a set (a bit for each
+1. *Shingles.* All shingles are ranked (rare ones first, equal ones by hash). A document
+   belongs to the regions of the first n - ceil(t n) + 1 of its shingles: were two sets
+   to differ in all of these of one of them, their distance would exceed r. So each link
+   has a region that holds both ends. Each region has a document as pivot, and the
+   regions of one pivot are its cell.
+2. *Documents as pivots, recursively within a cell.* Pivots are taken from a cell and
+   measured against its members. Each member goes to the Voronoi cell of its nearest
+   pivot, and as a boundary document to those of pivots within 2 r more than that. In a
+   pivot's cell, members linked to it are one component and need no comparison with
+   each other; by the triangle inequality, one of them can link to another only where
+   its distance is not less than the other's less r. Cells of up to LEAF documents do
+   this within a task (``Sets.forest``), larger ones as joins (``Join._pivots``); what
+   a few rounds leave of those is dealt in blocks, so that no cell needs to fit a task.
+
+Before that, distances are bounded from below: a parity bitmap of a set (a bit for each
 element, XOR of the elements' bits) differs from another's in no more bits than the
-sets differ in elements. Only pairs that pass are compared exactly, from whole texts.
+sets differ in elements. Only groups of documents that near bitmaps connect are
+compared exactly, from whole texts.
 
-Exact duplicates of a set are one node throughout. A pivot's star of links stands
-for the links among copies: components are exact, and a group of near copies never
-becomes all its pairs. Shingles are 64-bit hashes.
+Exact duplicates of a set are one node throughout. Links found are as many as connect a
+component: components are exact, and a group of near copies never becomes all its
+pairs. (``links`` and ``link_counts`` give all pairs of distinct sets.) Shingles are
+64-bit hashes.
 
 Ranking uses a table of at most HEAVY frequent shingles; it steers work only, the
 result is the same for any ranking.
@@ -34,7 +37,7 @@ result is the same for any ranking.
 Defined cases: a null text or one without words has the empty set, size 0 and no
 links; a text of fewer words than a shingle has its whole sequence as one shingle;
 texts are read whole; rows that share an id are one document with the links of
-all; rows with a null id have the component of the rows with an equal set, null if
+all, also where their sets differ; rows with a null id have the component of the rows with an equal set, null if
 none of them has an id; an empty table gives an empty result.
 """
 
@@ -46,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col
@@ -56,12 +59,10 @@ from treelake.llm.components import components
 HEAVY = 1 << 16
 #: A shingle is a candidate for HEAVY if so many documents of one slice have it.
 HEAVY_LEAST = 4
-#: Regions of up to LEAF documents are compared within a task.
-LEAF = 1024
-#: Rounds of spanning forests over what is left, before all of its pairs that the bitmaps don't part are compared.
-FOREST_ROUNDS = 3
-#: Document pivots before a large region is cut by a second shingle, and cuts.
-PIVOT_ROUNDS, DEPTH = 3, 2
+#: Cells of up to LEAF documents and ELEMENTS shingles are compared within a task.
+LEAF, ELEMENTS = 1024, 2 << 20
+#: Rounds of pivots in larger cells, and a round's pivots; what is left after them is dealt in blocks.
+PIVOT_ROUNDS, PIVOTS = 3, 4
 SLICE = 8 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -183,7 +184,16 @@ def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
     counts = docs.select("i", "t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
+    counts = written(counts, "jaccard-counts")
+    steps = F.floor(8 * F.log2("n")).cast("int")  # of like counts; the rarest ones that no longer fit are left out
+    used, least = 0, 0
+    for step, rows in sorted(((r["step"], r["count"]) for r in counts.groupBy(steps.alias("step")).count().collect()), reverse=True):
+        used += rows
+        if used > HEAVY:
+            least = step + 1
+            break
+    top = counts.where(steps >= least).toPandas()
+    discard(counts)
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
     place = np.empty(len(h), np.int64)
@@ -192,7 +202,7 @@ def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(i, n, key, prefix, bits): of each row its set's size, digest, ranked window with DEPTH more, and bitmap."""
+    """(i, n, key, prefix, bits): of each row its set's size, digest, ranked window, and bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(_heavy(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +219,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                         bits.append(prefixes[-1])
                         continue
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                    window = len(h) - -(-num * len(h) // den) + 1 + DEPTH
+                    window = len(h) - -(-num * len(h) // den) + 1
                     prefixes.append(ranked(h, heavy, order)[:window].view(np.int64))
                     bits.append(bitmap(h))
                 yield pa.RecordBatch.from_arrays(
@@ -219,14 +229,26 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.select("i", "t").mapInArrow(run, "i long, n long, key binary, prefix array<long>, bits array<long>")
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """Bits in which two bitmaps differ; the longer is folded, as its size is a power of two."""
+def _cut_runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of equal ``by`` from batches sorted by it: a table and where its runs begin, with its end."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        key = t[by].to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield t.slice(0, last).combine_chunks(), np.concatenate([[0], cuts])
+        held = t.slice(last)
+    if held is not None and len(held):
+        yield held.combine_chunks(), np.array([0, len(held)])
 
-    def fold(x: Column, y: Column) -> Column:
-        half = (F.size(x) / 2).cast("int")
-        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
-    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 class Join:
@@ -234,67 +256,25 @@ class Join:
         if not den < 2 * num <= 2 * den:
             raise ValueError("the threshold must be over 1/2 and at most 1")
         self.docs, self.size, self.num, self.den, self.leaf = docs, size, num, den, leaf
-
-    def near(self, n: Column, m: Column) -> Column:
-        """Sizes of two sets that may link."""
-        return F.least(n, m) * self.den >= F.greatest(n, m) * self.num
-
-    def within(self, differ: Column, total: Column) -> Column:
-        """Whether sets that differ in so many of their ``total`` elements link."""
-        return differ * (self.num + self.den) <= total * (self.den - self.num)
-
-    def _nodes(self) -> tuple[DataFrame, DataFrame]:
-        """(i, n, key) of each row and (key, node) of each distinct set; sets self.nodes."""
-        profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
-        classes = written(profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
-        nodes = profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
-        self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
-        rows = written(profile.select("i", "n", "key"), "jaccard-rows")
-        discard(profile)
-        return rows, classes
-
-    def _homes(self) -> DataFrame:
-        """(node, n, pos, region): a document in the region of each shingle of its window."""
-        window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
-        return self.nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("pos", "region"))
+        self.r = 1 - num / den
 
     def run(self) -> DataFrame:
         """(i, n, component) of each row."""
         rows, classes = self._nodes()
-        homes = self._homes()
-        shared = self._shared(homes)
-        members = written(self._open(self._central(shared)), "jaccard-members")
-        discard(shared)
-        links = self._pivot(members)
-        labels = components(self._all([links]), rounds=1)
-        members = self._left(members, links, labels)
-        done = [links]
-        for k in range(PIVOT_ROUNDS + DEPTH):
-            large = members.groupBy("region").count().where(F.col("count") > self.leaf)
-            if not large.limit(1).count():
-                break
-            big = members.join(large.select("region"), "region", "left_semi")
-            small = members.join(large.select("region"), "region", "left_anti")
-            if k >= PIVOT_ROUNDS:
-                big = written(self._open(self._cut(big, k - PIVOT_ROUNDS + 2)), "jaccard-cut")
-            links = self._pivot(big)
-            done.append(links)
-            labels = components(self._all(done), rounds=1)
-            members = written(self._left(big, links, labels).unionByName(self._apart(small, labels)), "jaccard-members")
-        rejected = None
-        for k in range(FOREST_ROUNDS + 1):
-            found = self._leaves(members, labels, rejected, forest=k < FOREST_ROUNDS)
-            if not found.limit(1).count():
-                break
-            links = self._links(found.select("a", "b").distinct())
-            done.append(links)
-            labels = components(self._all(done), rounds=1)
-            # A region without a pair now never has one again.
-            members = members.join(found.select("region").distinct(), "region", "left_semi")
-            members = written(self._apart(members, labels), "jaccard-members")
-            no = links.where("NOT linked").select("a", "b")
-            rejected = no if rejected is None else rejected.unionByName(no)
-        labels = components(self._all(done))
+        cells = self._cells()
+        large = self._large(cells)
+        found = [self._same_id(rows, classes)]
+        if large.limit(1).count():
+            rest, links = self._pivots(cells.join(large.select("cell"), "cell", "left_semi"))
+            found.append(links)
+            cells = self._small(cells, large).unionByName(self._blocks(rest))
+        else:
+            cells = self._small(cells, None)
+        found.append(self._exact(self._near(cells), every=False).select("a", "b"))
+        links = found[0]
+        for x in found[1:]:
+            links = links.unionByName(x)
+        labels = components(links)
         named = classes.join(labels, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
         out = rows.join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
@@ -306,180 +286,283 @@ class Join:
         m distinct near copies all of up to m (m - 1) / 2 pairs are compared.
         """
         rows, classes = self._nodes()
-        shared = self._shared(self._homes())
-        counts = shared.groupBy("region").agg(F.ceil(F.first("c") / self.leaf).cast("int").alias("blocks"))
-        # A region of more than LEAF is dealt in blocks, each pair of blocks within a task.
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        members = shared.join(counts, "region").select("region", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
-        split = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-        members = members.select(F.when(F.col("blocks") > 1, split).otherwise(F.col("region")).alias("region"), "node")
-        alone = self.nodes.limit(0).select("node", F.col("node").alias("component"))
-        found = self._leaves(members, alone, None, forest=False)
-        links = self._links(found.select("a", "b").distinct()).where("linked")
-        ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        cells = self._cells()
+        large = self._large(cells)
+        every = cells.join(large.select("cell"), "cell", "left_semi").withColumn("label", F.col("node"))
+        links = self._exact(self._near(self._small(cells, large).unionByName(self._blocks(every))), every=True)
         named = rows.join(classes.select(F.col("key").alias("k"), "node"), F.col("key") == F.col("k"), "left")
-        return named.select("i", "n", "node"), links.select(*ends, F.col("bound").alias("differ"), "total").dropDuplicates(["a", "b"])
+        return named.select("i", "n", "node"), links
 
-    @staticmethod
-    def _all(links: list[DataFrame]) -> DataFrame:
-        out = links[0].where("linked").select("a", "b")
-        for x in links[1:]:
-            out = out.union(x.where("linked").select("a", "b"))
-        return out
+    # Documents, sets and cells
+
+    def _nodes(self) -> tuple[DataFrame, DataFrame]:
+        """(i, n, key) of each row and (key, node) of each distinct set; sets self.nodes."""
+        profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
+        classes = written(profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
+        nodes = profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
+        self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
+        rows = written(profile.select("i", "n", "key"), "jaccard-rows")
+        discard(profile)
+        return rows, classes
 
-    def _shared(self, homes: DataFrame) -> DataFrame:
-        """Members of regions with two or more, with c: how many."""
-        counts = homes.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-        return written(homes.join(counts, "region"), "jaccard-shared")
+    def _same_id(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """(a, b): the nodes of rows with one id and several sets."""
+        known = rows.where("n > 0 AND i IS NOT NULL").groupBy("i").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("i")
+        several = rows.join(known, "i", "left_semi").where("n > 0").join(classes.select(F.col("key").alias("k"), "node"), F.col("key") == F.col("k")).select("i", "node").distinct()
+        return several.join(several.groupBy("i").agg(F.min("node").alias("a")), "i").select("a", F.col("node").alias("b"))
 
-    def _central(self, members: DataFrame) -> DataFrame:
-        """members with w: how many others a document meets in its regions, for each of its shingles.
+    def _cells(self) -> DataFrame:
+        """(cell, node, n): a document in the cell of the pivot of each region of its window.
 
-        An original shares all its window with its near copies, an edited copy lacks what was edited; so the largest w is central.
+        A region's pivot is its document of the least hash. Regions with the same members count once, and the
+        cell of a pivot is the union of the regions that it leads: near copies, which share most of their
+        regions, meet once and not in each of them.
         """
-        weight = members.groupBy("node").agg((F.sum("c") / F.first("n")).alias("w"))
-        return members.drop("c").join(weight, "node")
-
-    def _open(self, members: DataFrame) -> DataFrame:
-        """Members of regions with two or more, each with its region's pivot: the most central one."""
-        pivots = members.groupBy("region").agg(F.max(F.struct("w", F.xxhash64("node").alias("h"), "node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-        pivots = pivots.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        return members.join(pivots, "region")
-
-    def _pivot(self, members: DataFrame) -> DataFrame:
-        """(a: pivot, b: member, linked, bound, total): every pivot against its members of like size."""
-        pairs = members.where((F.col("node") != F.col("pivot")) & self.near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        return self._links(pairs)
-
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        bits = self.nodes.select("node", "n", "bits")
-        pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab")), "a")
-        pairs = pairs.join(bits.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb")), "b")
-        pairs = written(pairs.select("a", "b", (F.col("an") + F.col("bn")).alias("total"), _differ(F.col("ab"), F.col("bb")).alias("bound")), "jaccard-pairs")
-        maybe = pairs.where(self.within(F.col("bound"), F.col("total"))).select("a", "b")
-        needed = maybe.select(F.col("a").alias("i")).union(maybe.select(F.col("b").alias("i"))).distinct()
-        texts = self.docs.select("i", "t").join(needed, "i", "left_semi")
+        window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
+        homes = self.nodes.select("node", "n", F.explode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("region"))
+        h = F.xxhash64("node")
+        regions = homes.groupBy("region").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("who"), F.min(F.struct(h.alias("h"), "node")).alias("lead")).where("c > 1")
+        regions = regions.groupBy("lead", "who", "c").agg(F.min("region").alias("region")).select("region", F.col("lead.node").alias("cell"))
+        return written(homes.join(regions, "region").select("cell", "node", "n").distinct(), "jaccard-cells")
+
+    def _large(self, cells: DataFrame) -> DataFrame:
+        """(cell, c) of cells of over ``leaf`` documents or ELEMENTS shingles, which don't go to a task whole."""
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        return written(sizes.where((F.col("c") > self.leaf) | (F.col("w") > ELEMENTS) & (F.col("c") > 2)).select("cell", "c"), "jaccard-large")
+
+    def _small(self, cells: DataFrame, large: DataFrame | None) -> DataFrame:
+        out = cells if large is None else cells.join(large.select("cell"), "cell", "left_anti")
+        return out.select("cell", "node", F.col("node").alias("label"))
+
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, h): the sets of documents, from their whole texts."""
+        texts = self.docs.select("i", "t").join(nodes.select(F.col("node").alias("i")).distinct(), "i", "left_semi")
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Shingler(size)
             for batch in batches:
                 for a, b in _rows(batch):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.view(np.int64) for h in make.sets(batch.column(1).slice(a, b - a))], pa.list_(pa.int64()))], names=["i", "h"])
-
-        sets = written(texts.mapInArrow(run, "i long, h array<long>"), "jaccard-sets")
-        exact = maybe.join(sets.select(F.col("i").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("i").alias("b"), F.col("h").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        exact = exact.select("a", "b", (F.size("x") + F.size("y") - 2 * both).alias("differ")).groupBy("a", "b").agg(F.min("differ").alias("differ"))
-        out = pairs.join(exact, ["a", "b"], "left").select("a", "b", "total", F.coalesce("differ", "bound").alias("bound"), F.coalesce(self.within(F.col("differ"), F.col("total")), F.lit(False)).alias("linked"))
-        out = written(out, "jaccard-links")
-        discard(pairs, sets)
-        return out
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.view(np.int64) for h in make.sets(batch.column(1).slice(a, b - a))], pa.list_(pa.int64()))], names=["node", "h"])
+
+        return written(texts.mapInArrow(run, "node long, h array<long>"), "jaccard-sets")
+
+    # Large cells
 
-    def _left(self, members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-        """What of the pivots' regions is still to be compared, with new pivots.
+    def _pivots(self, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rounds of PIVOTS documents of each large cell against all its members.
 
-        Distance, from the number of differing elements d and both sizes' sum s: 2d / (s + d).
+        Gives what is still to be compared (cell, node, n, label, c), and links (a, b). Members linked to one
+        pivot are one component, whose members need no comparison with each other.
         """
-        rest = members.where("node <> pivot").join(links.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked", (2 * F.col("bound") / (F.col("total") + F.col("bound"))).alias("d")), ["pivot", "node"], "left")
-        # A size too unlike the pivot's: the distance is at least 1 - least / greatest.
-        rest = rest.withColumn("d", F.coalesce("d", 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"))).withColumn("linked", F.coalesce("linked", F.lit(False)))
-        rest = rest.select("region", "node", "n", "w", "pos", "linked", "d")
-        far = rest.where("NOT linked").groupBy("region").agg(F.min("d").alias("least"))
-        r = 1 - self.num / self.den
-        rest = rest.join(far, "region").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("region", "node", "n", "w", "pos")
-        return written(self._apart(self._open(rest), labels), "jaccard-left")
-
-    def _apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of regions that hold more than one component."""
-        members = members.select("region", "node", "n", "w", "pos", "pivot", "pivot_n")
-        label = members.select("node", "region").join(labels, "node", "left").select("region", F.coalesce("component", "node").alias("c"))
-        mixed = label.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("region")
-        return members.join(mixed, "region", "left_semi")
-
-    def _cut(self, members: DataFrame, depth: int) -> DataFrame:
-        """Regions cut by their documents' next shingles: a linked pair shares a ``depth``-th one within the longer window."""
-        window = F.col("m") - F.expr(f"(m * {self.num} + {self.den - 1}) div {self.den}") + depth
-        rows = members.select("region", "node", "n", "w", "pos").join(self.nodes.select("node", F.col("n").alias("m"), "prefix"), "node")
-        rest = F.slice("prefix", F.col("pos") + 2, F.greatest(window.cast("int") - F.col("pos") - 1, F.lit(0)))
-        rows = rows.select("region", "node", "n", "w", F.col("pos").alias("before"), F.posexplode(rest).alias("p", "s"))
-        return rows.select(F.xxhash64("region", "s").alias("region"), "node", "n", "w", (F.col("before") + 1 + F.col("p")).alias("pos"))
-
-    def _leaves(self, members: DataFrame, labels: DataFrame, rejected: DataFrame | None, forest: bool) -> DataFrame:
-        """(region, a, b): pairs within regions, of different components, that neither the bitmaps nor an earlier comparison parts.
-
-        forest: only as many as connect a region's components, so that copies never become all their pairs.
+        sets = self._sets(cells)
+        found: list[DataFrame] = []
+        rest = written(cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")), "cell").select("cell", "node", "n", F.col("node").alias("label"), "c"), "jaccard-rest")
+        for k in range(PIVOT_ROUNDS):
+            measured = self._measure(rest, sets, k)
+            found.append(measured.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+            links = found[0]
+            for x in found[1:]:
+                links = links.unionByName(x)
+            rest = self._parted(rest, measured, components(links))
+            if not rest.where(F.col("c") > self.leaf).limit(1).count():
+                break
+        return rest, links
+
+    def _measure(self, rest: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+        """(cell, node, pivot, d, linked): distances of members to the cell's pivots.
+
+        Members are dealt by hash to parts of about ``leaf``; a cell's pivots go to each of its parts.
+        Pivots are the members of least hash, a component's that is no majority first.
         """
-        rows = members.select("region", "node").distinct().join(self.nodes.select("node", "n", "bits"), "node").join(labels, "node", "left")
-        if rejected is None:
-            rows = rows.withColumn("no", F.array().cast("array<bigint>"))
-        else:
-            both = rejected.union(rejected.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no"))
-            rows = rows.join(both, "node", "left").withColumn("no", F.coalesce("no", F.array().cast("array<bigint>")))
-        rows = rows.select("region", "node", "n", F.coalesce("component", "node").alias("c"), "bits", "no").repartition("region").sortWithinPartitions("region", "n", "node")
+        few = F.when(F.col("label") == F.col("node"), 0).otherwise(1)
+        least = [F.min(F.struct(few.alias("few"), F.xxhash64(F.lit(k * PIVOTS + s), "node").alias("h"), "node")).alias(f"p{s}") for s in range(PIVOTS)]
+        pivots = rest.groupBy("cell").agg(F.first("c").alias("c"), *least)
+        parts = F.ceil(F.col("c") / self.leaf).cast("int")
+        pivots = pivots.select("cell", parts.alias("parts"), F.explode(F.array_distinct(F.array(*[F.col(f"p{s}.node") for s in range(PIVOTS)]))).alias("pivot"))
+        pivots = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("h").alias("ph")), "pivot").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "ph")
+        members = rest.select("cell", "node", F.pmod(F.xxhash64(F.lit(-1), "node"), parts).cast("int").alias("part")).join(sets, "node")
+        both = F.size(F.array_intersect("h", "ph"))
+        total = F.size("h") + F.size("ph")
+        out = members.join(pivots, ["cell", "part"]).select("cell", "node", "pivot", (1 - both / (total - both)).alias("d"), (both * (self.num + self.den) >= total * self.num).alias("linked"))
+        return written(out.groupBy("cell", "node", "pivot").agg(F.min("d").alias("d"), F.max("linked").alias("linked")), "jaccard-measured")
+
+    def _parted(self, rest: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of cells that hold more than one component, without what the pivots have done.
+
+        Voronoi cells: a document goes to the pivots that are no farther than its nearest one and 2 r, so
+        linked documents meet in the nearest pivot's cell of either. In a pivot's cell, one that is linked to
+        it stays only if its distance is not less than that of one that isn't, less r: the triangle inequality
+        parts it from all others. Where the windows don't part a cell, it stays one.
+        """
+        r, eps = self.r, 1e-9
+        labels = labels.select(F.col("node").alias("who"), "component")
+        nearest = measured.groupBy("cell", "node").agg(F.min("d").alias("nearest"), F.max(F.col("node") == F.col("pivot")).alias("done"))
+        near = measured.join(nearest.where("NOT done"), ["cell", "node"]).where(F.col("d") <= F.col("nearest") + 2 * r + eps)
+        far = near.where("NOT linked").groupBy("cell", "pivot").agg(F.min("d").alias("least"))
+        near = near.join(far, ["cell", "pivot"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - r - eps)).select("cell", "pivot", "node")
+        sums = near.groupBy("cell").agg(F.count("*").alias("rows")).join(rest.groupBy("cell").agg(F.first("c").alias("c")), "cell")
+        parted = sums.select("cell", (F.col("rows") <= F.col("c") * 5 / 4).alias("parted"))
+        rest = rest.drop("label", "c").join(nearest.where("NOT done").select("cell", "node"), ["cell", "node"])
+        split = near.join(parted.where("parted"), "cell").join(rest, ["cell", "node"]).select(F.xxhash64("cell", "pivot").alias("cell"), "node", "n")
+        whole = rest.join(parted.where("NOT parted"), "cell").select("cell", "node", "n")
+        out = split.unionByName(whole).join(labels, F.col("node") == F.col("who"), "left").select("cell", "node", "n", F.coalesce("component", "node").alias("label"))
+        out = written(out, "jaccard-parted")
+        mixed = out.groupBy("cell").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell", "c")
+        return written(out.join(mixed, "cell"), "jaccard-rest")
+
+    def _blocks(self, rest: DataFrame) -> DataFrame:
+        """(cell, node, label): cells dealt in blocks of half of ``leaf``, each two blocks that may hold a pair in one cell.
+
+        Members of the most frequent component are compared with the others only, so that with few others the rows grow as the cell.
+        """
+        half = max(1, self.leaf // 2)
+        counts = rest.groupBy("cell", "label").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+        blocks = lambda c: F.greatest(F.ceil(c / half), F.lit(1)).cast("int")
+        counts = counts.select("cell", F.col("top.label").alias("main"), blocks(F.col("top.c")).alias("mains"), blocks(F.col("all") - F.col("top.c")).alias("others"))
+        rows = rest.select("cell", "node", "label").join(counts, "cell").withColumn("is_main", F.col("label") == F.col("main"))
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+        rows = rows.withColumn("own", own)
+        cross = rows.select("cell", "node", "label", "own", F.col("is_main").alias("m"), F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("mains")) - 1)).alias("other"))
+        cross = cross.select(F.xxhash64("cell", F.lit("main"), F.when(F.col("m"), F.col("own")).otherwise(F.col("other")), F.when(F.col("m"), F.col("other")).otherwise(F.col("own"))).alias("cell"), "node", "label")
+        among = rows.where("NOT is_main").select("cell", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+        among = among.select(F.xxhash64("cell", F.lit("other"), F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "label")
+        return cross.unionByName(among)
+
+    # Small cells
+
+    def _near(self, cells: DataFrame) -> DataFrame:
+        """(g, node): groups of a cell's members that a chain of near bitmaps connects; the same group of several cells is one."""
+        rows = cells.join(self.nodes.select("node", "n", "bits"), "node").select("cell", "n", "node", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "node")
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-                region = t["region"].to_numpy()
-                cuts = np.flatnonzero(region[1:] != region[:-1]) + 1
-                last = int(cuts[-1]) if len(cuts) else 0
-                if last:
-                    yield from compare(t.slice(0, last), np.concatenate([[0], cuts]))
-                held = t.slice(last)
-            if held is not None and len(held):
-                yield from compare(held, np.array([0, len(held)]))
-
-        def compare(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            node, n, c = (t[k].to_numpy() for k in ("node", "n", "c"))
-            bits, no = (t[k].combine_chunks() for k in ("bits", "no"))
-            at = bits.offsets.to_numpy()
-            flat = bits.values.to_numpy().view(np.uint64)
-            region, own, x, y = t["region"].to_numpy(), [], [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b - a > 1 and (c[a:b] != c[a]).any():
-                    known = [no[k].as_py() for k in range(a, b)] if len(no.values) else None
-                    for i, js in _survivors(node[a:b], n[a:b], c[a:b], [flat[at[k] : at[k + 1]] for k in range(a, b)], known, num, den, forest):
-                        own.append(np.full(len(js), region[a]))
-                        x.append(np.full(len(js), node[a + i]))
-                        y.append(node[a + js])
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (own, x, y)], names=["region", "a", "b"])
-
-        return written(rows.mapInArrow(run, "region long, a long, b long"), "jaccard-leaves")
-
-
-def _survivors(node: np.ndarray, n: np.ndarray, c: np.ndarray, bits: list[np.ndarray], rejected: list[list[int]] | None, num: int, den: int, forest: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js) of rows in ascending size: pairs of like size, different component and near bitmaps.
+            for t, cuts in _cut_runs(batches, "cell"):
+                node, n, label = (t[k].to_numpy() for k in ("node", "n", "label"))
+                bits, g, out = [x.view(np.uint64) for x in _lists(t["bits"])], [], []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    for group in _groups(n[a:b], label[a:b], bits[a:b], num, den):
+                        ids = np.unique(node[a:b][group])
+                        if len(ids) > 1:
+                            out.append(ids)
+                            g.append(np.full(len(ids), np.frombuffer(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), np.int64)[0]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (g, out)], names=["g", "node"])
+
+        return written(rows.mapInArrow(run, "g long, node long").distinct(), "jaccard-groups")
+
+    def _exact(self, groups: DataFrame, every: bool) -> DataFrame:
+        """(a, b, differ, total) of linked sets of the groups: all links, or else as many as connect what is linked."""
+        sets = self._sets(groups)
+        rows = groups.join(sets, "node").select("g", "node", "h").repartition("g").sortWithinPartitions("g", "node")
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, cuts in _cut_runs(batches, "g"):
+                node, h = t["node"].to_numpy(), _lists(t["h"])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    one = Sets(h[a:b], num, den)
+                    x, y, differ, total = one.all() if every else one.forest()
+                    if len(x):
+                        ends = np.sort(np.stack([node[a:b][x], node[a:b][y]]), 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (*ends, differ, total)], names=["a", "b", "differ", "total"])
+
+        links = rows.mapInArrow(run, "a long, b long, differ long, total long").where("a <> b")
+        out = written(links.groupBy("a", "b").agg(F.min(F.struct("differ", "total")).alias("x")).select("a", "b", "x.differ", "x.total") if every else links, "jaccard-links")
+        discard(sets)
+        return out
+
+
+def _groups(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Members, in ascending size, that pairs of like size, different label and near bitmaps connect.
 
     A row looks only at those up to its size window's end, whose longer bitmaps are folded to its own length.
     """
     ends = np.searchsorted(n, n * den // num, "right")
-    label = np.unique(c, return_inverse=True)[1]
+    own, group = np.unique(label, return_inverse=True)[1], np.arange(len(n))
     folded: dict[int, tuple[int, np.ndarray]] = {}  # by width: rows from the first of that width on
+    widths = np.array([len(x) for x in bits])
     for i in range(len(n) - 1):
-        width, end = len(bits[i]), int(ends[i])
-        js = np.arange(i + 1, end)
-        js = js[label[js] != label[i]]
-        if not len(js):
+        width, end = int(widths[i]), int(ends[i])
+        if end == i + 1:
             continue
         if width not in folded:
-            most = int(ends[max(k for k in range(i, len(n)) if len(bits[k]) == width)])
-            folded[width] = i, np.stack([np.bitwise_xor.reduce(bits[k].reshape(-1, width), 0) for k in range(i, most)])
+            most = int(ends[np.flatnonzero(widths == width)[-1]])
+            folded[width] = i, np.stack([x if len(x) == width else np.bitwise_xor.reduce(x.reshape(-1, width), 0) for x in bits[i:most]])
         first, table = folded[width]
-        differ = np.bitwise_count(table[js - first] ^ bits[i]).sum(1, dtype=np.int64)
-        js = js[differ * (num + den) <= (n[js] + n[i]) * (den - num)]
-        if rejected is not None and rejected[i]:
-            js = js[~np.isin(node[js], rejected[i])]
-        if not len(js):
-            continue
-        if forest:
-            js = js[np.unique(label[js], return_index=True)[1]]
-            label[np.isin(label, label[js])] = label[i]
-        yield i, js
+        differ = np.bitwise_count(table[i + 1 - first : end - first] ^ bits[i]).sum(1, dtype=np.int64)
+        js = i + 1 + np.flatnonzero((differ * (num + den) <= (n[i + 1 : end] + n[i]) * (den - num)) & (own[i + 1 : end] != own[i]))
+        if len(js) and (group[js] != group[i]).any():
+            group[np.isin(group, group[js])] = group[i]
+    order = np.argsort(group, kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(x) > 1]
+
+
+class Sets:
+    """Exact distances among a few sets of shingles."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int) -> None:
+        self.n = np.array([len(x) for x in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+        self.num, self.den, self.r = num, den, 1 - num / den
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many elements each set has in common with set i."""
+        own = self.flat[self.at[i] : self.at[i + 1]]
+        self.mark[own] = True
+        out = np.add.reduceat(self.mark[self.flat], self.at[:-1], dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+    def linked(self, i: int, shared: np.ndarray) -> np.ndarray:
+        return shared * (self.num + self.den) >= self.num * (self.n + self.n[i])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, differ, total) of all links, x < y."""
+        out = []
+        for i in range(len(self.n) - 1):
+            shared = self.shared(i)
+            y = i + 1 + np.flatnonzero(self.linked(i, shared)[i + 1 :])
+            total = self.n[y] + self.n[i]
+            out.append((np.full(len(y), i), y, total - 2 * shared[y], total))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, 0, 0): for each set but the least of what is linked, a pair with the least.
+
+        Pivots are taken until each set is within r of one. Their Voronoi cells are widened by the windows of
+        the triangle inequality, and within a widened cell sets that aren't connected yet are compared.
+        """
+        m = len(self.n)
+        label, far, pivots, distance = np.arange(m), np.ones(m, bool), [], []
+        while far.any():
+            p = int(np.argmax(far))
+            shared = self.shared(p)
+            linked = self.linked(p, shared)
+            label[np.isin(label, label[linked])] = label[linked].min()
+            far &= ~linked
+            pivots.append(p)
+            distance.append(1 - shared / (self.n + self.n[p] - shared))
+        if (label != label[0]).any():
+            d = np.stack(distance)
+            home, nearest = d.argmin(0), d.min(0)
+            for q, p in enumerate(pivots):
+                window = np.flatnonzero(d[q] <= nearest + 2 * self.r + 1e-9)
+                if (label[window] == label[p]).all():
+                    continue
+                for y in np.flatnonzero(home == q):
+                    other = window[(label[window] != label[y]) & (np.abs(d[q, window] - d[q, y]) <= self.r + 1e-9)]
+                    if y != p and len(other):
+                        linked = self.linked(y, self.shared(y))
+                        label[np.isin(label, label[linked])] = label[linked].min()
+        least = {}
+        for k, x in enumerate(label.tolist()):
+            least.setdefault(x, k)
+        y = np.flatnonzero(np.array([least[x] for x in label.tolist()]) != np.arange(m))
+        x = np.array([least[k] for k in label[y].tolist()], np.int64)
+        return x, y, np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF) -> DataFrame:
