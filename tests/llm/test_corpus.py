@@ -327,3 +327,31 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize(("num", "leaf", "elements"), [(80, 4096, 1 << 21), (90, 8, 1 << 21), (80, 4096, 300), (70, 16, 300)])
+def test_large_cells_equal_brute_force(spark, num, leaf, elements):
+    """A ball of near copies, chains of small edits and boilerplate, with limits that send them through pivots and blocks."""
+    rnd = random.Random(num + leaf)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            w[rnd.randrange(60)] = f"e{rnd.randrange(200)}"
+        rows.append((i, " ".join(w[: rnd.choice([60, 60, 58, 52])])))
+    chain = [f"c{k}" for k in range(80)]
+    for i in range(100, 160):
+        rows.append((i, " ".join(chain)))
+        chain = [*chain[2:], f"d{i}", f"f{i}"]
+    for i in range(200, 260):
+        rows.append((i, " ".join(base[:20] + [f"u{i}x{k}" for k in range(rnd.choice([3, 10, 30]))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.Join(df.selectExpr("doc_id AS i", "text AS t"), 2, num, 100, leaf, elements).run()
+    assert {r["i"]: (r["n"], r["component"]) for r in out.collect()} == brute_components(rows, 2, num, 100)
+
+
+def test_sets_of_one_id_are_one_document(spark):
+    rows = [(1, "a b c d e"), (2, "p q r s t"), (3, "a b c d e"), (3, "p q r s t")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}

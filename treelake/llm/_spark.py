@@ -5,18 +5,21 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir.
 
-    Where that is unset (tests, local mode), a folder of the machine is set as
+    Where that is unset and the master is local (tests), a folder of the machine is set as
     checkpoint directory, which is right as all tasks run on that machine.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="treelake-"))
@@ -45,5 +48,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys of up to so many rows, 8 bytes each, are broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose ``key``, a long, is one of ``keys``.
+
+    A few keys are broadcast, so that df, which may hold whole texts, isn't shuffled; more are joined by Spark's own choice.
+    """
+    keys = written(keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,14 +11,15 @@ inequality around far pivots hold every document. So there are two kinds of pivo
    belongs to the regions of the first n - ceil(t n) + 1 of its shingles: were two sets
    to differ in all of these of one of them, their distance would exceed r. So each link
    has a region that holds both ends. Each region has a document as pivot, and the
-   regions of one pivot are its cell.
+   regions of one pivot are its cell. A document whose window and half as many
+   shingles more are not shared often enough for any link is in no cell.
 2. *Documents as pivots, recursively within a cell.* Pivots are taken from a cell and
    measured against its members. Each member goes to the Voronoi cell of its nearest
    pivot, and as a boundary document to those of pivots within 2 r more than that. In a
    pivot's cell, members linked to it are one component and need no comparison with
    each other; by the triangle inequality, one of them can link to another only where
-   its distance is not less than the other's less r. Cells of up to LEAF documents do
-   this within a task (``Sets.forest``), larger ones as joins (``Join._pivots``); what
+   its distance is not less than the other's less r. Cells of up to LEAF documents and
+   ELEMENTS shingles do this within a task (``Sets.forest``), larger ones as joins (``Join._pivots``); what
    a few rounds leave of those is dealt in blocks, so that no cell needs to fit a task.
 
 Before that, distances are bounded from below: a parity bitmap of a set (a bit for each
@@ -53,14 +54,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col
-from treelake.llm._spark import discard, written
+from treelake.llm._spark import discard, having, written
 from treelake.llm.components import components
 
 HEAVY = 1 << 16
 #: A shingle is a candidate for HEAVY if so many documents of one slice have it.
 HEAVY_LEAST = 4
-#: Cells of up to LEAF documents and ELEMENTS shingles are compared within a task.
-LEAF, ELEMENTS = 1024, 2 << 20
+#: A task compares the bitmaps of cells of up to LEAF documents, and sets of groups of up to ELEMENTS shingles.
+LEAF, ELEMENTS = 4096, 2 << 20
 #: Rounds of pivots in larger cells, and a round's pivots; what is left after them is dealt in blocks.
 PIVOT_ROUNDS, PIVOTS = 3, 4
 SLICE = 8 << 20
@@ -202,7 +203,7 @@ def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(i, n, key, prefix, bits): of each row its set's size, digest, ranked window, and bitmap."""
+    """(i, n, key, prefix, bits): of each row its set's size, digest, ranked wide window, and bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(_heavy(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                         continue
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     window = len(h) - -(-num * len(h) // den) + 1
-                    prefixes.append(ranked(h, heavy, order)[:window].view(np.int64))
+                    prefixes.append(ranked(h, heavy, order)[: window + (window + 1) // 2].view(np.int64))
                     bits.append(bitmap(h))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["i", "n", "key", "prefix", "bits"]
@@ -252,29 +253,21 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int, leaf: int = LEAF) -> None:
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int, leaf: int = LEAF, elements: int = ELEMENTS) -> None:
         if not den < 2 * num <= 2 * den:
             raise ValueError("the threshold must be over 1/2 and at most 1")
         self.docs, self.size, self.num, self.den, self.leaf = docs, size, num, den, leaf
-        self.r = 1 - num / den
+        self.elements, self.r = elements, 1 - num / den
 
     def run(self) -> DataFrame:
         """(i, n, component) of each row."""
         rows, classes = self._nodes()
-        cells = self._cells()
-        large = self._large(cells)
-        found = [self._same_id(rows, classes)]
-        if large.limit(1).count():
-            rest, links = self._pivots(cells.join(large.select("cell"), "cell", "left_semi"))
-            found.append(links)
-            cells = self._small(cells, large).unionByName(self._blocks(rest))
-        else:
-            cells = self._small(cells, None)
-        found.append(self._exact(self._near(cells), every=False).select("a", "b"))
-        links = found[0]
-        for x in found[1:]:
-            links = links.unionByName(x)
-        labels = components(links)
+        links = self._same_id(rows, classes)
+        cells, found = self._dealt(self._cells(), False)
+        links = links if found is None else links.unionByName(found)
+        groups, found = self._dealt(self._near(cells), True)
+        links = links if found is None else links.unionByName(found)
+        labels = components(links.unionByName(self._exact(groups, every=False).select("a", "b")))
         named = classes.join(labels, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
         out = rows.join(named, F.col("key") == F.col("k"), "left")
         return out.select("i", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("i"))).alias("component"))
@@ -286,24 +279,37 @@ class Join:
         m distinct near copies all of up to m (m - 1) / 2 pairs are compared.
         """
         rows, classes = self._nodes()
-        cells = self._cells()
-        large = self._large(cells)
-        every = cells.join(large.select("cell"), "cell", "left_semi").withColumn("label", F.col("node"))
-        links = self._exact(self._near(self._small(cells, large).unionByName(self._blocks(every))), every=True)
+        cells, _ = self._dealt(self._cells(), False, every=True)
+        groups, _ = self._dealt(self._near(cells), True, every=True)
+        links = self._exact(groups, every=True)
         named = rows.join(classes.select(F.col("key").alias("k"), "node"), F.col("key") == F.col("k"), "left")
         return named.select("i", "n", "node"), links
 
+    def _dealt(self, cells: DataFrame, elements: bool, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """(cell, node, label): cells small enough for a task, and links (a, b) found on the way.
+
+        every: all pairs of a large cell stay, and not only those that its pivots leave.
+        """
+        large = self._large(cells, elements)
+        if not large.limit(1).count():
+            return self._small(cells, None), None
+        rest, links = cells.join(large.select("cell"), "cell", "left_semi"), None
+        if every:
+            rest = rest.withColumn("label", F.col("node"))
+        else:
+            rest, links = self._pivots(rest)
+        return self._small(cells, large).unionByName(self._blocks(rest)), links
+
     # Documents, sets and cells
 
     def _nodes(self) -> tuple[DataFrame, DataFrame]:
         """(i, n, key) of each row and (key, node) of each distinct set; sets self.nodes."""
         profile = written(_profile(self.docs, self.size, self.num, self.den), "jaccard-profile")
-        classes = written(profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("node")), "jaccard-classes")
-        nodes = profile.join(classes.select(F.col("key").alias("k"), "node"), (F.col("key") == F.col("k")) & (F.col("i") == F.col("node")))
-        self.nodes = written(nodes.select("node", "n", "prefix", "bits").dropDuplicates(["node", "bits"]), "jaccard-nodes")
+        least = profile.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min(F.struct("i", "n", "prefix", "bits")).alias("x"))
+        self.nodes = written(least.select("key", F.col("x.i").alias("node"), "x.n", "x.prefix", "x.bits"), "jaccard-nodes")
         rows = written(profile.select("i", "n", "key"), "jaccard-rows")
         discard(profile)
-        return rows, classes
+        return rows, self.nodes.select("key", "node")
 
     def _same_id(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): the nodes of rows with one id and several sets."""
@@ -312,23 +318,29 @@ class Join:
         return several.join(several.groupBy("i").agg(F.min("node").alias("a")), "i").select("a", F.col("node").alias("b"))
 
     def _cells(self) -> DataFrame:
-        """(cell, node, n): a document in the cell of the pivot of each region of its window.
-
-        A region's pivot is its document of the least hash. Regions with the same members count once, and the
-        cell of a pivot is the union of the regions that it leads: near copies, which share most of their
-        regions, meet once and not in each of them.
+        """(cell, node, n): a document in the cells of the pivots of its regions.
+
+        A region's pivot is its document of least id, and a pivot's cell the union of its regions: near copies,
+        which share most of their regions, meet once and not in each of them. Two linked sets, whose overlap is
+        at least ceil(t n) for the size n of either, have their first k common shingles within the first
+        n - ceil(t n) + k of both; so a document of which fewer shingles than that k, taken for its least
+        possible partner, are shared within wide windows links to nothing. A passage that others have too
+        doesn't make a document a member.
         """
-        window = F.col("n") - F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}") + 1
-        homes = self.nodes.select("node", "n", F.explode(F.slice("prefix", F.lit(1), window.cast("int"))).alias("region"))
-        h = F.xxhash64("node")
-        regions = homes.groupBy("region").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("who"), F.min(F.struct(h.alias("h"), "node")).alias("lead")).where("c > 1")
-        regions = regions.groupBy("lead", "who", "c").agg(F.min("region").alias("region")).select("region", F.col("lead.node").alias("cell"))
-        return written(homes.join(regions, "region").select("cell", "node", "n").distinct(), "jaccard-cells")
-
-    def _large(self, cells: DataFrame) -> DataFrame:
-        """(cell, c) of cells of over ``leaf`` documents or ELEMENTS shingles, which don't go to a task whole."""
+        up = lambda n: F.floor((n * self.num + self.den - 1) / self.den)
+        n = F.col("n")
+        lacks, partner_lacks = n - up(n), up(n) - up(up(n))
+        least = F.least(up(n) - partner_lacks, 1 + F.floor((partner_lacks + 2) / 2))
+        homes = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "region"))
+        regions = homes.groupBy("region").agg(F.count("*").alias("c"), F.min("node").alias("cell")).where("c > 1").select("region", "cell")
+        shared = homes.join(regions, "region").groupBy("node", "n").agg(F.count("*").alias("met"), F.collect_set(F.when(F.col("pos") <= lacks, F.col("cell"))).alias("cells"))
+        return written(shared.where(F.col("met") >= least).select(F.explode("cells").alias("cell"), "node", "n"), "jaccard-cells")
+
+    def _large(self, cells: DataFrame, elements: bool = False) -> DataFrame:
+        """(cell, c) of cells of over ``leaf`` documents, or ELEMENTS shingles, which don't go to a task whole."""
         sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-        return written(sizes.where((F.col("c") > self.leaf) | (F.col("w") > ELEMENTS) & (F.col("c") > 2)).select("cell", "c"), "jaccard-large")
+        many = (F.col("w") > self.elements) & (F.col("c") > 2) if elements else F.col("c") > self.leaf
+        return written(sizes.where(many).select("cell", "c"), "jaccard-large")
 
     def _small(self, cells: DataFrame, large: DataFrame | None) -> DataFrame:
         out = cells if large is None else cells.join(large.select("cell"), "cell", "left_anti")
@@ -336,7 +348,7 @@ class Join:
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """(node, h): the sets of documents, from their whole texts."""
-        texts = self.docs.select("i", "t").join(nodes.select(F.col("node").alias("i")).distinct(), "i", "left_semi")
+        texts = having(self.docs.select("i", "t"), nodes.select(F.col("node").alias("i")).distinct(), "i")
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,12 +424,12 @@ class Join:
         return written(out.join(mixed, "cell"), "jaccard-rest")
 
     def _blocks(self, rest: DataFrame) -> DataFrame:
-        """(cell, node, label): cells dealt in blocks of half of ``leaf``, each two blocks that may hold a pair in one cell.
+        """(cell, node, label): cells dealt in blocks of half of ``leaf`` and ELEMENTS, each two blocks that may hold a pair in one cell.
 
         Members of the most frequent component are compared with the others only, so that with few others the rows grow as the cell.
         """
-        half = max(1, self.leaf // 2)
-        counts = rest.groupBy("cell", "label").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+        counts = rest.groupBy("cell", "label").agg(F.count("*").alias("c"), F.max("n").alias("n")).groupBy("cell").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.max("n").alias("n"))
+        half = F.greatest(F.lit(1), F.least(F.lit(self.leaf // 2), F.floor(self.elements / (2 * F.col("n")))))
         blocks = lambda c: F.greatest(F.ceil(c / half), F.lit(1)).cast("int")
         counts = counts.select("cell", F.col("top.label").alias("main"), blocks(F.col("top.c")).alias("mains"), blocks(F.col("all") - F.col("top.c")).alias("others"))
         rows = rest.select("cell", "node", "label").join(counts, "cell").withColumn("is_main", F.col("label") == F.col("main"))
@@ -432,33 +444,34 @@ class Join:
     # Small cells
 
     def _near(self, cells: DataFrame) -> DataFrame:
-        """(g, node): groups of a cell's members that a chain of near bitmaps connects; the same group of several cells is one."""
+        """(cell, node, n): groups of a cell's members that a chain of near bitmaps connects; the same group of several cells is one."""
         rows = cells.join(self.nodes.select("node", "n", "bits"), "node").select("cell", "n", "node", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "node")
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, cuts in _cut_runs(batches, "cell"):
                 node, n, label = (t[k].to_numpy() for k in ("node", "n", "label"))
-                bits, g, out = [x.view(np.uint64) for x in _lists(t["bits"])], [], []
+                bits, g, out, sizes = [x.view(np.uint64) for x in _lists(t["bits"])], [], [], []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     for group in _groups(n[a:b], label[a:b], bits[a:b], num, den):
-                        ids = np.unique(node[a:b][group])
+                        ids, at = np.unique(node[a:b][group], return_index=True)
                         if len(ids) > 1:
                             out.append(ids)
+                            sizes.append(n[a:b][group][at])
                             g.append(np.full(len(ids), np.frombuffer(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), np.int64)[0]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (g, out)], names=["g", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (g, out, sizes)], names=["cell", "node", "n"])
 
-        return written(rows.mapInArrow(run, "g long, node long").distinct(), "jaccard-groups")
+        return written(rows.mapInArrow(run, "cell long, node long, n long").dropDuplicates(["cell", "node"]), "jaccard-groups")
 
     def _exact(self, groups: DataFrame, every: bool) -> DataFrame:
         """(a, b, differ, total) of linked sets of the groups: all links, or else as many as connect what is linked."""
         sets = self._sets(groups)
-        rows = groups.join(sets, "node").select("g", "node", "h").repartition("g").sortWithinPartitions("g", "node")
+        rows = groups.select("cell", "node").join(sets, "node").select("cell", "node", "h").repartition("cell").sortWithinPartitions("cell", "node")
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t, cuts in _cut_runs(batches, "g"):
+            for t, cuts in _cut_runs(batches, "cell"):
                 node, h = t["node"].to_numpy(), _lists(t["h"])
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     one = Sets(h[a:b], num, den)
