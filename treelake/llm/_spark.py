@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,13 +52,22 @@ def discard(*tables: DataFrame) -> None:
 BROADCAST_ROWS = 1 << 20
 
 
-def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose ``key``, a long, is one of ``keys``.
+def _among(df: DataFrame, keys: DataFrame, key: Column, how: str) -> DataFrame:
+    keys = written(keys.toDF("__key").distinct(), "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key == F.col("__key"), how)
+
+
+def having(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """Rows of df whose ``key``, a long, is one of ``keys``, a frame of one column.
 
     A few keys are broadcast, so that df, which may hold whole texts, isn't shuffled; more are joined by Spark's own choice.
     """
-    keys = written(keys, "keys")
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_semi")
+    return _among(df, keys, key, "left_semi")
+
+
+def lacking(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """Rows of df whose ``key`` is null or none of ``keys``; as ``having``."""
+    return _among(df, keys, key, "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

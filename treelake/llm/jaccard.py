@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col
-from treelake.llm._spark import discard, having, written
+from treelake.llm._spark import discard, having, lacking, written
 from treelake.llm.components import components
 
 HEAVY = 1 << 16
@@ -348,7 +348,7 @@ class Join:
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """(node, h): the sets of documents, from their whole texts."""
-        texts = having(self.docs.select("i", "t"), nodes.select(F.col("node").alias("i")).distinct(), "i")
+        texts = having(self.docs.select("i", "t"), nodes.select("node"), F.col("i"))
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -611,9 +611,16 @@ def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of df, all columns, but of each group of linked documents only the one with the least id.
 
-    Of rows that share an id one stays; rows with a null id, which no other row can stand for, all stay.
+    Of rows that share an id the one of least text stays, of equal ones that of the least JSON form; rows with a
+    null id, which no other row can stand for, all stay. Whole rows are shuffled only for repeated ids, or where over
+    BROADCAST_ROWS ids go.
     """
-    found = link(df, id_col, text_col, size, num, den)
-    chosen = found.where(col(id_col) == F.col("component_id")).select(col(id_col).alias("__kept")).distinct()
-    known = df.where(col(id_col).isNotNull()).join(chosen, col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return known.dropDuplicates([id_col]).unionByName(df.where(col(id_col).isNull()))
+    found = written(link(df, id_col, text_col, size, num, den).where(col(id_col).isNotNull()), "jaccard-found")
+    key = col(id_col).cast("long")
+    kept = lacking(df, found.where(col(id_col) != F.col("component_id")).select(id_col), key)
+    several = found.groupBy(id_col).count().where("count > 1").select(id_col)
+    if not several.limit(1).count():
+        return kept
+    row = F.struct(*map(col, df.columns))
+    one = having(kept, several, key).groupBy(key.alias("__id")).agg(F.min_by(row, F.struct(col(text_col), F.to_json(row))).alias("__row"))
+    return lacking(kept, several, key).unionByName(one.select("__row.*"))
