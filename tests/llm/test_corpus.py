@@ -71,11 +71,42 @@ def test_next_of_edges(spark, edge):
 
 def test_next_over_many_blocks(spark):
     df = spark.range(0, 3000, 3).selectExpr("id * 7 AS k", "concat('t', id) AS t")
-    rows = {r["k"]: r["next_t"] for r in fingerprint.with_next(df, "k", ["t"]).collect()}
+    rows = {r["k"]: r["next_t"] for r in fingerprint.with_next(df.withColumn("h", F.xxhash64("t")), "k", "h", ["t"]).collect()}
     assert len(rows) == 1000
     assert all(rows[k * 21] == f"t{(k + 1) % 1000 * 3}" for k in range(1000))
 
 
+def test_next_of_one_frequent_id(spark):
+    """Two ids hold nearly all rows: their ties are dealt to many blocks, in one order over all."""
+    df = spark.range(4000).selectExpr("CASE WHEN id % 100 = 0 THEN id WHEN id % 2 = 0 THEN -5 ELSE 2000 END AS k", "concat('t', id) AS t").withColumn("h", F.xxhash64("t"))
+    got = fingerprint.with_next(df, "k", "h", ["t"]).collect()
+    order = sorted((r["k"], r["h"], r["t"]) for r in df.collect())
+    want = {t: order[(j + 1) % len(order)][2] for j, (_, _, t) in enumerate(order)}
+    assert len(got) == 4000 and {r["t"]: r["next_t"] for r in got} == want
+
+
+def test_likeness_of_repetitive_and_short_texts(spark):
+    """Few shingles in many words, and sizes about the least sample."""
+    rnd = random.Random(2)
+    texts = [f"{w} " * 100 for w in ("alpha", "beta", "gamma", "delta")] + ["alpha " * 100, "x y " * 80, "y x " * 70, "one two", "", None]
+    texts += [" ".join(f"w{k}" for k in range(a, a + n)) for n in (60, 64, 68, 70, 90, 130, 260, 400) for a in (0, n // 3)]
+    texts += [" ".join(rnd.choices("abc", k=300)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts]
+    for r in fingerprint.edited_fingerprints(df).collect():
+        a, b = sets[r["doc_id"]], sets[(r["doc_id"] + 1) % len(sets)]
+        true = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(r["near_next"] - true) < (0.2 if max(len(a), len(b)) > 64 else 1e-12), r["doc_id"]
+
+
+def test_merged_sketch_is_that_of_the_united_set(spark):
+    df = spark.createDataFrame([("p q r s t " * 3, " ".join(f"v{k}" for k in range(50))), (" ".join(f"u{k}" for k in range(300)), "u1 u2 u3 u4 u5 u6"), ("", "a b")], "a string, b string")
+    for c, e in (("a", F.col("a")), ("b", F.col("b"))):
+        df = fingerprint.with_sketch(df, e, f"s{c}", shingle=1)
+    df = fingerprint.with_sketch(df, F.concat_ws(" ", "a", "b"), "both", shingle=1)
+    assert all(r[0] for r in df.select(fingerprint.merge(F.col("sa"), F.col("sb")) == F.col("both")).collect())
+
+
 # Mixing
 
 
@@ -355,3 +386,10 @@ def test_sets_of_one_id_are_one_document(spark):
     rows = [(1, "a b c d e"), (2, "p q r s t"), (3, "a b c d e"), (3, "p q r s t")]
     got = {(r["doc_id"], r["component_id"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
     assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_one_of_each_repeated_id_stays(spark):
+    rows = [(1, "z y x", 1, {"k": 1}), (1, "a b c", 2, {"k": 2}), (1, "a b c", 1, {"k": 3}), (2, "A  b c", 7, None), (None, "a b c", 1, None), (None, "a b c", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `i.j` int, m map<string, int>")
+    got = jaccard.keep_one(df.repartition(5)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
