@@ -185,7 +185,8 @@ def features(payload: memoryview | bytes) -> str:
         blocks = decode_adpcm(part.reshape(-1, ADPCM_BLOCK))
         power += int(np.einsum("ij,ij->", blocks, blocks, dtype=np.int64))
         changes["adpcm"] += int(np.count_nonzero((blocks[:, 1:] < 0) != (blocks[:, :-1] < 0)))
-        resampled = zlib.crc32(resample(MULAW[part], RATE, 2 * RATE).tobytes(), resampled)
+        # With the next chunk's first sample, which the last one is drawn towards.
+        resampled = zlib.crc32(resample(MULAW[raw[k : k + CHUNK + 1]], RATE, 2 * RATE)[: 2 * len(part)].tobytes(), resampled)
     return f"mulaw:{squares['mulaw']}:{changes['mulaw']};alaw:{squares['alaw']}:{changes['alaw']};adpcm:{power}:{changes['adpcm']};pcm16k:{resampled:08x}"
 
 
