@@ -393,3 +393,61 @@ def test_one_of_each_repeated_id_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, `i.j` int, m map<string, int>")
     got = jaccard.keep_one(df.repartition(5)).collect()
     assert sorted([tuple(r) for r in got], key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
+
+
+def test_counts_do_not_depend_on_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    sequences = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 2, 700, 41, 40, 3, 300)]
+    model = hmm.Model.random(np.bincount(np.concatenate(sequences), minlength=hmm.CLASSES).astype(float))
+    whole, scores = model.expected(sequences), model.log10(sequences)
+    for cells in (1, 64, 333):
+        monkeypatch.setattr(hmm, "CELLS", cells)
+        monkeypatch.setattr(hmm, "SCORE_CELLS", cells)
+        assert all(np.allclose(x, y) for x, y in zip(whole, model.expected(sequences))) and np.allclose(scores, model.log10(sequences))
+
+
+def test_one_very_long_text_among_short_ones():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, 50, 3).astype(np.int32) for _ in range(5000)] + [rng.integers(0, 50, 300_000).astype(np.int32)]
+    model = hmm.Model.random(np.ones(hmm.CLASSES))
+    tracemalloc.start()
+    began = time.time()
+    model.log10(sequences)
+    model.expected(sequences)
+    assert time.time() - began < 120 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
+def test_op3_scores_equal_a_plain_model(spark, monkeypatch):
+    """With few classes of their own and a short lookup table, so that rare words go through the join."""
+    monkeypatch.setattr(hmm, "LOOKUP", 12)
+    seen = []
+    estimated = hmm.Model.estimated.__func__
+    monkeypatch.setattr(hmm.Model, "estimated", classmethod(lambda cls, *a, **k: seen.append(estimated(cls, *a, **k)) or seen[-1]))
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=rnd.randrange(0, 30))) for _ in range(80)] + ["new words here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in hmm.score(df, F.col("doc_id") % 5 == 2).collect()}
+    counts = collections.Counter(w for i, t in enumerate(texts) if i % 5 != 2 for w in words(t))
+    first = min(12, len(counts))
+    cut = sorted(counts.values(), reverse=True)[first - 1] if first < len(counts) else 0
+    top = {w for w in counts if sum(c >= counts[w] for c in counts.values()) <= first or not cut}
+    own = {w: k for k, w in enumerate(sorted(top, key=lambda w: (-counts[w], w)))}
+    model = seen[-1]
+    mass = collections.Counter()
+    for w, c in counts.items():
+        if w not in own:
+            mass[hmm.bucket(w)] += c + 1
+    for i, t in enumerate(texts):
+        total, a = 0.0, None
+        for w in [*words(t), None]:
+            k = hmm.END if w is None else own.get(w, hmm.bucket(w) if w not in own else 0)
+            a = (model.start if a is None else a @ model.move) * model.emit[k]
+            if w is not None and w not in own:
+                total += math.log10((counts[w] + 1) / (mass[k] + 1))
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert abs(got[i] - total) < 1e-6, i

@@ -70,5 +70,20 @@ def lacking(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     return _among(df, keys, key, "left_anti")
 
 
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """Rows of a written table of counts that are among the ``limit`` most frequent, found from a histogram.
+
+    Of like counts (an eighth of an octave, single counts below 12) either all or none are taken, so that no task sorts or sends more than is kept.
+    """
+    step = F.floor(8 * F.log2(n)).cast("int")
+    used, least = 0, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        used += row["count"]
+        if used > limit:
+            least = row["step"] + 1
+            break
+    return counts.where(step >= least)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

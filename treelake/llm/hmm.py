@@ -1,6 +1,6 @@
 """LM scoring: a hidden Markov model over words, trained by Baum-Welch.
 
-Words are counted over all training texts. The commonest OWN words are classes of
+Words are counted over all training texts. At most OWN commonest words are classes of
 their own, all others fall into BUCKETS classes by hash, and the end of a text is
 one more class. Latent states emit classes; within a bucket, a word has the
 probability (c + 1) / (t + v + 1) of its count c, the bucket's tokens t and
@@ -10,11 +10,10 @@ distribution over texts.
 
 Baum-Welch starts from a fit on INITIAL texts and then passes over all training
 texts: each task adds up expected emissions and transitions, and these are summed
-across partitions. In training, texts are cut into windows of WINDOW tokens, none
-left out, each starting from the initial distribution. Scoring never cuts: the
-scaled forward recursion runs over each whole text.
+across partitions. Neither training nor scoring cuts a text: recursions run over each
+whole text, in training by segments of bounded memory that hand their state on.
 
-Counts of the LOOKUP commonest words go to the workers; other words of a text
+Counts of at most LOOKUP commonest words go to the workers; other words of a text
 are joined with the table of counts by word. A frequent word is thus never a hot
 key of that join, and no word's count is lost.
 
@@ -41,12 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col, lower_ascii, slices
-from treelake.llm._spark import written
+from treelake.llm._spark import most_frequent, written
 
 STATES, OWN, BUCKETS = 8, 8192, 4096
 LOOKUP = 1 << 17
 INITIAL, INITIAL_STEPS, PASSES = 300, 12, 2
-WINDOW = 512
+#: Cells (steps times sequences) side by side in training and in scoring.
+CELLS, SCORE_CELLS = 1 << 18, 1 << 21
 SLICE = 8 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 END = OWN + BUCKETS
@@ -61,16 +61,22 @@ def bucket(word: str) -> int:
     return OWN + zlib.crc32(word.encode()) % BUCKETS
 
 
-def blocks(sequences: list[np.ndarray], rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sequences of like length side by side: (indices, lengths descending, (longest, n) padded with the end class)."""
+def blocks(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences of like length side by side: (indices, lengths descending, (longest, n) padded with the end class).
+
+    A grid has at most ``cells`` cells, or one sequence.
+    """
     lengths = np.array([len(s) for s in sequences])
     order = np.argsort(-lengths, kind="stable")
-    for k in range(0, len(order), rows):
-        at = order[k : k + rows]
+    k = 0
+    while k < len(order):
+        n = max(1, min(4096, cells // int(lengths[order[k]])))
+        at = order[k : k + n]
         grid = np.full((int(lengths[at[0]]), len(at)), END, np.int32)
         for j, i in enumerate(at):
             grid[: lengths[i], j] = sequences[i]
         yield at, lengths[at], grid
+        k += n
 
 
 class Model:
@@ -99,7 +105,7 @@ class Model:
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Scaled forward recursion over each whole sequence."""
         out = np.zeros(len(sequences))
-        for at, lengths, grid in blocks(sequences, 4096):
+        for at, lengths, grid in blocks(sequences, SCORE_CELLS):
             total = np.zeros(len(at))
             live = np.searchsorted(-lengths, -np.arange(len(grid)), "left")  # sequences longer than t
             a = self.start * self.emit[grid[0]]
@@ -116,38 +122,46 @@ class Model:
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, transitions and emissions (states, classes)."""
         starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        for _, lengths, grid in blocks(sequences):
+        for _, lengths, grid in blocks(sequences, CELLS):
             steps, n = grid.shape
             live = np.searchsorted(-lengths, -np.arange(steps), "left")
-            forward, scale = np.zeros((steps, n, STATES)), np.ones((steps, n))
-            seen = self.emit[grid]
-            a = self.start * seen[0]
-            for t in range(steps):
-                m = live[t]
-                if t:
-                    a = (a[:m] @ self.move) * seen[t, :m]
-                c = a.sum(1)
-                a = a / c[:, None]
-                forward[t, :m], scale[t, :m] = a, c
-            gamma = np.zeros_like(forward)
+            # A long sequence is done in segments from the last to the first, each from its first forward value: memory is that of a segment.
+            size = max(1, min(steps, CELLS // n))
+            heads, a = [], None
+            for s in range(0, steps - size, size):
+                heads.append(a)
+                a = self._forward(grid[s : s + size], live[s : s + size], a)[0][-1, : live[s + size - 1]]
+            heads.append(a)
             b = np.ones((n, STATES))
-            for t in range(steps - 1, -1, -1):
-                m = live[t]
-                gamma[t, :m] = forward[t, :m] * b[:m]
-                if t:
-                    q = seen[t, :m] * b[:m] / scale[t, :m, None]
-                    moves += forward[t - 1, :m].T @ q
-                    b[:m] = q @ self.move.T
-            moves_done = gamma[0].sum(0)
-            starts += moves_done
-            flat = grid.reshape(-1)
-            for k in range(STATES):
-                emits[k] += np.bincount(flat, gamma[:, :, k].reshape(-1), CLASSES)
+            for k, s in reversed(list(enumerate(range(0, steps, size)))):
+                part, alive = grid[s : s + size], live[s : s + size]
+                forward, scale, seen = self._forward(part, alive, heads[k])
+                gamma = np.zeros_like(forward)
+                for t in range(len(part) - 1, -1, -1):
+                    m = alive[t]
+                    gamma[t, :m] = forward[t, :m] * b[:m]
+                    if s + t:
+                        q = seen[t, :m] * b[:m] / scale[t, :m, None]
+                        moves += (forward[t - 1, :m] if t else heads[k][:m]).T @ q
+                        b[:m] = q @ self.move.T
+                if not s:
+                    starts += gamma[0].sum(0)
+                flat = part.reshape(-1)
+                for state in range(STATES):
+                    emits[state] += np.bincount(flat, gamma[:, :, state].reshape(-1), CLASSES)
         return starts, moves * self.move, emits
 
-
-def windows(sequence: np.ndarray) -> list[np.ndarray]:
-    return [sequence[k : k + WINDOW] for k in range(0, len(sequence), WINDOW)]
+    def _forward(self, grid: np.ndarray, live: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward values, their scales and the emissions of a grid's steps, after ``before`` or from the start."""
+        steps, n = grid.shape
+        forward, scale, seen = np.zeros((steps, n, STATES)), np.ones((steps, n)), self.emit[grid]
+        for t in range(steps):
+            m = live[t]
+            a = (self.start if before is None else before[:m] @ self.move) * seen[t, :m]
+            c = a.sum(1)
+            before = a / c[:, None]
+            forward[t, :m], scale[t, :m] = before, c
+        return forward, scale, seen
 
 
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
@@ -174,7 +188,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     texts = train.count()
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = (whole["n"] or 0) + texts, whole["v"] + (texts > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).toPandas()
+    top = most_frequent(counts, LOOKUP).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     own = dict(zip(top["word"][:OWN], range(OWN)))
     by_bucket = counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("t"), F.count("*").alias("v")).toPandas()
     totals = np.zeros(CLASSES)
@@ -194,9 +208,11 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     encoded = written(texts_seen, "hmm-encoded")
 
     learn = encoded.where(~F.col("h"))
-    some = learn.orderBy(F.xxhash64("i"), "u").limit(INITIAL).select("classes").toPandas()["classes"] if texts else []
+    # By hash about twice as many as are needed, so that no task sends all of INITIAL.
+    hashed = learn.select("classes", F.xxhash64("i", "u").alias("h"), "u").where(F.col("h") / 2.0**64 + 0.5 <= 2 * INITIAL / max(texts, 1))
+    some = hashed.orderBy("h", "u").limit(INITIAL).select("classes").toPandas()["classes"] if texts else []
     model = Model.random(totals)
-    first = [w for x in some for w in windows(unpack(x))]
+    first = [unpack(x) for x in some]
     for _ in range(INITIAL_STEPS if first else 0):
         model = Model.estimated(model.expected(first), totals)
     for _ in range(passes if texts else 0):
@@ -324,7 +340,7 @@ def _expect(held):
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for a, b in _ranges([len(x) // 2 for x in rows], 1 << 20):
-                for x, y in zip(total, model.expected([w for r in rows[a:b] for w in windows(unpack(r))])):
+                for x, y in zip(total, model.expected([unpack(r) for r in rows[a:b]])):
                     x += y
         flat = np.concatenate([x.reshape(-1) for x in total])
         at = np.flatnonzero(flat)

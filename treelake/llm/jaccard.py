@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm._arrow import col
-from treelake.llm._spark import discard, having, lacking, written
+from treelake.llm._spark import discard, having, lacking, most_frequent, written
 from treelake.llm.components import components
 
 HEAVY = 1 << 16
@@ -186,14 +186,7 @@ def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     counts = docs.select("i", "t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = written(counts, "jaccard-counts")
-    steps = F.floor(8 * F.log2("n")).cast("int")  # of like counts; the rarest ones that no longer fit are left out
-    used, least = 0, 0
-    for step, rows in sorted(((r["step"], r["count"]) for r in counts.groupBy(steps.alias("step")).count().collect()), reverse=True):
-        used += rows
-        if used > HEAVY:
-            least = step + 1
-            break
-    top = counts.where(steps >= least).toPandas()
+    top = most_frequent(counts, HEAVY).toPandas()
     discard(counts)
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
