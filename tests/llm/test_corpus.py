@@ -451,3 +451,47 @@ def test_op3_scores_equal_a_plain_model(spark, monkeypatch):
             total += math.log10(a.sum())
             a = a / a.sum()
         assert abs(got[i] - total) < 1e-6, i
+
+
+def test_op8_equals_a_plain_model(spark, monkeypatch, tmp_path):
+    """Prediction and score of the query's path against sums over all segmentations, with white space and capitals beyond ASCII."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bb", "ß", "ab" * 10]
+    monkeypatch.setattr(langid, "read_pieces", lambda path: pieces)
+    rnd = random.Random(3)
+    rows = [(k, "  　"[k % 3].join("".join(rnd.choices("abAB", [3, 1 + 2 * (k % 2), 1, 1], k=rnd.randrange(1, 6))) for _ in range(6)), "xy"[k % 2]) for k in range(60)]
+    rows += [(100, "ab" * 30 + "ẞ", None), (101, "1 2", "x"), (102, None, "x"), (None, "ab", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, F.col("doc_id") % 4 == 2).collect()}
+    langs, table = langid.train(df.where("doc_id IS NULL OR doc_id % 4 <> 2"), "text", "lang", pieces)
+
+    def likelihood(word, lang):
+        text, sums = "▁" + word, [1.0]
+        for j in range(1, len(text) + 1):
+            sums.append(sums[-1] * table[-1, lang] + sum(sums[j - len(x)] * table[k, lang] for k, x in enumerate(pieces) if text[:j].endswith(x)))
+        return math.log(sums[-1])
+
+    for i, t, _ in rows:
+        ws = (t or "").lower().split() if any(map(str.isalpha, t or "")) else []
+        if not ws:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        z = np.array([sum(likelihood(w, k) for w in ws) for k in range(len(langs))])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["lang_pred"] == langs[int(z.argmax())] and abs(got[i]["score"] - p.max()) < 1e-9
+    assert got[None]["held_out"] is False
+
+
+def test_one_long_run_is_scored_in_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    p = langid.Pieces(langid.read_pieces())
+    table = langid.normal(np.random.default_rng(0).random((p.n + 2, 5)))
+    run = "".join(random.Random(1).choices("語言文字中国日本tha", k=100_000))
+    tracemalloc.start()
+    began = time.time()
+    one = langid.word_scores(p, table, [run, "a"])
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    halves = langid.word_scores(p, table, [run[:1000]])
+    assert np.isfinite(one).all() and (halves > one[0]).all()

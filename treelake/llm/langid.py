@@ -15,7 +15,8 @@ languages are refused.
 
 Defined cases: the prediction is ``und`` with score 0 for a null text or one
 without a letter, and where nothing could be learned; rows with a null language
-are predicted, not learned from; of equally likely languages the first in
+are predicted, not learned from; one whose ``held_out`` is null (a null id) counts
+as not held out; of equally likely languages the first in
 alphabetical order is taken; texts are read whole; equal texts get equal
 predictions; an empty table gives an empty result.
 """
@@ -23,6 +24,7 @@ predictions; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._arrow import col, map_columns
+from treelake.llm._arrow import col, map_columns, slices
+from treelake.llm._spark import written
 
 MAX_LANGS = 500
-MAX_PIECE = 16
 CHARACTERS = 1 << 17
 PASSES = 2
 SPACE = "▁"
-#: Characters of cached words before a worker's cache is emptied.
-CACHE_CHARACTERS = 6 << 20
+#: Characters, and words times languages, of cached words before a worker's cache is emptied.
+CACHE_CHARACTERS, CACHE_CELLS = 6 << 20, 1 << 23
+#: Characters of text counted or scored at once; columns of a grid whose pieces are looked up at once.
+SLICE, COLUMNS = 8 << 20, 1 << 14
 _BASE, _MIX, _BITS = 1_000_003, 0x9E3779B97F4A7C15, 21
 
 
@@ -53,7 +57,7 @@ def read_pieces(path: str | None = None) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     found = (model.id_to_piece(k) for k in ids if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
-    return list(dict.fromkeys(p for p in found if 0 < len(p) <= MAX_PIECE))
+    return list(dict.fromkeys(filter(None, found)))
 
 
 class Pieces:
@@ -81,7 +85,8 @@ class Pieces:
             left = np.delete(left, order)
         if len(left):
             raise ValueError("pieces collide")
-        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(MAX_PIECE + 1)], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
 
     @staticmethod
     def _slot(keys: np.ndarray, k: int) -> np.ndarray:
@@ -98,22 +103,29 @@ class Pieces:
             out[at] = second
         return out
 
-    def grid(self, words: list[str]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
-        """Lengths (with the leading space symbol); found[j][k]: pieces of k+1 characters that end at j."""
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths (with the leading space symbol), and the running hash of each prefix: (width + 1, words)."""
         marked = [SPACE + w for w in words]
         lengths = np.array([len(w) for w in marked])
         wide = int(lengths.max())
-        codes = np.frombuffer("".join(w.ljust(wide, "\0") for w in marked).encode("utf-32-le"), np.uint32).reshape(len(words), wide).astype(np.uint64).T
-        hashes = [np.zeros(len(words), np.uint64)]
-        for c in codes:
-            hashes.append(hashes[-1] * np.uint64(_BASE) + c)
-        found = [[]]
-        for j in range(1, wide + 1):
-            found.append([self.find(hashes[j] - hashes[j - k] * self.powers[k] + np.uint64(k)) for k in range(1, min(j, MAX_PIECE) + 1)])
-        return lengths, found
+        codes = np.frombuffer("".join(w.ljust(wide, "\0") for w in marked).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), wide).astype(np.uint64).T
+        out = np.zeros((wide + 1, len(words)), np.uint64)
+        for j, c in enumerate(codes):
+            out[j + 1] = out[j] * np.uint64(_BASE) + c
+        return lengths, out
+
+    def ending(self, hashes: np.ndarray, a: int, b: int) -> np.ndarray:
+        """(b - a, longest, words): the piece of k+1 characters that ends at each of the positions a to b, or n."""
+        out = np.full((b - a, self.longest, hashes.shape[1]), self.n, np.int32)
+        for k in range(1, self.longest + 1):
+            first = max(a, k)
+            if first < b:
+                keys = hashes[first:b] - hashes[first - k : b - k] * self.powers[k] + np.uint64(k)
+                out[first - a :, k - 1] = self.find(keys.reshape(-1)).reshape(keys.shape)
+        return out
 
 
-def groups(words: list[str], most: int = 1 << 18) -> Iterator[np.ndarray]:
+def groups(words: list[str], most: int = 1 << 16) -> Iterator[np.ndarray]:
     """Indices of words of like length; cells (words times width) of a group stay under ``most`` where possible."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
@@ -133,24 +145,35 @@ def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarr
     a character outside the vocabulary.
     """
     out = np.zeros((len(words), table.shape[1]))
-    unknown = table[pieces.n + 1]
-    for at in groups(words):
-        lengths, found = pieces.grid([words[k] for k in at])
-        window = [np.ones((len(at), table.shape[1]))]  # forward sums, newest last, scaled
-        scale = np.zeros_like(window[0])
-        result = np.zeros_like(scale)
-        for j in range(1, len(found)):
-            new = window[-1] * unknown
-            for k, ids in enumerate(found[j]):
-                new += window[-1 - k] * table[ids]
-            window = [*window[-(MAX_PIECE - 1) :], new]
-            ends = lengths == j
-            if ends.any():
-                result[ends] = np.log(new[ends]) + scale[ends]
-            if j % 4 == 0:
-                top = np.maximum(new, 1e-300)
-                window = [w / top for w in window]
-                scale += np.log(top)
+    unknown, back, langs = table[pieces.n + 1], pieces.longest, table.shape[1]
+    for at in groups(words, max(1, (1 << 18) // max(4, langs))):
+        lengths, hashes = pieces.hashes([words[k] for k in at])
+        n, wide = len(at), len(hashes) - 1
+        columns = max(1, COLUMNS // n)
+        # Sums of the last ``back`` positions, oldest first, then those of the columns at hand; all of a word on one scale.
+        sums = np.zeros((back + columns, n, langs))
+        sums[back - 1] = 1
+        scale, result = np.zeros((n, langs)), np.zeros((n, langs))
+        for a in range(1, wide + 1, columns):
+            b = min(a + columns, wide + 1)
+            found = pieces.ending(hashes, a, b)
+            for j in range(a, b):
+                i = back + j - a
+                if n <= 8:
+                    new = sums[i - 1] * unknown + (sums[i - back : i][::-1] * table[found[j - a]]).sum(0)
+                else:
+                    new = sums[i - 1] * unknown
+                    for k in range(min(j, back)):
+                        new += sums[i - 1 - k] * table[found[j - a, k]]
+                ends = lengths == j
+                if ends.any():
+                    result[ends] = np.log(new[ends]) + scale[ends]
+                sums[i] = new
+                if j % 4 == 0:
+                    top = np.maximum(new, 1e-300)
+                    sums[i - back + 1 : i + 1] /= top
+                    scale += np.log(top)
+            sums[:back] = sums[b - a : b - a + back].copy()
         out[at] = result
     return out
 
@@ -163,8 +186,9 @@ def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], weight: np.
     total = np.zeros(pieces.n + 2)
     unknown = p[pieces.n + 1]
     for at in groups(words):
-        lengths, found = pieces.grid([words[k] for k in at])
-        n, wide = len(at), len(found) - 1
+        lengths, hashes = pieces.hashes([words[k] for k in at])
+        n, wide = len(at), len(hashes) - 1
+        found = [ids[: min(j, pieces.longest)] for j, ids in enumerate(pieces.ending(hashes, 0, wide + 1))]
         forward, step = np.zeros((wide + 1, n)), np.ones((wide + 1, n))
         forward[0] = 1
         # forward[j] is scaled by the product of step[1..j], so that no word is too long.
@@ -212,16 +236,14 @@ def normal(counts: np.ndarray, smooth: float = 0.1) -> np.ndarray:
 def train(df: DataFrame, text_col: str, lang_col: str, pieces: list[str], passes: int = PASSES) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the table of probabilities. df: training rows; null languages and texts are left out."""
     spark = df.sparkSession
-    rows = df.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    rows = df.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return [], np.zeros((len(pieces) + 2, 0))
-    words = rows.select("lang", F.explode(F.split(F.lower("t"), r"\s+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    from treelake.llm._spark import written
-
-    words = written(words, "langid-words")
+    # Each pass costs more than its bytes tell, so words are dealt to several tasks for each core.
+    words = written(count_words(rows).repartition(4 * spark.sparkContext.defaultParallelism, "lang", "word"), "langid-words")
     given = spark.sparkContext.broadcast((pieces, langs))
     start = 1.0 / (np.arange(len(pieces) + 2) + 100.0)
     table = normal(np.repeat(start[:, None], len(langs), 1), 0)
@@ -234,6 +256,27 @@ def train(df: DataFrame, text_col: str, lang_col: str, pieces: list[str], passes
     return langs, table
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words between Unicode white space; none of a text without a letter."""
+    return text.lower().split() if text and any(map(str.isalpha, text)) else []
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """(lang, word, count) of rows (lang, t), pre-counted in each slice of texts before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(batch, texts, SLICE):
+                by: dict[str, Counter] = {}
+                for lang, text in zip(langs[a:b], texts[a:b]):
+                    by.setdefault(lang, Counter()).update(words_of(text))
+                for lang, n in by.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "count"])
+
+    return rows.mapInArrow(run, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count"))
+
+
 def _expect(given, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs = given.value
@@ -273,12 +316,12 @@ class Identifier:
         self.used = 0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [t.lower().split() if t and any(map(str.isalpha, t)) else [] for t in texts]
+        split = list(map(words_of, texts))
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         every = set().union(*split)
         missing = [w for w in every if w not in self.at]
-        if self.used > CACHE_CHARACTERS and missing:
+        if missing and (self.used > CACHE_CHARACTERS or len(self.at) * len(self.langs) > CACHE_CELLS):
             self._empty()
             missing = list(every)
         if missing:
@@ -315,7 +358,7 @@ def _identifier(name: str, pieces: list[str], langs: list[str], table: np.ndarra
 
 def identify(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, passes: int = PASSES) -> DataFrame:
     """(id, held_out, lang_pred, score) of every text; rows that held_out doesn't mark are learned from."""
-    pieces = read_pieces(path)
+    pieces, held_out = read_pieces(path), F.coalesce(held_out, F.lit(False))
     langs, table = train(df.where(~held_out), text_col, lang_col, pieces, passes)
     model, name = df.sparkSession.sparkContext.broadcast((pieces, langs, table)), uuid.uuid4().hex
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()
@@ -331,5 +374,5 @@ def identify(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         return run
 
     rows = df.select(col(id_col).alias("i"), col(text_col).cast("string").alias("t"), held_out.alias("h"))
-    out = map_columns(rows, f"i {kind}, held_out boolean, lang_pred string, score double", start, limit=8 << 20)
+    out = map_columns(rows, f"i {kind}, held_out boolean, lang_pred string, score double", start, limit=SLICE)
     return out.selectExpr(f"i as `{id_col}`", "held_out", "lang_pred", "score")
