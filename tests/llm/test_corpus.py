@@ -495,3 +495,47 @@ def test_one_long_run_is_scored_in_little_time_and_memory():
     tracemalloc.stop()
     halves = langid.word_scores(p, table, [run[:1000]])
     assert np.isfinite(one).all() and (halves > one[0]).all()
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_training_finds_pairs(spark, rule):
+    """Two words, each as often toxic as not for exclusive or, through the choice of terms and the fit."""
+    rnd = random.Random(1)
+    texts, labels = [], []
+    for k in range(2000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append((k, " ".join(["alpha"] * a + ["omega"] * b + rnd.choices([f"noise{x:c}" for x in range(97, 123)], k=8))))
+        labels.append((k, int(bool(rule(a, b)))))
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, marks, lambda i: i < 1500)
+    got = machine.scores([t for _, t in texts])
+    assert np.mean([(s >= 0.3) == bool(y) for s, (k, y) in zip(got, labels) if k >= 1500]) > 0.97
+
+
+def test_score_is_the_sum_over_pairs(spark):
+    """Against a naive double loop, for texts through the query's path; and which rows were learned from."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    may = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    machine = toxicity.train(docs, labels, lambda i: F.crc32(i.cast("string").cast("binary")) % 4 != 2)
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    got = {r["doc_id"]: r for r in toxicity.score(docs, machine, queries.remainder(4) == 2).collect()}
+    for r in rows:
+        at = sorted({machine.index[h] for h in toxicity.terms(r["text"]) if h in machine.index})
+        z = machine.bias + sum(machine.weights[k] for k in at) + sum(machine.factors[j] @ machine.factors[k] for n, j in enumerate(at) for k in at[n + 1 :])
+        assert abs(got[r["doc_id"]]["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+        assert got[r["doc_id"]]["held_out"] == (not may(r["doc_id"]))
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.train(docs, turned, lambda i: F.crc32(i.cast("string").cast("binary")) % 4 != 2)
+    assert again.bias == machine.bias and np.array_equal(again.weights, machine.weights) and again.index == machine.index
+
+
+def test_contrasts_equal_one_pair_at_a_time():
+    rng = np.random.default_rng(6)
+    x, y = (rng.random((400, 6)) < 0.5).astype(np.float32), np.zeros(400)
+    y[(x[:, 1] != x[:, 4])] = 1
+    a, b, z = toxicity.pair_contrasts(x, y)
+    assert (a[0], b[0]) == (1, 4)
+    share = {(p, q): ((y[(x[:, 1] == p) & (x[:, 4] == q)]).sum() + 0.5, ((x[:, 1] == p) & (x[:, 4] == q)).sum() + 1) for p in (0, 1) for q in (0, 1)}
+    contrast = sum((1 if p == q else -1) * k / m for (p, q), (k, m) in share.items())
+    assert abs(z[0] / (contrast**2 / sum(k / m * (1 - k / m) / m for k, m in share.values())) - 1) < 1e-4

@@ -83,8 +83,8 @@ SELECT doc_id, source, tokens, round(weight, 9) AS weight, pass::INT AS pass, "o
 
 
 def remainder(k: int, key: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo k."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % k
+    """crc32 of the id as text, modulo k; -1 for a null id, so that it is never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % k, F.lit(-1))
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

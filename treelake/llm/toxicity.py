@@ -4,15 +4,19 @@ A text's terms are its distinct words and their first 3, 4, 5 and 6 letters, eac
 hashed to 32 bits. The machine's log-odds are a bias, a weight for each term and
 the dot products of the factor vectors of each pair of terms, so that two terms
 that are harmless alone (an insult's word in a quotation, a group's name) can be
-toxic together. Of the hashed terms those that the labels depend on most
-(largest chi-square, at most TERMS) get parameters; the others have none.
+toxic together. Terms get parameters for either of two reasons, the others have none:
+the labels depend on them alone (chi-square; at most TERMS), or they depend on a pair
+of them beyond what either tells alone (the contrast of the four shares of toxic texts,
+with both, one, the other and neither; at most PAIR_TERMS), among the pairs of
+the PAIR_WORDS words that most texts of the sample have. So words that are neutral
+alone and toxic in pairs are learned too.
 
 Fitting takes at most SAMPLE labelled training rows, those with the least
 xxhash64 of their id: a bound of the classifier's fit, which the driver's memory
 depends on. Scoring covers every row.
 
 Defined cases: a null or empty text has no terms and gets the bias's score;
-rows with a null label or without one are scored, not learned from; without any
+rows with a null label, a null id or no label are scored, not learned from (a null id counts as not held out); without any
 labelled row, or with one class only, all scores are the (smoothed) base rate;
 texts are read whole; equal texts get equal scores; an empty table gives an
 empty result.
@@ -34,8 +38,10 @@ from treelake.llm._arrow import col, keep_rows, map_columns, slices
 from treelake.llm._spark import written
 
 SAMPLE, TERMS, FACTORS, STEPS = 16_000, 4096, 8, 150
-#: Least chi-square of a term, and least rows that have it.
-CHI2, ROWS = 20.0, 4
+#: Least chi-square of a term and of a pair's contrast, and least rows that have it.
+CHI2, PAIR_CHI2, ROWS = 20.0, 40.0, 4
+#: Words whose pairs are tried, and most terms that they give.
+PAIR_WORDS, PAIR_TERMS = 1024, 256
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
@@ -131,39 +137,92 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
     whole = joined.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     if not 0 < whole["p"] < whole["n"]:
         return fit([np.zeros(0, np.int64)] * whole["n"], np.full(whole["n"], float(whole["p"] > 0)))
-    vocabulary = _chosen_terms(joined, whole["n"], whole["p"])
+    counts = written(_term_counts(joined), "toxicity-terms")
+    vocabulary = np.union1d(_alone(counts, whole["n"], whole["p"]), _in_pairs(joined, counts, whole["n"]))
+    return fit(*_rows_of(joined, vocabulary), vocabulary)
+
+
+def _rows_of(joined: DataFrame, vocabulary: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each row of the sample, in order of id, the hashed terms that are in the vocabulary, and the label."""
     known = joined.sparkSession.sparkContext.broadcast(set(vocabulary.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = [sorted(terms(t) & known.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["i", "y", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["i", "y", "h"])
 
-    got = joined.mapInArrow(run, "i long, y int, h array<long>").toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
+    kind = joined.schema["i"].dataType.simpleString()
+    got = joined.mapInArrow(run, f"i {kind}, y int, h array<long>").toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
     hashed = got["h"].combine_chunks()
     rows = np.split(hashed.flatten().to_numpy(), np.cumsum(pc.list_value_length(hashed).to_numpy())[:-1])
-    return fit(rows, got["y"].to_numpy().astype(float), vocabulary)
+    return rows, got["y"].to_numpy().astype(float)
 
 
-def _chosen_terms(joined: DataFrame, n: int, positive: int) -> np.ndarray:
-    """Hashed terms, ascending, of the largest chi-square; terms are counted in the cluster."""
+def _term_counts(joined: DataFrame) -> DataFrame:
+    """(h, whole, have, hit): rows that have a term, and toxic ones; whole: a word and not its first letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, y = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in slices(batch, texts):
                 found = [np.fromiter(x, np.int64, len(x)) for x in map(terms, texts[a:b])]
+                words = {zlib.crc32(f"<{w}>".encode()) for t in texts[a:b] for w in set(_WORD.findall((t or "").lower()))}
                 flat = np.concatenate(found)
                 h, at, have = np.unique(flat, return_inverse=True, return_counts=True)
                 hit = np.bincount(at, np.repeat(y[a:b], [len(x) for x in found]), len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(have), pa.array(hit)], names=["h", "have", "hit"])
+                whole = np.isin(h, np.fromiter(words, np.int64, len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(whole), pa.array(have), pa.array(hit)], names=["h", "whole", "have", "hit"])
+
+    found = joined.mapInArrow(run, "h long, whole boolean, have long, hit long")
+    return found.groupBy("h").agg(F.max("whole").alias("whole"), F.sum("have").alias("have"), F.sum("hit").alias("hit"))
+
 
-    counts = joined.mapInArrow(run, "h long, have long, hit long").groupBy("h").agg(F.sum("have").alias("have"), F.sum("hit").alias("hit"))
+def _alone(counts: DataFrame, n: int, positive: int) -> np.ndarray:
+    """Hashed terms of the largest chi-square."""
     share = positive / n
     have = F.col("have").cast("double")
     chi2 = F.pow(F.col("hit") - have * share, F.lit(2.0)) / (have * (share * (1 - share)) * (1 - have / n))
     best = counts.where((F.col("have") >= ROWS) & (F.col("have") < n)).select("h", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "h").limit(TERMS)
-    return np.sort(best.toPandas()["h"].to_numpy(np.int64))
+    return best.toPandas()["h"].to_numpy(np.int64)
+
+
+def _in_pairs(joined: DataFrame, counts: DataFrame, n: int) -> np.ndarray:
+    """Hashed words of the pairs of largest contrast. The sample's rows and PAIR_WORDS bound the driver's tables."""
+    often = counts.where(F.col("whole") & (F.col("have") >= ROWS) & (F.col("have") < n)).orderBy(F.desc("have"), "h").limit(PAIR_WORDS)
+    words = np.sort(often.toPandas()["h"].to_numpy(np.int64))
+    if len(words) < 2:
+        return words[:0]
+    rows, labels = _rows_of(joined, words)
+    x = np.zeros((len(rows), len(words)), np.float32)
+    x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.searchsorted(words, np.concatenate(rows))] = 1
+    return np.unique(words[np.stack(pair_contrasts(x, labels)[:2])])
+
+
+def pair_contrasts(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, z squared) of columns a < b of 0 and 1 whose pair tells of the labels beyond either, the largest first; at most PAIR_TERMS columns."""
+    n, toxic = len(x), float(labels.sum())
+    both, hits = x.T @ x, x.T @ (x * labels[:, None].astype(np.float32))
+    have, hit = both.diagonal().copy(), hits.diagonal().copy()
+    contrast, variance = 0.0, 0.0
+    for sign, m, k in (
+        (1, both, hits),
+        (-1, have[:, None] - both, hit[:, None] - hits),
+        (-1, have[None, :] - both, hit[None, :] - hits),
+        (1, n - have[:, None] - have[None, :] + both, toxic - hit[:, None] - hit[None, :] + hits),
+    ):
+        share = (k + 0.5) / (m + 1)
+        contrast = contrast + sign * share
+        variance = variance + share * (1 - share) / (m + 1)
+    z = np.triu(contrast**2 / variance, 1)
+    z[both < ROWS] = 0
+    a, b = np.nonzero(z >= PAIR_CHI2)
+    order = np.lexsort((b, a, -z[a, b]))
+    a, b = a[order], b[order]
+    seen, new = np.unique(np.stack([a, b], 1).reshape(-1), return_index=True)
+    if len(seen) > PAIR_TERMS:
+        end = np.sort(new)[PAIR_TERMS] // 2
+        a, b = a[:end], b[:end]
+    return a, b, z[a, b]
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
