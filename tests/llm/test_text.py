@@ -238,3 +238,12 @@ def test_media_edges(edge):
     assert telephony.digests(edge.limit(0)).count() == 0
     same = {r["feature"] for r in telephony.digests(edge.where(F.col("doc_id").isin(5, 6))).collect()}
     assert len(same) == 1
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    for text in ("a" * 10_000 + "12345", "Ab" * 5_000 + "12345x", "abcde" * 2_000 + "_" * 10 + "12345", "aB1-" * 5_000):
+        assert all(0 <= a < b <= len(text) for a, _, b in secrets.scanner(spark)().spans(text))
+    assert time.time() - began < 30
