@@ -1,7 +1,14 @@
 """A training corpus from documents, in stages; each stage calls one operator of treelake.llm.
 
 A stage takes (spark, docs, sf_dir) and works on all its predecessor kept: its result is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents,
+and those only by name and type: further columns, whatever their names, go through unread.
+
+Defined cases: a null or empty text is clean, has no near copy and no secret, counts no tokens in
+mixing (which takes nothing of a source without tokens) and encodes to no tokens. A null id is
+never learned from and never a near copy; of repeated ids one row stays (the least text). A null
+source is a source of its own. Equal documents get equal decisions, but for near copies, of which
+the least id stays. Texts are read whole, and an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
