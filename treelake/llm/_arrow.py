@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def slices(batch: pa.RecordBatch, texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > limit:
-            yield start, k
-            start, size = k, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text; nothing is turned into Python strings before."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (int(ends[start - 1]) if start else 0) + limit, "right")))
+        yield start, end
+        start = end
 
 
 def map_texts(
@@ -66,11 +66,8 @@ def map_columns(df: DataFrame, schema: str, make: Callable, limit: int = SLICE_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
-            more = [c.to_pylist() for c in batch.columns[2:]]
-            for a, b in slices(batch, texts, limit):
-                for out in fn(ids[a:b], texts[a:b], *(m[a:b] for m in more)):
+            for a, b in slices(batch.column(1), limit):
+                for out in fn(*(c.slice(a, b - a).to_pylist() for c in batch.columns)):
                     yield pa.RecordBatch.from_arrays(
                         [v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type, from_pandas=False) for f in arrow], schema=arrow
                     )
@@ -85,10 +82,9 @@ def keep_rows(df: DataFrame, id_col: str, text_col: str, make: Callable) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(batch, texts):
-                mask = pa.array(fn(texts[a:b]), pa.bool_())
-                yield batch.slice(a, b - a).filter(mask)
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(fn(part.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -169,10 +169,9 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(batch, texts, SLICE):
+            for a, b in slices(batch.column(0), SLICE):
                 n = Counter()
-                for t in texts[a:b]:
+                for t in batch.column(0).slice(a, b - a).to_pylist():
                     n.update(words_of(t))
                 yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
@@ -295,9 +294,8 @@ def _encode(lookup):
             _ENCODER[name] = Encoder(*lookup.value)
         encoder, row = _ENCODER[name], TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(batch, texts, SLICE // 2):
-                classes, tokens, known, base, extra, w, k = zip(*map(encoder.text, texts[a:b]))
+            for a, b in slices(batch.column(1), SLICE // 2):
+                classes, tokens, known, base, extra, w, k = zip(*map(encoder.text, batch.column(1).slice(a, b - a).to_pylist()))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int32)
                 # A row's own key, as ids may be null or repeat; a repeated task gives the same keys.
                 u = np.arange(row, row + b - a)

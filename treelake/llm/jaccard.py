@@ -49,11 +49,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._arrow import col
+from treelake.llm._arrow import col, slices
 from treelake.llm._spark import discard, having, lacking, most_frequent, written
 from treelake.llm.components import components
 
@@ -164,22 +163,11 @@ def ranked(hashes: np.ndarray, heavy: np.ndarray, order: np.ndarray) -> np.ndarr
     return np.concatenate([hashes[~is_heavy], hashes[is_heavy][np.argsort(order[at[is_heavy]], kind="stable")]])
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch of (id, text) of about SLICE bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(sizes):
-        before = int(sizes[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
-        yield start, end
-        start = end
-
-
 def _heavy(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
         for batch in batches:
-            for a, b in _rows(batch):
+            for a, b in slices(batch.column(1), SLICE):
                 h, n = np.unique(np.concatenate(make.sets(batch.column(1).slice(a, b - a))), return_counts=True)
                 keep = n >= HEAVY_LEAST
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
@@ -203,7 +191,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         make, (heavy, order) = Shingler(size), held.value
         for batch in batches:
             ids = batch.column(0)
-            for a, b in _rows(batch):
+            for a, b in slices(batch.column(1), SLICE):
                 n, keys, prefixes, bits = [], [], [], []
                 for k, h in enumerate(make.sets(batch.column(1).slice(a, b - a))):
                     n.append(len(h))
@@ -347,7 +335,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Shingler(size)
             for batch in batches:
-                for a, b in _rows(batch):
+                for a, b in slices(batch.column(1), SLICE):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.view(np.int64) for h in make.sets(batch.column(1).slice(a, b - a))], pa.list_(pa.int64()))], names=["node", "h"])
 
         return written(texts.mapInArrow(run, "node long, h array<long>"), "jaccard-sets")

@@ -266,10 +266,9 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(batch, texts, SLICE):
+            for a, b in slices(batch.column(1), SLICE):
                 by: dict[str, Counter] = {}
-                for lang, text in zip(langs[a:b], texts[a:b]):
+                for lang, text in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns)):
                     by.setdefault(lang, Counter()).update(words_of(text))
                 for lang, n in by.items():
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "count"])

@@ -247,14 +247,14 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_cha
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(batch, texts):
+            for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                new = [redact_text(t, s.spans(t)) for t in texts[a:b]]
+                texts = part.column(at).to_pylist()
+                new = [redact_text(t, s.spans(t)) for t in texts]
                 part = part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
                 if chars is not None:
                     field = part.schema.field(chars)
-                    n = [old if t == was else len(t) for t, was, old in zip(new, texts[a:b], part.column(chars).to_pylist())]
+                    n = [old if t == was else len(t) for t, was, old in zip(new, texts, part.column(chars).to_pylist())]
                     part = part.set_column(chars, field, pa.array(n, field.type))
                 yield part
 

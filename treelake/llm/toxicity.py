@@ -41,11 +41,11 @@ SAMPLE, TERMS, FACTORS, STEPS = 16_000, 4096, 8, 150
 #: Least chi-square of a term and of a pair's contrast, and least rows that have it.
 CHI2, PAIR_CHI2, ROWS = 20.0, 40.0, 4
 #: Words whose pairs are tried, and most terms that they give.
-PAIR_WORDS, PAIR_TERMS = 1024, 256
+PAIR_WORDS, PAIR_TERMS = 1024, 128
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 def word_terms(word: str) -> list[int]:
@@ -109,17 +109,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray | Non
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
     starts, own = np.unique(row, return_index=True)  # rows with a chosen term, and where each begins
     rng = np.random.default_rng(0)
-    p = {"b": np.array([bias]), "w": np.zeros(m), "v": rng.normal(0, 0.01, (m, factors))}
+    p = {"b": np.array([bias]), "w": np.zeros(m), "v": rng.normal(0, 0.01, (m, factors)).astype(np.float32)}
+    labels, by_term = labels.astype(np.float32), np.argsort(at, kind="stable")
+    have, first = np.unique(at[by_term], return_index=True)
+    of_term = row[by_term]
     mean, var = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for t in range(1, steps + 1):
         v = p["v"][at]
-        sums = np.zeros((n, factors))
+        sums = np.zeros((n, factors), np.float32)
         sums[starts] = np.add.reduceat(v, own)
         z = np.full(n, p["b"][0])
         z[starts] += np.add.reduceat(p["w"][at], own) + 0.5 * ((sums[starts] ** 2).sum(1) - np.add.reduceat((v**2).sum(1), own))
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
-        gv = g[row][:, None] * (sums[row] - v)
-        grad = {"b": np.array([g.sum()]), "w": np.bincount(at, g[row], m) + l2 / n * p["w"], "v": np.stack([np.bincount(at, gv[:, k], m) for k in range(factors)], 1) + l2 / n * p["v"]}
+        # The gradient of a term's factors: over its rows, the sum of g times the row's other factors.
+        weight = g[of_term]
+        gw, gv = np.zeros(m), np.zeros((m, factors))
+        gw[have] = np.add.reduceat(weight, first)
+        gv[have] = np.add.reduceat((g[:, None] * sums).astype(np.float32)[of_term], first) - gw[have][:, None] * p["v"][have]
+        grad = {"b": np.array([g.sum()]), "w": gw + l2 / n * p["w"], "v": gv + l2 / n * p["v"]}
         for k in p:
             mean[k] += 0.1 * (grad[k] - mean[k])
             var[k] += 0.001 * (grad[k] ** 2 - var[k])
@@ -138,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
     if not 0 < whole["p"] < whole["n"]:
         return fit([np.zeros(0, np.int64)] * whole["n"], np.full(whole["n"], float(whole["p"] > 0)))
     counts = written(_term_counts(joined), "toxicity-terms")
-    vocabulary = np.union1d(_alone(counts, whole["n"], whole["p"]), _in_pairs(joined, counts, whole["n"]))
+    alone = _alone(counts, whole["n"], whole["p"])
+    vocabulary = np.union1d(alone, _in_pairs(joined, counts, whole["n"], alone))
     return fit(*_rows_of(joined, vocabulary), vocabulary)
 
 
@@ -148,7 +156,7 @@ def _rows_of(joined: DataFrame, vocabulary: np.ndarray) -> tuple[list[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = [sorted(terms(t) & known.value) for t in batch.column(1).to_pylist()]
+            hashed = [sorted(terms(t.as_py()) & known.value) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(hashed, pa.list_(pa.int64()))], names=["i", "y", "h"])
 
     kind = joined.schema["i"].dataType.simpleString()
@@ -163,10 +171,11 @@ def _term_counts(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, y = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            for a, b in slices(batch, texts):
-                found = [np.fromiter(x, np.int64, len(x)) for x in map(terms, texts[a:b])]
-                words = {zlib.crc32(f"<{w}>".encode()) for t in texts[a:b] for w in set(_WORD.findall((t or "").lower()))}
+            y = batch.column(2).to_numpy()
+            for a, b in slices(batch.column(1)):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                found = [np.fromiter(x, np.int64, len(x)) for x in map(terms, texts)]
+                words = {zlib.crc32(f"<{w}>".encode()) for t in texts for w in set(_WORD.findall((t or "").lower()))}
                 flat = np.concatenate(found)
                 h, at, have = np.unique(flat, return_inverse=True, return_counts=True)
                 hit = np.bincount(at, np.repeat(y[a:b], [len(x) for x in found]), len(h)).astype(np.int64)
@@ -186,8 +195,8 @@ def _alone(counts: DataFrame, n: int, positive: int) -> np.ndarray:
     return best.toPandas()["h"].to_numpy(np.int64)
 
 
-def _in_pairs(joined: DataFrame, counts: DataFrame, n: int) -> np.ndarray:
-    """Hashed words of the pairs of largest contrast. The sample's rows and PAIR_WORDS bound the driver's tables."""
+def _in_pairs(joined: DataFrame, counts: DataFrame, n: int, alone: np.ndarray) -> np.ndarray:
+    """Hashed words of the pairs of largest contrast, other than pairs of terms chosen alone. The sample's rows and PAIR_WORDS bound the driver's tables."""
     often = counts.where(F.col("whole") & (F.col("have") >= ROWS) & (F.col("have") < n)).orderBy(F.desc("have"), "h").limit(PAIR_WORDS)
     words = np.sort(often.toPandas()["h"].to_numpy(np.int64))
     if len(words) < 2:
@@ -195,11 +204,14 @@ def _in_pairs(joined: DataFrame, counts: DataFrame, n: int) -> np.ndarray:
     rows, labels = _rows_of(joined, words)
     x = np.zeros((len(rows), len(words)), np.float32)
     x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.searchsorted(words, np.concatenate(rows))] = 1
-    return np.unique(words[np.stack(pair_contrasts(x, labels)[:2])])
+    return np.unique(words[np.stack(pair_contrasts(x, labels, np.isin(words, alone))[:2])])
 
 
-def pair_contrasts(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, z squared) of columns a < b of 0 and 1 whose pair tells of the labels beyond either, the largest first; at most PAIR_TERMS columns."""
+def pair_contrasts(x: np.ndarray, labels: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, z squared) of columns a < b of 0 and 1 whose pair tells of the labels beyond either, the largest first; at most PAIR_TERMS columns.
+
+    Pairs of two ``known`` columns are left out.
+    """
     n, toxic = len(x), float(labels.sum())
     both, hits = x.T @ x, x.T @ (x * labels[:, None].astype(np.float32))
     have, hit = both.diagonal().copy(), hits.diagonal().copy()
@@ -215,6 +227,8 @@ def pair_contrasts(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
         variance = variance + share * (1 - share) / (m + 1)
     z = np.triu(contrast**2 / variance, 1)
     z[both < ROWS] = 0
+    if known is not None:
+        z[np.ix_(known, known)] = 0
     a, b = np.nonzero(z >= PAIR_CHI2)
     order = np.lexsort((b, a, -z[a, b]))
     a, b = a[order], b[order]
