@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to user code at once (one longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def col(name: str) -> Column:
@@ -71,6 +71,7 @@ def map_columns(df: DataFrame, schema: str, make: Callable, limit: int = SLICE_B
                     yield pa.RecordBatch.from_arrays(
                         [v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type, from_pandas=False) for f in arrow], schema=arrow
                     )
+        pa.default_memory_pool().release_unused()  # a worker outlives the task
 
     return df.mapInArrow(run, spark_schema)
 
@@ -85,6 +86,7 @@ def keep_rows(df: DataFrame, id_col: str, text_col: str, make: Callable) -> Data
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(fn(part.column(at).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 

@@ -43,8 +43,8 @@ _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{_LETTER}0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: Texts of these characters only are normalised and split here.
 SIMPLE = re.compile(r"[\t\n\r -~\xa1-įı-ſ–—‘-”…€]*")
-#: Characters of cached words before the cache is emptied (about 100 MB in a worker).
-CACHE_CHARACTERS = 5 << 20
+#: Characters of cached words before the cache is emptied (about 60 MB in a worker).
+CACHE_CHARACTERS = 3 << 20
 
 
 def byte_symbols() -> list[str]:

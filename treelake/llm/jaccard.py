@@ -63,7 +63,8 @@ HEAVY_LEAST = 4
 LEAF, ELEMENTS = 4096, 2 << 20
 #: Rounds of pivots in larger cells, and a round's pivots; what is left after them is dealt in blocks.
 PIVOT_ROUNDS, PIVOTS = 3, 4
-SLICE = 8 << 20
+#: Bytes of text whose frequent shingles are counted together, and whose sets are made together.
+SLICE, SETS_SLICE = 8 << 20, 2 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -191,7 +192,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         make, (heavy, order) = Shingler(size), held.value
         for batch in batches:
             ids = batch.column(0)
-            for a, b in slices(batch.column(1), SLICE):
+            for a, b in slices(batch.column(1), SETS_SLICE):
                 n, keys, prefixes, bits = [], [], [], []
                 for k, h in enumerate(make.sets(batch.column(1).slice(a, b - a))):
                     n.append(len(h))
@@ -221,10 +222,11 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[pa.T
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         last = int(cuts[-1]) if len(cuts) else 0
         if last:
-            yield t.slice(0, last).combine_chunks(), np.concatenate([[0], cuts])
+            yield t.slice(0, last), np.concatenate([[0], cuts])
         held = t.slice(last)
     if held is not None and len(held):
-        yield held.combine_chunks(), np.array([0, len(held)])
+        yield held, np.array([0, len(held)])
+    pa.default_memory_pool().release_unused()  # a worker outlives the task
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -335,7 +337,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Shingler(size)
             for batch in batches:
-                for a, b in slices(batch.column(1), SLICE):
+                for a, b in slices(batch.column(1), SETS_SLICE):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.view(np.int64) for h in make.sets(batch.column(1).slice(a, b - a))], pa.list_(pa.int64()))], names=["node", "h"])
 
         return written(texts.mapInArrow(run, "node long, h array<long>"), "jaccard-sets")
