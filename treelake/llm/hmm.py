@@ -46,7 +46,7 @@ STATES, OWN, BUCKETS = 8, 8192, 4096
 LOOKUP = 1 << 17
 INITIAL, INITIAL_STEPS, PASSES = 300, 12, 2
 #: Cells (steps times sequences) side by side in training and in scoring.
-CELLS, SCORE_CELLS = 1 << 18, 1 << 21
+CELLS, SCORE_CELLS = 1 << 19, 1 << 21
 SLICE = 8 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 END = OWN + BUCKETS
