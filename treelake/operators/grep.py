@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.functions import patterns
@@ -46,9 +46,9 @@ def is_text(content: Column) -> Column:
 def grep(contents: DataFrame, g: Grep) -> DataFrame:
     """(path, line, column, content, match, before, after): a row for each occurrence.
 
-    Lines and columns count from 1, columns in code points. A text's lines stay one
-    array while they are searched, so context needs no join; only hits are exploded.
-    max_count is for each file, in order of line and column.
+    Lines and columns count from 1, columns in code points. A text's hits, their columns and their context are
+    found as arrays of its own row and cut to max_count there; then they are exploded, with nothing else of
+    the text. So there is no join, no window and no shuffle. max_count is for each file, in order of line and column.
     """
     rows = contents.where((F.col("content") != "") & is_text(F.col("content")))
     if g.glob:
@@ -57,25 +57,36 @@ def grep(contents: DataFrame, g: Grep) -> DataFrame:
     if not g.invert:
         rows = rows.where(F.col("content").rlike(rx))  # whole texts without a hit go first
     rows = rows.select("path", F.split("content", "\n", -1).alias("lines"))
-    rows = rows.select("path", "lines", F.posexplode("lines").alias("at", "content"))
-    rows = rows.where(~F.col("content").rlike(rx) if g.invert else F.col("content").rlike(rx))
-    context = [
-        F.slice("lines", F.greatest(F.col("at") + 1 - g.before, F.lit(1)), F.least(F.lit(g.before), F.col("at"))).alias("before"),
-        F.slice("lines", F.col("at") + 2, F.lit(g.after)).alias("after"),
-    ]
-    rows = rows.select("path", (F.col("at") + 1).alias("line"), "content", *context)
-    if g.invert:
-        rows = rows.withColumn("column", F.lit(1)).withColumn("match", F.lit(""))
-    else:
-        rows = rows.withColumn("m", F.filter(F.regexp_extract_all("content", F.lit(rx), F.lit(0)), lambda m: m != ""))
-        # Each hit's column: the text before it is what stands between the hits so far.
-        gaps = F.split("content", rx, -1)
-        at = F.transform(F.sequence(F.lit(1), F.size("m")), lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(1), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("m", F.lit(1), k - 1), F.lit(0), lambda s, x: s + F.length(x)))
-        rows = rows.where(F.size("m") > 0).withColumn("hit", F.explode(F.arrays_zip(at.alias("column"), F.col("m").alias("match")))).withColumns({"column": F.col("hit.column"), "match": F.col("hit.match")})
+    numbered = F.transform("lines", lambda x, at: F.struct(at.alias("at"), x.alias("content")))
+    rows = rows.withColumn("found", F.filter(numbered, lambda x: ~x["content"].rlike(rx) if g.invert else x["content"].rlike(rx)))
+
+    def hits(x: Column) -> Column:
+        """Of a line: structs of line, column, content, match, before and after."""
+        at = x["at"]
+        context = [
+            F.slice("lines", F.greatest(at + 1 - g.before, F.lit(1)), F.least(F.lit(g.before), at)).alias("before"),
+            F.slice("lines", at + 2, F.lit(g.after)).alias("after"),
+        ]
+        one = lambda column, match: F.struct((at + 1).alias("line"), column.alias("column"), x["content"].alias("content"), match.alias("match"), *context)
+        if g.invert:
+            return F.array(one(F.lit(1), F.lit("")))
+        matches = F.filter(F.regexp_extract_all(x["content"], F.lit(rx), F.lit(0)), lambda m: m != "")
+        if limit is not None:
+            matches = F.slice(matches, F.lit(1), F.lit(limit))
+        # A hit begins after the text before it, which is what stands between the hits so far; one pass adds it up.
+        pairs = F.filter(F.arrays_zip(F.split(x["content"], rx, -1).alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<column:int,match:string>>").alias("all"))
+
+        def add(s: Column, p: Column) -> Column:
+            column = s["next"] + F.length(p["gap"])
+            return F.struct((column + F.length(p["match"])).alias("next"), F.concat(s["all"], F.array(F.struct(column.alias("column"), p["match"].alias("match")))).alias("all"))
+
+        return F.transform(F.aggregate(pairs, start, add, lambda s: s["all"]), lambda h: one(h["column"], h["match"]))
+
     limit = 1 if g.files_only else g.max_count
-    if limit is not None:
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line", "column"))).where(F.col("r") <= limit)
-    return rows.select("path", "line", "column", "content", "match", "before", "after")
+    every = F.flatten(F.transform("found", hits))
+    rows = rows.select("path", F.explode(every if limit is None else F.slice(every, F.lit(1), F.lit(limit))).alias("hit"))
+    return rows.select("path", *(f"hit.{c}" for c in ("line", "column", "content", "match", "before", "after")))
 
 
 def counts(matches: DataFrame) -> DataFrame:

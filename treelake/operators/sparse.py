@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from treelake.functions import paths, patterns
 
-#: Named include lists; more can be added.
+#: Named include lists. More can be added.
 PRESETS: dict[str, list[str]] = {
-    "typescript": ["**/*.ts", "**/*.tsx", "!**/*.d.ts", "!**/node_modules/**"],
-    "javascript": ["**/*.js", "**/*.jsx", "!**/node_modules/**"],
-    "source": ["src/**", "lib/**"],
-    "web": ["**/*.html", "**/*.css", "**/*.js"],
-    "config": ["**/*.json", "**/*.yaml", "**/*.yml", "**/*.toml"],
+    "typescript": ["**/*.ts", "**/*.tsx", "package.json", "tsconfig.json"],
+    "javascript": ["**/*.js", "**/*.jsx", "package.json"],
+    "source": ["src/**", "lib/**", "package.json"],
+    "web": ["**/*.html", "**/*.css", "**/*.js", "**/*.ts", "**/*.jsx", "**/*.tsx"],
+    "config": ["package.json", "tsconfig.json", "*.config.{js,ts,mjs,cjs}", ".env*"],
 }
 
 

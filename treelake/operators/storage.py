@@ -138,10 +138,12 @@ class TierConfig:
             raise ValueError(f"policy {self.policy}")
 
 
+DAY_MS = 86_400_000
+#: Tier settings by name.
 PRESETS = {
-    "aggressive": TierConfig(policy="aggressive", hot_age_ms=7 * 86_400_000, warm_age_ms=90 * 86_400_000),
+    "aggressive": TierConfig(hot_max=5 << 20, warm_max=200 << 20, policy="aggressive", promote_accesses=1, promote_age_ms=30 * DAY_MS, hot_age_ms=7 * DAY_MS, warm_age_ms=90 * DAY_MS),
     "balanced": TierConfig(),
-    "conservative": TierConfig(policy="none", hot_age_ms=3_600_000, warm_age_ms=7 * 86_400_000),
+    "conservative": TierConfig(hot_max=256 << 10, warm_max=50 << 20, policy="none", promote_accesses=10, promote_age_ms=1 * DAY_MS, hot_age_ms=1 * DAY_MS, warm_age_ms=7 * DAY_MS),
 }
 
 

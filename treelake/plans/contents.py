@@ -22,13 +22,7 @@ def grep(c: Catalog) -> DataFrame:
     return g.counts(g.grep(c.contents, g.Grep("tion", literal=True)))
 
 
-@query("g02_grep_lines", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, 'th[ae]')) AS hits, min(strpos(content, 'th')) AS first FROM lines WHERE regexp_matches(content, 'th[ae]') AND path LIKE '/docs/src1/%' GROUP BY path, line, content")
-def grep_lines(c: Catalog) -> DataFrame:
-    rows = g.grep(c.contents.where("path LIKE '/docs/src1/%'"), g.Grep("th[ae]"))
-    return rows.groupBy("path", "line", "content").agg(F.count("*").alias("hits"), F.min(F.instr("content", "th")).alias("first")).drop("content")
-
-
-@query("g02_grep_lines_all", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, 'th[ae]')) AS hits, min(strpos(content, 'th')) AS first FROM lines WHERE regexp_matches(content, 'th[ae]') GROUP BY path, line, content")
+@query("g02_grep_lines", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, 'th[ae]')) AS hits, min(strpos(content, 'th')) AS first FROM lines WHERE regexp_matches(content, 'th[ae]') GROUP BY path, line, content", "g02_grep_lines_all")
 def grep_lines_all(c: Catalog) -> DataFrame:
     rows = g.grep(c.contents, g.Grep("th[ae]"))
     return rows.groupBy("path", "line", "content").agg(F.count("*").alias("hits"), F.min(F.instr("content", "th")).alias("first")).drop("content")
@@ -41,12 +35,12 @@ def grep_word(c: Catalog) -> DataFrame:
 
 @query(
     "g04_grep_context",
-    f"""WITH {LINES}, hits AS (SELECT path, line FROM lines WHERE contains(content, 'password'))
-SELECT h.path, h.line, len(list_filter([h.line - 1, h.line - 2], lambda x: x > 0)) AS before, (SELECT count(*) FROM lines l WHERE l.path = h.path AND l.line BETWEEN h.line + 1 AND h.line + 1) AS after FROM hits h""",
+    f"""WITH {LINES}, hits AS (SELECT path, line, len(regexp_extract_all(content, 'tion')) AS n FROM lines WHERE contains(content, 'tion')), ends AS (SELECT path, max(line) AS last FROM lines GROUP BY path)
+SELECT h.path, h.line, least(2, h.line - 1)::INT AS before, least(1, last - h.line)::INT AS after, n AS hits FROM hits h JOIN ends ON ends.path = h.path""",
 )
 def grep_context(c: Catalog) -> DataFrame:
-    rows = g.grep(c.contents, g.Grep("password", literal=True, before=2, after=1, max_count=1_000_000))
-    return rows.select("path", "line", F.size("before").alias("before"), F.size("after").alias("after")).distinct()
+    rows = g.grep(c.contents, g.Grep("tion", literal=True, before=2, after=1))
+    return rows.groupBy("path", "line", F.size("before").alias("before"), F.size("after").alias("after")).agg(F.count("*").alias("hits"))
 
 
 @query("g05_grep_max", f"WITH {LINES} SELECT path, least(3, sum(len(regexp_extract_all(content, 'the'))))::BIGINT AS hits FROM lines WHERE contains(content, 'the') GROUP BY path")
@@ -59,12 +53,7 @@ def grep_files(c: Catalog) -> DataFrame:
     return g.grep(c.contents, g.Grep("ing", literal=True, files_only=True)).select("path", "line")
 
 
-@query("g07_grep_invert", f"WITH {LINES} SELECT path, line, 1 AS \"column\", '' AS match FROM lines WHERE path LIKE '/docs/src2/%' AND NOT contains(content, 'e')")
-def grep_invert(c: Catalog) -> DataFrame:
-    return g.grep(c.contents.where("path LIKE '/docs/src2/%'"), g.Grep("e", literal=True, invert=True)).select("path", "line", "column", "match")
-
-
-@query("g07_grep_invert_all", f"WITH {LINES} SELECT path, line, 1 AS \"column\", '' AS match FROM lines WHERE NOT contains(content, 'e')")
+@query("g07_grep_invert", f"WITH {LINES} SELECT path, line, 1 AS \"column\", '' AS match FROM lines WHERE NOT contains(content, 'e')", "g07_grep_invert_all")
 def grep_invert_all(c: Catalog) -> DataFrame:
     return g.grep(c.contents, g.Grep("e", literal=True, invert=True)).select("path", "line", "column", "match")
 
@@ -84,6 +73,11 @@ def term_count(c: Catalog) -> DataFrame:
     return c.contents.select("path", g.term_count(F.col("content"), "The", ignore_case=True).alias("n"))
 
 
+@query("p34_tool_grep", f"WITH {LINES} SELECT path, line, len(regexp_extract_all(content, 'pass')) AS hits FROM lines WHERE contains(content, 'pass')")
+def tool_grep(c: Catalog) -> DataFrame:
+    return g.tool_search(c.files, c.contents, "grep:pass").groupBy("path", "line").agg(F.count("*").alias("hits"))
+
+
 @query("p34_tool_search", "SELECT path, type, size FROM files WHERE path LIKE '/web/%9.html'")
 def tool_search(c: Catalog) -> DataFrame:
     return g.tool_search(c.files, c.contents, "*9.html")
@@ -252,12 +246,7 @@ def verify(c: Catalog) -> DataFrame:
     return st.verify(c.contents, c.files)
 
 
-@query("d16_object_hash", "SELECT path, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS hash FROM regular WHERE starts_with(path, '/web/')")
-def object_hash(c: Catalog) -> DataFrame:
-    return c.contents.where("path LIKE '/web/%'").select("path", scalars.object_hash("blob", F.col("content")).alias("hash"))
-
-
-@query("d16_object_hash_all", "SELECT path, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS hash FROM regular")
+@query("d16_object_hash", "SELECT path, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS hash FROM regular", "d16_object_hash_all")
 def object_hash_all(c: Catalog) -> DataFrame:
     return c.contents.select("path", scalars.object_hash("blob", F.col("content")).alias("hash"))
 
@@ -303,13 +292,7 @@ def pages_of_file(c: Catalog) -> DataFrame:
     return c.page_metadata.where("file_id IN (1, 7, 33)").select("file_id", "page_number", "page_key").orderBy("file_id", "page_number")
 
 
-@query("d35_chunk_range", "SELECT path, lower(hex(encode(content)[701:1000])) AS data FROM regular WHERE starts_with(path, '/docs/src5/') AND strlen(content) > 512")
-def chunk_range(c: Catalog) -> DataFrame:
-    rows = st.chunks(c.contents.where("path LIKE '/docs/src5/%' AND octet_length(content) > 512"), 512)
-    return st.range_of_chunks(rows, 700, 300, 512).select("path", F.lower(F.hex("data")).alias("data"))
-
-
-@query("d35_chunk_range_all", "SELECT path, lower(hex(encode(content)[701:1000])) AS data FROM regular WHERE strlen(content) > 512")
+@query("d35_chunk_range", "SELECT path, lower(hex(encode(content)[701:1000])) AS data FROM regular WHERE strlen(content) > 512", "d35_chunk_range_all")
 def chunk_range_all(c: Catalog) -> DataFrame:
     return st.range_of_chunks(st.chunks(c.contents, 512), 700, 300, 512).select("path", F.lower(F.hex("data")).alias("data"))
 
@@ -334,34 +317,18 @@ def migration_batch(c: Catalog) -> DataFrame:
     return st.oldest(c.page_metadata.where("last_access_at < 900000000000"), 40, "hot").select("page_key")
 
 
-@query("m23_chunks", "SELECT path, n AS chunk, '__page__' || path || ':' || n AS key, strlen(content) AS total FROM regular, unnest(range((strlen(content) + 511) // 512)) t(n) WHERE starts_with(path, '/web/')")
-def chunks(c: Catalog) -> DataFrame:
-    rows = st.chunks(c.contents.where("path LIKE '/web/%'"), 512)
-    return rows.join(c.contents.select("path", F.octet_length("content").cast("long").alias("total")), "path").select("path", F.col("chunk").cast("long").alias("chunk"), "key", "total")
-
-
-@query("m23_chunks_all", "SELECT path, n AS chunk, '__page__' || path || ':' || n AS key, strlen(content) AS total FROM regular, unnest(range((strlen(content) + 511) // 512)) t(n)")
+@query("m23_chunks", "SELECT path, n AS chunk, '__page__' || path || ':' || n AS key, strlen(content) AS total FROM regular, unnest(range((strlen(content) + 511) // 512)) t(n)", "m23_chunks_all")
 def chunks_all(c: Catalog) -> DataFrame:
     rows = st.chunks(c.contents, 512)
     return rows.join(c.contents.select("path", F.octet_length("content").cast("long").alias("total")), "path").select("path", F.col("chunk").cast("long").alias("chunk"), "key", "total")
 
 
-@query("m24_chunk_store", "SELECT path, sha256(content) AS sha256 FROM regular WHERE starts_with(path, '/web/') AND content <> ''")
-def chunk_store(c: Catalog) -> DataFrame:
-    return st.assemble(st.chunks(c.contents.where("path LIKE '/web/%'"), 512)).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-@query("m24_chunk_store_all", "SELECT path, sha256(content) AS sha256 FROM regular WHERE content <> ''")
+@query("m24_chunk_store", "SELECT path, sha256(content) AS sha256 FROM regular WHERE content <> ''", "m24_chunk_store_all")
 def chunk_store_all(c: Catalog) -> DataFrame:
     return st.assemble(st.chunks(c.contents, 512)).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@query("m22_flush_extents", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e) WHERE starts_with(path, '/web/')")
-def flush_extents(c: Catalog) -> DataFrame:
-    return st.flush_extents(st.chunks(c.contents.where("path LIKE '/web/%'"), 256), 4).drop("data")
-
-
-@query("m22_flush_extents_all", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e)")
+@query("m22_flush_extents", "SELECT path, e AS extent_index, e * 4 AS start_page, least(4, (strlen(content) + 255) // 256 - e * 4) AS page_count, sha256(encode(content)[e * 1024 + 1 : (e + 1) * 1024]) AS checksum FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(e)", "m22_flush_extents_all")
 def flush_extents_all(c: Catalog) -> DataFrame:
     return st.flush_extents(st.chunks(c.contents, 256), 4).drop("data")
 

@@ -23,24 +23,13 @@ def apply(c: Catalog) -> DataFrame:
     return ch.apply(base, put.unionByName(early).unionByName(gone).unionByName(new))
 
 
-@query("m02_append", "SELECT path, sha256(content || CASE WHEN path LIKE '%7.html' THEN '+tail' ELSE '' END) AS sha256 FROM regular WHERE starts_with(path, '/web/')")
-def append(c: Catalog) -> DataFrame:
-    web = c.contents.where("path LIKE '/web/%'")
-    return ch.append(web, web.where(F.col("path").like("%7.html")).select("path", F.lit("+tail").alias("data"))).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-@query("m02_append_all", "SELECT path, sha256(content || CASE WHEN path LIKE '%7.%' THEN '+tail' ELSE '' END) AS sha256 FROM regular")
+@query("m02_append", "SELECT path, sha256(content || CASE WHEN path LIKE '%7.%' THEN '+tail' ELSE '' END) AS sha256 FROM regular", "m02_append_all")
 def append_all(c: Catalog) -> DataFrame:
     more = c.contents.where(F.col("path").like("%7.%")).select("path", F.lit("+tail").alias("data"))
     return ch.append(c.contents, more).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@query("m04_truncate", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular WHERE starts_with(path, '/chat/')")
-def truncate(c: Catalog) -> DataFrame:
-    return ch.truncate(c.contents.where("path LIKE '/chat/%'"), 100).select("path", F.lower(F.hex("content")).alias("data"))
-
-
-@query("m04_truncate_all", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular")
+@query("m04_truncate", "SELECT path, lower(hex(encode(content)[1:100])) || repeat('00', greatest(100 - strlen(content), 0)::INT) AS data FROM regular", "m04_truncate_all")
 def truncate_all(c: Catalog) -> DataFrame:
     return ch.truncate(c.contents, 100).select("path", F.lower(F.hex("content")).alias("data"))
 
@@ -239,12 +228,7 @@ def rate_limit(c: Catalog) -> DataFrame:
     return watch.rate_limit(c.watch_events, most=3, per_ms=86_400_000, burst=2, burst_ms=3_600_000).select("event_id", "allowed")
 
 
-@query("t10_event_priority", "SELECT event_id, CASE type WHEN 'delete' THEN 3 WHEN 'rename' THEN 2 WHEN 'create' THEN 1 ELSE 0 END AS priority FROM watch_events ORDER BY priority DESC, event_id LIMIT 100")
-def event_priority(c: Catalog) -> DataFrame:
-    return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id").limit(100)
-
-
-@query("t10_event_priority_all", "SELECT event_id, CASE type WHEN 'delete' THEN 3 WHEN 'rename' THEN 2 WHEN 'create' THEN 1 ELSE 0 END AS priority FROM watch_events ORDER BY priority DESC, event_id")
+@query("t10_event_priority", "SELECT event_id, CASE type WHEN 'delete' THEN 3 WHEN 'rename' THEN 2 WHEN 'create' THEN 1 ELSE 0 END AS priority FROM watch_events ORDER BY priority DESC, event_id", "t10_event_priority_all")
 def event_priority_all(c: Catalog) -> DataFrame:
     return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id")
 

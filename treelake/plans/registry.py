@@ -79,13 +79,14 @@ def with_ctes(body: str) -> str:
     return f"WITH {recursive}{head}" + (f", {body[more.end():]}" if more else f"\n{body}")
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a function of a Catalog as a query."""
+def query(name: str, sql: str | None = None, *more: str) -> Callable:
+    """Register a function of a Catalog as a query, also under further names."""
 
     def add(f: Callable[[Catalog], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, folder: f(Catalog(spark, folder))
-        if sql:
-            SQL[name] = with_ctes(sql.replace("{now}", str(NOW_MS)))
+        for n in (name, *more):
+            QUERIES[n] = lambda spark, folder: f(Catalog(spark, folder))
+            if sql:
+                SQL[n] = with_ctes(sql.replace("{now}", str(NOW_MS)))
         return f
 
     return add

@@ -69,32 +69,17 @@ def list_by_tier(c: Catalog) -> DataFrame:
     return ops.list_prefix(c.files.where("type = 'file' AND tier = 'cold'"), "path", "/docs/", 100).select("path", "tier")
 
 
-@query("s14_range_read", "SELECT path, lower(hex(encode(content)[11:30])) AS data FROM regular WHERE starts_with(path, '/web/')")
-def range_read(c: Catalog) -> DataFrame:
-    return storage.range_read(c.contents.where("path LIKE '/web/%'"), 10, 29).select("path", F.lower(F.hex("data")).alias("data"))
-
-
-@query("s14_range_read_all", "SELECT path, lower(hex(encode(content)[11:30])) AS data FROM regular")
+@query("s14_range_read", "SELECT path, lower(hex(encode(content)[11:30])) AS data FROM regular", "s14_range_read_all")
 def range_read_all(c: Catalog) -> DataFrame:
     return storage.range_read(c.contents, 10, 29).select("path", F.lower(F.hex("data")).alias("data"))
 
 
-@query("s15_stream_read", "SELECT path, n AS chunk, lower(hex(encode(content)[n * 1024 + 1 : (n + 1) * 1024])) AS data FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(n) WHERE starts_with(path, '/docs/src3/')")
-def stream_read(c: Catalog) -> DataFrame:
-    return storage.chunks(c.contents.where("path LIKE '/docs/src3/%'"), 1024).select("path", F.col("chunk").cast("long").alias("chunk"), F.lower(F.hex("data")).alias("data"))
-
-
-@query("s15_stream_read_all", "SELECT path, n AS chunk, lower(hex(encode(content)[n * 1024 + 1 : (n + 1) * 1024])) AS data FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(n)")
+@query("s15_stream_read", "SELECT path, n AS chunk, lower(hex(encode(content)[n * 1024 + 1 : (n + 1) * 1024])) AS data FROM regular, unnest(range((strlen(content) + 1023) // 1024)) t(n)", "s15_stream_read_all")
 def stream_read_all(c: Catalog) -> DataFrame:
     return storage.chunks(c.contents, 1024).select("path", F.col("chunk").cast("long").alias("chunk"), F.lower(F.hex("data")).alias("data"))
 
 
-@query("s16_suffix_read", "SELECT path, lower(hex(encode(content)[greatest(strlen(content) - 15, 1):])) AS data FROM regular WHERE starts_with(path, '/web/')")
-def suffix_read(c: Catalog) -> DataFrame:
-    return storage.suffix_read(c.contents.where("path LIKE '/web/%'"), 16).select("path", F.lower(F.hex("data")).alias("data"))
-
-
-@query("s16_suffix_read_all", "SELECT path, lower(hex(encode(content)[greatest(strlen(content) - 15, 1):])) AS data FROM regular")
+@query("s16_suffix_read", "SELECT path, lower(hex(encode(content)[greatest(strlen(content) - 15, 1):])) AS data FROM regular", "s16_suffix_read_all")
 def suffix_read_all(c: Catalog) -> DataFrame:
     return storage.suffix_read(c.contents, 16).select("path", F.lower(F.hex("data")).alias("data"))
 
@@ -332,12 +317,7 @@ def traversal(c: Catalog) -> DataFrame:
     return c.files.where("depth IN (1, 2)").select(p.alias("path"), (F.col("depth") <= 1).alias("escapes"))
 
 
-@query("t02_find_order", f"SELECT {STAT} FROM files ORDER BY path LIMIT 100")
-def find_order(c: Catalog) -> DataFrame:
-    return ops.find(c.files, ops.Find()).limit(100)
-
-
-@query("t02_find_order_all", f"SELECT {STAT} FROM files ORDER BY path")
+@query("t02_find_order", f"SELECT {STAT} FROM files ORDER BY path", "t02_find_order_all")
 def find_order_all(c: Catalog) -> DataFrame:
     return ops.find(c.files, ops.Find()).orderBy("path")
 
@@ -382,13 +362,7 @@ def hash_algorithm(c: Catalog) -> DataFrame:
     return c.files.where("type = 'file'").select("path", scalars.hash_algorithm(h).alias("algorithm"), h.rlike("^[0-9a-f]{64}$").alias("valid"))
 
 
-@query("f11_encodings", "SELECT path, base64(encode(content[1:9])) AS b64, lower(hex(encode(content[1:9]))) AS hexa FROM regular WHERE starts_with(path, '/web/')")
-def encodings(c: Catalog) -> DataFrame:
-    head = F.substring("content", 1, 9)
-    return c.contents.where("path LIKE '/web/%'").select("path", F.base64(F.encode(head, "UTF-8")).alias("b64"), F.lower(F.hex(head)).alias("hexa"))
-
-
-@query("f11_encodings_all", "SELECT path, base64(encode(content)) AS b64, lower(hex(encode(content))) AS hexa FROM regular")
+@query("f11_encodings", "SELECT path, base64(encode(content)) AS b64, lower(hex(encode(content))) AS hexa FROM regular", "f11_encodings_all")
 def encodings_all(c: Catalog) -> DataFrame:
     # Spark may break base64 into lines of 76 characters.
     b64 = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
