@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treelake.functions import paths, scalars
@@ -159,3 +163,53 @@ def test_existence_filter(spark):
     rows = {r["id"]: r["may_exist"] for r in storage.may_exist(asked, "k", held).collect()}
     assert all(rows[k] for k in range(2000))
     assert sum(rows[k] for k in range(2000, 6000)) < 4000 * 0.03
+
+
+PARTS = st.lists(st.sampled_from(["a", "..", ".", "", " ", "b c", "%00", "\\0", "\t", "é", "　", "x" * 50]), max_size=8)
+
+
+def test_problem_equals_validate(spark):
+    from treelake.functions import paths
+
+    seen = set()
+
+    @settings(max_examples=400, deadline=None, database=None, derandomize=True)
+    @given(PARTS, st.booleans())
+    def collect(parts, rooted):
+        seen.add("/" * rooted + "/".join(parts))
+
+    collect()
+    rows = spark.createDataFrame([(p,) for p in sorted(seen)], "p string").select("p", paths.problem(F.col("p")).alias("x")).collect()
+    assert len(rows) > 100 and {r["p"]: r["x"] for r in rows} == {p: paths.validate(p) for p in seen}
+
+
+def test_fixed_settings_of_tiers():
+    from treelake.operators.storage import PRESETS
+
+    day = 86_400_000
+    got = {k: (c.hot_max, c.warm_max, c.policy, c.promote_accesses, c.promote_age_ms // day, c.hot_age_ms // day, c.warm_age_ms // day) for k, c in PRESETS.items()}
+    assert got == {"aggressive": (5 << 20, 200 << 20, "aggressive", 1, 30, 7, 90), "balanced": (1 << 20, 100 << 20, "on-access", 1, 7, 1, 30), "conservative": (256 << 10, 50 << 20, "none", 10, 1, 1, 7)}
+
+
+def test_branch_changes_are_checked(spark):
+    from treelake.operators import branching
+
+    rows = spark.createDataFrame([("main", None, 1, False), ("dev", "main", 2, True)], "name string, parent string, updated_at long, is_archived boolean")
+    for wrong in (lambda: branching.create(rows, "dev", "main", 3), lambda: branching.create(rows, "x", "none", 3), lambda: branching.rename(rows, "none", "x", 3), lambda: branching.rename(rows, "dev", "main", 3), lambda: branching.archive(rows, "none", 3), lambda: branching.delete(rows, "main")):
+        with pytest.raises(ValueError):
+            wrong()
+    assert [r["name"] for r in branching.listing(rows).collect()] == ["main"]
+    assert [r["name"] for r in branching.listing(rows, archived=True).collect()] == ["dev", "main"]
+
+
+def test_grep_columns_context_and_limits(spark):
+    Grep, search = grep.Grep, grep.grep
+
+    text = "\n".join(["ab ab", "", "xéab", "ab" * 50, "end"])
+    df = spark.createDataFrame([("/a", text), ("/b", ""), ("/c", None)], "path string, content string")
+    got = [(r["line"], r["column"], r["match"], r["before"], r["after"]) for r in search(df, Grep("ab", literal=True, before=1, after=1)).collect()]
+    want = [(n, m.start() + 1, "ab", lines[max(0, n - 2) : n - 1], lines[n : n + 1]) for lines in [text.split("\n")] for n, line in enumerate(lines, 1) for m in re.finditer("ab", line)]
+    assert got == want
+    assert [r["column"] for r in search(df, Grep("ab", max_count=3)).collect()] == [1, 4, 3]
+    assert "Exchange" not in search(df, Grep("ab", max_count=3))._jdf.queryExecution().executedPlan().toString()
+    assert [(r["line"], r["match"]) for r in search(df, Grep("ab", invert=True)).collect()] == [(2, ""), (5, "")]

@@ -76,6 +76,25 @@ def validate(path: str, longest: int = 4096) -> str | None:
     return None
 
 
+def problem(path: Column, longest: int = 4096) -> Column:
+    """What ``validate`` says of each path: a code, or null. A null path is empty."""
+    lower, parts = F.lower(path), F.split(path, "/")
+    # The depth after each part, and the least of them, in one pass.
+    step = lambda p: F.when(p == "..", -1).when((p == "") | (p == "."), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    walk = lambda s, p: F.struct((s["depth"] + step(p)).alias("depth"), F.least(s["least"], s["depth"] + step(p)).alias("least"))
+    null_byte = path.contains("\0") | lower.contains("%00") | lower.contains("\\0") | lower.contains("\\x00")
+    return (
+        F.when(path.isNull() | ~path.rlike(r"(?U)\S"), "EMPTY")
+        .when(F.length(path) > longest, "TOO_LONG")
+        .when(null_byte, "NULL_BYTE")
+        .when(path.isin(".", ".."), "DOT_NAME")
+        .when(path.rlike(r"(?U)^\s|\s\z"), "EDGE_SPACE")
+        .when(path.rlike(r"[\x00-\x1F\x7F]"), "CONTROL")
+        .when(F.aggregate(parts, start, walk, lambda s: s["least"]) < 0, "TRAVERSAL")
+    )
+
+
 def normalize_col(path: Column) -> Column:
     """normalize of an absolute path."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

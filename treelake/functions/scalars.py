@@ -173,6 +173,11 @@ def snake_case(name: str) -> str:
     return re.sub(r"([A-Z])", lambda m: "_" + m[1].lower(), name).lstrip("_")
 
 
+def snake_case_col(name: Column) -> Column:
+    """snake_case of a column."""
+    return F.regexp_replace(F.lower(F.regexp_replace(name, "([A-Z])", "_$1")), "^_+", "")
+
+
 def sanitize(name: str) -> str:
     """An SQL identifier, or an error."""
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):

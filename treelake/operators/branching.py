@@ -62,9 +62,52 @@ def dirty(files: DataFrame, branches: DataFrame) -> DataFrame:
     return out.select("branch", "file_id", F.when(F.col("deleted"), "deleted").when(there, "changed").otherwise("added").alias("kind"))
 
 
-def listing(branches: DataFrame, parent: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def listing(branches: DataFrame, parent: str | None = None, limit: int = 100, offset: int = 0, archived: bool = False) -> DataFrame:
+    """A page of branches, the latest updated first where the table has times, without archived ones unless asked for."""
     rows = branches.where(F.col("parent") == parent) if parent else branches
-    return rows.orderBy("name").offset(offset).limit(limit)
+    if "is_archived" in branches.columns and not archived:
+        rows = rows.where("NOT is_archived")
+    order = [F.desc("updated_at")] if "updated_at" in branches.columns else []
+    return rows.orderBy(*order, "name").offset(offset).limit(limit)
+
+
+def _exists(branches: DataFrame, name: str) -> bool:
+    return bool(branches.where(F.col("name") == name).limit(1).count())
+
+
+def create(branches: DataFrame, name: str, parent: str | None, now: int) -> DataFrame:
+    """branches (name, parent, updated_at, is_archived) with a new one; its name must be free and its parent there."""
+    if _exists(branches, name):
+        raise ValueError(f"branch {name} exists")
+    if parent is not None and not _exists(branches, parent):
+        raise ValueError(f"no branch {parent}")
+    new = branches.sparkSession.createDataFrame([(name, parent, now, False)], "name string, parent string, updated_at long, is_archived boolean")
+    return branches.unionByName(new)
+
+
+def rename(branches: DataFrame, old: str, new: str, now: int) -> DataFrame:
+    """The branch and its children's parent get the new name."""
+    if not _exists(branches, old) or _exists(branches, new):
+        raise ValueError(f"can't rename {old} to {new}")
+    is_it = F.col("name") == old
+    return branches.withColumns({"name": F.when(is_it, new).otherwise(F.col("name")), "parent": F.when(F.col("parent") == old, new).otherwise(F.col("parent")), "updated_at": F.when(is_it, now).otherwise(F.col("updated_at")).cast("long")})
+
+
+def archive(branches: DataFrame, name: str, now: int, archived: bool = True) -> DataFrame:
+    """The branch is archived, or taken back."""
+    if not _exists(branches, name):
+        raise ValueError(f"no branch {name}")
+    is_it = F.col("name") == name
+    return branches.withColumns({"is_archived": F.when(is_it, archived).otherwise(F.col("is_archived")), "updated_at": F.when(is_it, now).otherwise(F.col("updated_at")).cast("long")})
+
+
+def delete(branches: DataFrame, name: str) -> DataFrame:
+    """branches without one that no other has as parent."""
+    if not _exists(branches, name):
+        raise ValueError(f"no branch {name}")
+    if branches.where(F.col("parent") == name).limit(1).count():
+        raise ValueError(f"branch {name} has children")
+    return branches.where(F.col("name") != name)
 
 
 def history(files: DataFrame, branch: str) -> DataFrame:

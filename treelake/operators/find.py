@@ -67,6 +67,7 @@ def find(files: DataFrame, options: Find) -> DataFrame:
         if (text := getattr(options, name)) is not None:
             if options.now_ms is None:
                 raise ValueError("now_ms is needed with a time")
+            # The catalog keeps no time of status changes of its own: ctime is that of the contents.
             test &= scalars.age_test(F.col("mtime" if name == "ctime" else name), text, options.now_ms)
     for p in options.prune:
         low = patterns.lower(p, dot=True)

@@ -246,3 +246,14 @@ def count_or_time(c: Catalog) -> DataFrame:
     from treelake.streaming.sequential import count_or_time_batches
 
     return count_or_time_batches(c.watch_events, 86_400_000, 2).select("event_id", "batch")
+
+
+@query(
+    "w15_stale",
+    """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '12 hours' AS cut FROM watch_events),
+s AS (SELECT user_id, ts, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, epoch_us(min(ts)) AS since, epoch_us(max(ts) + INTERVAL '12 hours') AS until, count(*) AS pings FROM s GROUP BY user_id, k""",
+)
+def stale(c: Catalog) -> DataFrame:
+    out = watch.stale(c.watch_events, "user_id", "12 hours")
+    return out.select("user_id", F.unix_micros(F.col("since").cast("timestamp")).alias("since"), F.unix_micros(F.col("until").cast("timestamp")).alias("until"), "pings")

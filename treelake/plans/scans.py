@@ -117,6 +117,36 @@ def kv_count(c: Catalog) -> DataFrame:
     return c.table("customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("n"))
 
 
+#: A table of branches with times and archived ones.
+BRANCH_TABLE = "SELECT concat('b', c_custkey) AS name, concat('b', c_nationkey + 1) AS parent, cast(c_custkey * 7919 % 10007 AS bigint) AS updated_at, c_mktsegment = 'BUILDING' AS is_archived FROM customer"
+
+
+def branch_table(c: Catalog) -> DataFrame:
+    rows = c.table("customer")
+    return rows.select(F.concat(F.lit("b"), "c_custkey").alias("name"), F.concat(F.lit("b"), F.col("c_nationkey") + 1).alias("parent"), (F.col("c_custkey") * 7919 % 10007).cast("long").alias("updated_at"), (F.col("c_mktsegment") == "BUILDING").alias("is_archived"))
+
+
+@query("s21_branch_list_latest", f"SELECT name, parent, updated_at FROM ({BRANCH_TABLE}) WHERE NOT is_archived AND parent = 'b3' ORDER BY updated_at DESC, name LIMIT 20 OFFSET 2")
+def branch_list_latest(c: Catalog) -> DataFrame:
+    from treelake.operators import branching
+
+    return branching.listing(branch_table(c), "b3", 20, 2).select("name", "parent", "updated_at")
+
+
+@query(
+    "d29_branch_changes",
+    f"""WITH t AS ({BRANCH_TABLE}), made AS (SELECT * FROM t UNION ALL SELECT 'new', 'b2', 20000, false),
+renamed AS (SELECT CASE name WHEN 'b2' THEN 'second' ELSE name END AS name, CASE parent WHEN 'b2' THEN 'second' ELSE parent END AS parent, CASE name WHEN 'b2' THEN 20001 ELSE updated_at END AS updated_at, is_archived FROM made)
+SELECT name, parent, CASE name WHEN 'b3' THEN 20002 ELSE updated_at END AS updated_at, is_archived OR name = 'b3' AS is_archived FROM renamed WHERE name <> 'new'""",
+)
+def branch_changes(c: Catalog) -> DataFrame:
+    from treelake.operators import branching
+
+    rows = branching.create(branch_table(c), "new", "b2", 20000)
+    rows = branching.archive(branching.rename(rows, "b2", "second", 20001), "b3", 20002)
+    return branching.delete(rows, "new")
+
+
 @query("s21_branch_list", "SELECT name, parent FROM branches WHERE parent = 'main' ORDER BY name LIMIT 10")
 def branch_list(c: Catalog) -> DataFrame:
     from treelake.operators import branching
@@ -286,7 +316,7 @@ def gitignore(c: Catalog) -> DataFrame:
     return sparse.not_ignored(c.files, "# built\n*.html\n!*7.html\n/docs/src2/\n\nes/\n").select("path")
 
 
-@query("p29_preset", "SELECT path FROM files WHERE type = 'file' AND path LIKE '%.html'")
+@query("p29_preset", "SELECT path FROM files WHERE type = 'file' AND regexp_matches(path, '\\.(html|css|js|ts|jsx|tsx)$')")
 def preset(c: Catalog) -> DataFrame:
     return sparse.checkout(c.files, sparse.PRESETS["web"]).select("path")
 
@@ -311,10 +341,21 @@ def permissions(c: Catalog) -> DataFrame:
     return ops.permitted(asked, [("a", "write", "/docs/**"), ("b", "read", "/web/*.html")])
 
 
-@query("p33_traversal", "SELECT path || '/../..' AS path, parent IS NULL OR parent = '/' AS escapes FROM files WHERE depth = 1 OR depth = 2")
+@query("p33_traversal", "SELECT path || '/../..' AS path, depth < 2 AS escapes FROM files")
 def traversal(c: Catalog) -> DataFrame:
     p = F.concat("path", F.lit("/../.."))
-    return c.files.where("depth IN (1, 2)").select(p.alias("path"), (F.col("depth") <= 1).alias("escapes"))
+    return c.files.select(p.alias("path"), F.coalesce(paths.problem(p) == "TRAVERSAL", F.lit(False)).alias("escapes"))
+
+
+#: Paths as requests may have them, each with the one thing that is wrong.
+REQUESTS = {"EMPTY": "'  '", "NULL_BYTE": "path || '%00'", "DOT_NAME": "'..'", "EDGE_SPACE": "path || ' '", "CONTROL": "path || chr(7) || 'x'", "TRAVERSAL": "'a/./../..' || path", "TOO_LONG": "repeat('abcd', 1025)"}
+
+
+@query("p33_validate", "SELECT path, k, CASE k " + " ".join(f"WHEN {k} THEN '{code}'" for k, code in enumerate(REQUESTS)) + " END AS problem FROM files, range(8) t(k)")
+def validate(c: Catalog) -> DataFrame:
+    asked = "CASE k " + " ".join(f"WHEN {k} THEN {made}" for k, made in enumerate(REQUESTS.values())) + " ELSE path END"
+    rows = c.files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    return rows.select("path", "k", paths.problem(F.expr(asked)).alias("problem"))
 
 
 @query("t02_find_order", f"SELECT {STAT} FROM files ORDER BY path", "t02_find_order_all")
