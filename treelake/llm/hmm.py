@@ -61,7 +61,7 @@ def bucket(word: str) -> int:
     return OWN + zlib.crc32(word.encode()) % BUCKETS
 
 
-def blocks(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(sequences: list[np.ndarray], cells: int, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of like length side by side: (indices, lengths descending, (longest, n) padded with the end class).
 
     A grid has at most ``cells`` cells, or one sequence.
@@ -70,7 +70,7 @@ def blocks(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray
     order = np.argsort(-lengths, kind="stable")
     k = 0
     while k < len(order):
-        n = max(1, min(4096, cells // int(lengths[order[k]])))
+        n = max(1, min(rows, cells // int(lengths[order[k]])))
         at = order[k : k + n]
         grid = np.full((int(lengths[at[0]]), len(at)), END, np.int32)
         for j, i in enumerate(at):
@@ -122,7 +122,7 @@ class Model:
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, transitions and emissions (states, classes)."""
         starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        for _, lengths, grid in blocks(sequences, CELLS):
+        for _, lengths, grid in blocks(sequences, 16 * CELLS, 512):
             steps, n = grid.shape
             live = np.searchsorted(-lengths, -np.arange(steps), "left")
             # A long sequence is done in segments from the last to the first, each from its first forward value: memory is that of a segment.
@@ -130,11 +130,11 @@ class Model:
             heads, a = [], None
             for s in range(0, steps - size, size):
                 heads.append(a)
-                a = self._forward(grid[s : s + size], live[s : s + size], a)[0][-1, : live[s + size - 1]]
+                a = self._forward(grid[s : s + size, : live[s]], live[s : s + size], a)[0][-1, : live[s + size - 1]]
             heads.append(a)
             b = np.ones((n, STATES))
             for k, s in reversed(list(enumerate(range(0, steps, size)))):
-                part, alive = grid[s : s + size], live[s : s + size]
+                part, alive = grid[s : s + size, : live[s]], live[s : s + size]  # what has ended by then is left out
                 forward, scale, seen = self._forward(part, alive, heads[k])
                 gamma = np.zeros_like(forward)
                 for t in range(len(part) - 1, -1, -1):
