@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import DATA
-from treelake.plans import contents, mutations, registry, scans  # noqa: F401
+from treelake.plans import contents, mutations, registry, scans, stores  # noqa: F401
 
 
 def rows(found, columns):

@@ -141,6 +141,11 @@ def ancestors(path: Column) -> Column:
     return F.when(path == "/", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("/")), below))
 
 
+def by_locale(text: Column) -> Column:
+    """A sort key in the order of the root locale: punctuation, digits, letters, a small one before its capital."""
+    return F.collate(text, "UNICODE")
+
+
 def within(path: Column, base: str) -> Column:
     """Strictly below base; a prefix test, so that Parquet's statistics can skip row groups."""
     return (path != "/") if base == "/" else path.startswith(base.rstrip("/") + "/")

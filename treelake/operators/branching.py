@@ -118,3 +118,53 @@ def history(files: DataFrame, branch: str) -> DataFrame:
 def commits_since(files: DataFrame) -> DataFrame:
     """Rank of a file's rows over branches by time."""
     return files.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("modified_at"), "branch")))
+
+
+def write(files: DataFrame, branches: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits: (branch, file_id, size, deleted), each file of a branch once. Dirty rows of a copy-on-write.
+
+    Adds was_own (the branch had a row of its own), copied_from_parent (it saw an ancestor's file) and previous (the
+    commit it saw, null where it saw none). A deletion becomes a tombstone of size 0; one of a file that isn't seen is left out.
+    """
+    seen = resolve(files, branches).select("branch", "file_id", F.col("owner").alias("__o"), F.col("deleted").alias("__d"), F.col("commit").alias("__c"))
+    out = edits.join(seen, ["branch", "file_id"], "left")
+    previous = F.when(~F.col("__d"), F.col("__c"))
+    own = F.coalesce(F.col("__o") == F.col("branch"), F.lit(False))
+    out = out.select(
+        "branch", "file_id", F.when(F.col("deleted"), 0).otherwise(F.col("size")).alias("size"), "deleted", own.alias("was_own"), F.coalesce(~own & ~F.col("__d"), F.lit(False)).alias("copied_from_parent"), previous.alias("previous")
+    )
+    return out.where(~F.col("deleted") | F.col("previous").isNotNull())
+
+
+def discard(dirty_rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Dirty rows without those of keys (branch, file_id), or without any: the view falls back to what was there before."""
+    return dirty_rows.where("false") if keys is None else dirty_rows.join(keys.select("branch", "file_id"), ["branch", "file_id"], "left_anti")
+
+
+def commit(dirty_rows: DataFrame) -> DataFrame:
+    """(branch, paths, bytes, tombstones) of what a commit of the dirty rows takes in."""
+    return dirty_rows.groupBy("branch").agg(F.count("*").alias("paths"), F.sum("size").alias("bytes"), F.count_if("deleted").alias("tombstones"))
+
+
+def switch(branches: DataFrame, name: str) -> str:
+    """The name of the branch that is now current."""
+    if not _exists(branches, name):
+        raise ValueError(f"no branch {name}")
+    return name
+
+
+def checkout(branches: DataFrame, files: DataFrame, target: str | int) -> str:
+    """switch to a branch, or to the branch of a commit."""
+    if isinstance(target, str):
+        return switch(branches, target)
+    row = files.where(F.col("commit") == target).select("branch").first()
+    if row is None:
+        raise ValueError(f"no commit {target}")
+    return switch(branches, row["branch"])
+
+
+def drop(branches: DataFrame, files: DataFrame, name: str, current: str) -> tuple[DataFrame, DataFrame]:
+    """branches and files without a branch and its rows; main and the current branch can't be dropped."""
+    if name in ("main", current):
+        raise ValueError(f"branch {name} can't be dropped")
+    return delete(branches, name), files.where(F.col("branch") != name)

@@ -169,3 +169,70 @@ def batch_status(files: DataFrame, requests: DataFrame) -> DataFrame:
     """requests: (path). A status for each deletion."""
     out = requests.join(files.select("path", "type"), "path", "left")
     return out.select("path", F.when(F.col("type").isNull(), "ENOENT").when(F.col("type") == "directory", "EISDIR").otherwise("ok").alias("status"))
+
+
+def _first_of(requests: DataFrame, key: str) -> DataFrame:
+    """requests (with seq) and ``first``: whether a row is the first of its key."""
+    least = requests.groupBy(key).agg(F.min("seq").alias("__least"))
+    return requests.join(least, key, "left").withColumn("first", F.col("seq") == F.col("__least")).drop("__least")
+
+
+def _with_entries(files: DataFrame, requests: DataFrame, path: str) -> DataFrame:
+    """requests with the type at a path (__type) and at its directory (__above)."""
+    at = files.select(F.col("path").alias("__at"), F.col("type").alias("__type"))
+    above = files.select(F.col("path").alias("__dir"), F.col("type").alias("__above"))
+    return requests.join(at, F.col(path) == F.col("__at"), "left").join(above, paths.dirname(F.col(path)) == F.col("__dir"), "left").drop("__at", "__dir")
+
+
+def write_status(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: (seq, path, flag, size) of normalized paths. (seq, path, status, size) of writes with flags w, wx, a and ax.
+
+    size is the file's after the write, null where it fails. An exclusive write fails where the file is there
+    or an earlier request of the batch names it; else requests of one path see the files as they were before the batch.
+    """
+    r = _first_of(_with_entries(files.select("path", "type"), requests, "path"), "path")
+    old = files.where("type = 'file'").select(F.col("path").alias("__p"), F.col("size").alias("__size"))
+    r = r.join(old, F.col("path") == F.col("__p"), "left")
+    taken = (F.col("__type") == "file") | ~F.col("first")
+    status = (
+        F.when(F.col("flag").isNull() | ~F.col("flag").isin("w", "wx", "a", "ax"), "EINVAL")
+        .when((F.col("path") == "/") | F.coalesce(F.col("__type") == "directory", F.lit(False)), "EISDIR")
+        .when(F.coalesce(F.col("__above") != "directory", F.lit(True)), "ENOENT")
+        .when(F.col("flag").isin("wx", "ax") & F.coalesce(taken, ~F.col("first")), "EEXIST")
+        .otherwise("ok")
+    )
+    r = r.withColumn("status", status)
+    grown = F.col("size") + F.when(F.col("flag") == "a", F.coalesce("__size", F.lit(0))).otherwise(0)
+    return r.select("seq", "path", "status", F.when(F.col("status") == "ok", grown).alias("size"))
+
+
+def symlinks(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: (seq, target, path). (seq, path, target, status): a free path in a directory becomes a link, its target kept as given."""
+    r = _first_of(_with_entries(files.select("path", "type"), requests, "path"), "path")
+    status = (
+        F.when(F.col("target").isNull() | (F.col("target") == ""), "EINVAL")
+        .when(F.col("__type").isNotNull() | ~F.col("first"), "EEXIST")
+        .when(F.coalesce(F.col("__above") != "directory", F.lit(True)), "ENOENT")
+        .otherwise("ok")
+    )
+    return r.select("seq", "path", "target", status.alias("status"))
+
+
+def hard_links(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: (seq, existing, path). (seq, path, status, id, nlink): a new name of a file's inode.
+
+    nlink counts the inode's names after the batch; it is null where the request fails.
+    """
+    r = _first_of(_with_entries(files.select("path", "type"), requests, "path"), "path")
+    source = files.select(F.col("path").alias("__s"), F.col("type").alias("__stype"), F.col("id").alias("__id"))
+    r = r.join(source, F.col("existing") == F.col("__s"), "left")
+    status = (
+        F.when(F.col("__stype").isNull(), "ENOENT")
+        .when(F.col("__stype") == "directory", "EPERM")
+        .when(F.col("__type").isNotNull() | ~F.col("first"), "EEXIST")
+        .when((paths.dirname(F.col("path")) != "/") & F.col("__above").isNull(), "ENOENT")
+        .otherwise("ok")
+    )
+    r = r.select("seq", "path", status.alias("status"), F.when(status == "ok", F.col("__id")).alias("id"))
+    names = files.select("id").unionByName(r.where("status = 'ok'").select("id"))
+    return r.join(link_counts(names).withColumnRenamed("id", "__n"), F.col("id") == F.col("__n"), "left").drop("__n")

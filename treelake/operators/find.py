@@ -42,7 +42,7 @@ def start_at(files: DataFrame, base: str) -> DataFrame:
 
 
 def find(files: DataFrame, options: Find) -> DataFrame:
-    """(path, type, size, mtime) by path. A missing start gives no rows.
+    """(path, type, size, mtime) by path in locale order. A missing start gives no rows.
 
     empty: true takes files of size 0 and directories without children; false the
     other entries. prune drops entries below the start whose name fits, with all below them.
@@ -79,7 +79,7 @@ def find(files: DataFrame, options: Find) -> DataFrame:
         out = out.join(parents, F.col("path") == F.col("__p"), "left")
         bare = ((F.col("type") == "file") & (F.col("size") == 0)) | ((F.col("type") == "directory") & F.col("__p").isNull())
         out = out.where(bare if options.empty else ~bare)
-    return out.select("path", "type", "size", "mtime").orderBy("path")
+    return out.select("path", "type", "size", "mtime").orderBy(paths.by_locale(F.col("path")), "path")
 
 
 def glob(
@@ -133,11 +133,11 @@ def children(files: DataFrame, path: str) -> DataFrame:
 
 
 def readdir(files: DataFrame, path: str, recursive: bool = False, hidden: bool = True) -> DataFrame:
-    """Entries of a directory by name, or all below it by path."""
+    """Entries of a directory by name, or all below it by path, in locale order."""
     out = files.where(paths.within(F.col("path"), path)) if recursive else children(files, path)
     if not hidden:
         out = out.where(~F.col("name").startswith("."))
-    return out.select("path", "name", "type").orderBy("path")
+    return out.select("path", "name", "type").orderBy(paths.by_locale(F.col("path")), "path")
 
 
 def encode_cursor(offset: int) -> str:
@@ -182,14 +182,14 @@ def list_directory(
     offset: int = 0,
     limit: int | None = None,
 ) -> DataFrame:
-    """(path, name, type, size, mtime), sorted by name, size or date; ties by path."""
+    """(path, name, type, size, mtime), sorted by name in locale order, by size or by date; ties by path."""
     out = files.where(paths.within(F.col("path"), path)) if recursive else children(files, path)
     if not hidden:
         rel = paths.segments_below(F.col("path"), path)
         out = out.where(~F.exists(rel, lambda s: s.startswith(".")))
     if pattern:
         out = out.where(patterns.lower(pattern, dot=hidden).column(F.col("name")))
-    key = F.col({"name": "name", "size": "size", "date": "mtime"}[sort])
+    key = paths.by_locale(F.col("name")) if sort == "name" else F.col({"size": "size", "date": "mtime"}[sort])
     order = [key.desc() if descending else key, F.col("path")]
     if group_directories:
         order.insert(0, (F.col("type") != "directory").cast("int"))
@@ -211,7 +211,7 @@ def tree(files: DataFrame, path: str = "/", max_depth: int | None = None, hidden
     for p in exclude or []:
         low = patterns.lower(p, dot=True)
         out = out.where(~F.exists(rel, low.column))
-    return out.select("path", "name", "type", "level", "size").orderBy(F.split("path", "/"))
+    return out.select("path", "name", "type", "level", "size").orderBy(F.transform(F.split("path", "/"), paths.by_locale))
 
 
 def render_tree(flat: list[Row], root: str = "/", sizes: bool = False) -> str:
@@ -284,3 +284,41 @@ def permitted(requests: DataFrame, rules: list[tuple[str, str, str]]) -> DataFra
     for tenant, grant, pattern in rules:
         test |= (F.col("tenant") == tenant) & F.col("op").isin(covers[grant]) & patterns.lower(pattern, dot=True).column(F.col("path"))
     return requests.withColumn("allowed", test)
+
+
+#: Content types by suffix.
+CONTENT_TYPES = {
+    "json": "application/json", "txt": "text/plain", "html": "text/html", "htm": "text/html", "css": "text/css", "js": "application/javascript", "mjs": "application/javascript", "ts": "text/typescript",
+    "tsx": "text/typescript", "xml": "application/xml", "svg": "image/svg+xml", "md": "text/markdown", "mdx": "text/mdx", "yaml": "text/yaml", "yml": "text/yaml",
+}
+
+
+def content_type(path: Column) -> Column:
+    """By what follows the last dot of the path; plain text else."""
+    names = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, F.lower(F.element_at(F.split(path, r"\."), -1))), F.lit("text/plain"))
+
+
+def fetch(files: DataFrame, contents: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: (path), each once. (resource, path, level, type, size, content_type, content, error).
+
+    A file gives one row with its content; a directory itself at level 0 and what is up to two levels below it, hidden
+    entries left out; a missing path ENOENT. An entry looks for itself and its two nearest ancestors among the requests.
+    """
+    near = F.concat(F.array("path"), F.slice(F.reverse(paths.ancestors(F.col("path"))), 1, 2))
+    entries = files.select("path", "name", "parent", "type", "size", F.posexplode(near).alias("level", "at"))
+    hidden = F.col("name").startswith(".") | ((F.col("level") == 2) & F.element_at(F.split("parent", "/"), -1).startswith("."))
+    entries = entries.where((F.col("level") == 0) | ~hidden).drop("name", "parent")
+    out = requests.select(F.col("path").alias("resource")).join(entries, F.col("resource") == F.col("at"), "left").drop("at")
+    text = contents.join(requests.select("path"), "path", "left_semi").select(F.col("path").alias("__p"), "content")
+    is_file = (F.col("type") == "file") & (F.col("level") == 0)
+    out = out.join(text, is_file & (F.col("path") == F.col("__p")), "left")
+    return out.select("resource", "path", "level", "type", "size", F.when(is_file, content_type(F.col("path"))).alias("content_type"), "content", F.when(F.col("path").isNull(), "ENOENT").alias("error"))
+
+
+def list_page(objects: DataFrame, key: str, prefix: str = "", limit: int = 1000, after: str | None = None) -> tuple[DataFrame, str | None, bool]:
+    """A page of list_prefix, the cursor of the next one and whether there is one. One row beyond the page tells."""
+    rows = list_prefix(objects, key, prefix, limit + 1, after)
+    ends = [r[0] for r in rows.select(key).collect()]  # a page of keys
+    truncated = len(ends) > limit
+    return rows.limit(limit), ends[limit - 1] if truncated and limit else None, truncated

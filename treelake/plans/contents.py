@@ -356,7 +356,13 @@ def put_objects(c: Catalog) -> DataFrame:
     return st.put_objects(c.contents).drop("data")
 
 
-@query("f13_fnv")
+#: 64-bit FNV-1a as a fold over bytes; a hugeint holds the product.
+def _fnv(data: str) -> str:
+    folded = f"list_reduce(list_transform(range(1, octet_length({data}) + 1), lambda i: ('0x' || hex({data}[i:i]))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)"
+    return f"lpad(lower(to_hex(CASE WHEN octet_length({data}) = 0 THEN 14695981039346656037::HUGEINT ELSE {folded} END)), 16, '0')"
+
+
+@query("f13_fnv", f"WITH b AS (SELECT path, encode(content) AS data FROM regular) SELECT path, {_fnv('data')} AS fnv FROM b")
 def fnv(c: Catalog) -> DataFrame:
     return c.contents.select("path", scalars.fnv1a64(F.col("content").cast("binary")).alias("fnv"))
 

@@ -9,8 +9,7 @@ from treelake.operators import branching as br
 from treelake.operators import changes as ch
 from treelake.plans.registry import query
 from treelake.sources.catalog import NOW_MS, Catalog
-from treelake.streaming import watch
-
+from treelake.streaming import sequential, watch
 
 
 @query("m01_apply", "SELECT path, CASE WHEN path LIKE '%1.html' THEN 7 ELSE size END AS size FROM files WHERE NOT path LIKE '%2.html' UNION ALL SELECT '/new/' || page_id, page_id FROM pages")
@@ -223,7 +222,19 @@ def batch_metrics(c: Catalog) -> DataFrame:
     return watch.batch_metrics(c.watch_events, "1 day")
 
 
-@query("w14_rate_limit")
+def _turns(key: str) -> str:
+    """Events numbered within a key, for the SQL that takes them in turn."""
+    return f"e AS (SELECT event_id, {key} AS key, path, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM watch_events)"
+
+
+@query(
+    "w14_rate_limit",
+    f"""WITH RECURSIVE {_turns("user_id")},
+walk AS (SELECT key, event_id, k, [t] AS kept, true AS allowed FROM e WHERE k = 1
+UNION ALL SELECT e.key, e.event_id, e.k, CASE WHEN ok THEN list_append(near, t) ELSE near END, ok
+FROM (SELECT e.*, list_filter(kept, lambda x: x > e.t - 86400000000) AS near, len(list_filter(kept, lambda x: x > e.t - 86400000000)) < 3 AND len(list_filter(kept, lambda x: x > e.t - 3600000000)) < 2 AS ok FROM walk w JOIN e ON e.key = w.key AND e.k = w.k + 1) e)
+SELECT event_id, allowed FROM walk""",
+)
 def rate_limit(c: Catalog) -> DataFrame:
     return watch.rate_limit(c.watch_events, most=3, per_ms=86_400_000, burst=2, burst_ms=3_600_000).select("event_id", "allowed")
 
@@ -233,19 +244,29 @@ def event_priority_all(c: Catalog) -> DataFrame:
     return c.watch_events.select("event_id", watch.priority(F.col("type")).alias("priority")).orderBy(F.desc("priority"), "event_id")
 
 
-@query("w07_capped_debounce")
+@query(
+    "w07_capped_debounce",
+    f"""WITH RECURSIVE {_turns("path")},
+walk AS (SELECT key, k, t AS first, t AS last, 0 AS burst FROM e WHERE k = 1
+UNION ALL SELECT key, k, CASE WHEN fresh THEN t ELSE first END, t, burst + fresh::INT
+FROM (SELECT e.*, first, burst, e.t - last >= 3600000000 OR e.t - first >= 7200000000 AS fresh FROM walk w JOIN e ON e.key = w.key AND e.k = w.k + 1))
+SELECT key AS path, burst, count(*) AS events FROM walk GROUP BY key, burst""",
+)
 def capped_debounce(c: Catalog) -> DataFrame:
-    from treelake.streaming.sequential import capped_bursts
-
-    rows = capped_bursts(c.watch_events, 3_600_000, 7_200_000)
+    rows = sequential.capped_bursts(c.watch_events, 3_600_000, 7_200_000)
     return rows.groupBy("path", "burst").agg(F.count("*").alias("events"))
 
 
-@query("w10_count_or_time")
+@query(
+    "w10_count_or_time",
+    f"""WITH RECURSIVE {_turns("user_id")},
+walk AS (SELECT key, event_id, k, t AS opened, [path] AS held, 0 AS batch FROM e WHERE k = 1
+UNION ALL SELECT key, event_id, k, CASE WHEN fresh THEN t ELSE opened END, CASE WHEN fresh THEN [path] ELSE list_distinct(list_append(held, path)) END, batch + fresh::INT
+FROM (SELECT e.*, opened, held, batch, e.t - opened >= 86400000000 OR len(held) >= 2 AS fresh FROM walk w JOIN e ON e.key = w.key AND e.k = w.k + 1))
+SELECT event_id, batch FROM walk""",
+)
 def count_or_time(c: Catalog) -> DataFrame:
-    from treelake.streaming.sequential import count_or_time_batches
-
-    return count_or_time_batches(c.watch_events, 86_400_000, 2).select("event_id", "batch")
+    return sequential.count_or_time_batches(c.watch_events, 86_400_000, 2).select("event_id", "batch")
 
 
 @query(

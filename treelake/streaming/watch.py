@@ -7,13 +7,11 @@ gives the same result as the live run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.functions import patterns
+from treelake.streaming import sequential
 
 PRIORITY = {"delete": 3, "rename": 2, "create": 1, "modify": 0}
 
@@ -118,31 +116,9 @@ def stream_debounce(events: DataFrame, gap: str = "50 milliseconds", late: str =
 def rate_limit(events: DataFrame, key: str = "user_id", most: int = 100, per_ms: int = 1000, burst: int = 20, burst_ms: int = 100) -> DataFrame:
     """events with allowed: sliding limits of which only allowed events use up budget.
 
-    Sequential for each key: state is the times of at most ``most`` allowed events,
-    carried over a sorted stream of Arrow batches, so that a hot key's rows are
-    never gathered at once.
+    Sequential for each key: state is the times of at most ``most`` allowed events.
     """
-    names = [f.name for f in events.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", allowed boolean"
-    rows = events.repartition(key).sortWithinPartitions(key, "ts", "event_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now_key, kept = None, []
-        for frame in frames:
-            at = (pd.to_datetime(frame["ts"]).astype("datetime64[us]").astype("int64") / 1000).to_numpy()
-            allowed = []
-            for k, t in zip(frame[key], at):
-                if k != now_key:
-                    now_key, kept = k, []
-                while kept and kept[0] <= t - per_ms:
-                    kept.pop(0)
-                ok = len(kept) < most and sum(x > t - burst_ms for x in kept[-burst:]) < burst
-                if ok:
-                    kept.append(t)
-                allowed.append(ok)
-            yield frame.assign(allowed=allowed)[[*names, "allowed"]]
-
-    return rows.mapInPandas(run, schema)
+    return sequential.apply(events, sequential.sliding_limit(most, per_ms, burst, burst_ms), key)
 
 
 def stale(events: DataFrame, key: str = "user_id", idle: str = "90 seconds") -> DataFrame:
