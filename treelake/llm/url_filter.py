@@ -69,12 +69,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Node:
-    __slots__ = ("labels", "partial", "paths", "rule")
+    __slots__ = ("labels", "lengths", "partial", "paths", "rule")
 
     def __init__(self) -> None:
         self.labels: dict[str, Node] = {}  # next host label, towards the left
         self.paths: dict[str, Node] = {}  # next whole path segment
         self.partial: dict[str, Rule] = {}  # rules that end inside the next segment
+        self.lengths: list[int] = []  # lengths of those, the longest first
         self.rule: Rule | None = None  # the rule that ends here
 
 
@@ -95,6 +96,8 @@ class UrlTrie:
         for segment in whole:
             node = node.paths.setdefault(segment, Node())
         node.partial[last] = _stricter(node.partial.get(last), rule)
+        if len(last) not in node.lengths:
+            node.lengths = sorted([*node.lengths, len(last)], reverse=True)
 
     def find(self, host: str, path: str) -> tuple[tuple[int, int], Rule] | None:
         """The longest rule that fits, with its rank (host labels, path length)."""
@@ -118,11 +121,10 @@ def _longest(node: Node, path: str) -> Rule | None:
     best = node.rule
     segments = path.split("/")
     for k, segment in enumerate(segments):
-        if node.partial:
-            for n in sorted({len(p) for p in node.partial if len(p) <= len(segment)}, reverse=True):
-                if (rule := node.partial.get(segment[:n])) is not None:
-                    best = rule
-                    break
+        for n in node.lengths:
+            if n <= len(segment) and (rule := node.partial.get(segment[:n])) is not None:
+                best = rule
+                break
         if k == len(segments) - 1:
             break
         node = node.paths.get(segment)
