@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treelake.sources.snapshots import FEW, few, settled
+
 
 def ancestry(branches: DataFrame, depth: int = 100) -> DataFrame:
     """(branch, owner, distance): each branch, itself at 0, and its ancestors.
 
-    Few rows: a table of branches, not of files; a cycle ends at the depth.
+    A table of branches, not of files: few rows pass the driver, more are written. A cycle ends at the depth.
     """
     at = branches.select(F.col("name").alias("branch"), F.col("name").alias("owner"), F.lit(0).alias("distance"))
     out, step = at, at
     up = branches.where("parent IS NOT NULL").select(F.col("name").alias("__n"), F.col("parent").alias("__p"))
     for k in range(1, depth + 1):
         step = step.join(up, F.col("owner") == F.col("__n")).select("branch", F.col("__p").alias("owner"), F.lit(k).alias("distance"))
-        rows = step.collect()  # branches, a small administrative table
+        rows = step.limit(FEW + 1).collect()
         if not rows:
             break
-        step = step.sparkSession.createDataFrame(rows, step.schema)
+        step = step.sparkSession.createDataFrame(rows, step.schema) if len(rows) <= FEW else settled(step, "ancestry")
         out = out.unionByName(step)
     return out
 
@@ -29,7 +31,7 @@ def resolve(files: DataFrame, branches: DataFrame) -> DataFrame:
 
     The nearest owner wins: a partial aggregate of the least distance, no window.
     """
-    rows = files.withColumnRenamed("branch", "owner").join(F.broadcast(ancestry(branches)), "owner")
+    rows = files.withColumnRenamed("branch", "owner").join(few(ancestry(branches)), "owner")
     best = rows.groupBy("branch", "file_id").agg(F.min(F.struct("distance", "owner", "size", "deleted", "commit")).alias("v"))
     return best.select("branch", "file_id", "v.owner", "v.size", "v.deleted", "v.commit")
 
@@ -56,7 +58,7 @@ def snapshot(files: DataFrame) -> DataFrame:
 def dirty(files: DataFrame, branches: DataFrame) -> DataFrame:
     """(branch, file_id, kind) of a branch's own rows against its parent's view: added, changed or deleted."""
     view = resolve(files, branches).where("NOT deleted").select(F.col("branch").alias("__p"), F.col("file_id").alias("__f"))
-    own = files.join(F.broadcast(branches.withColumnRenamed("name", "branch")), "branch")
+    own = files.join(few(branches.withColumnRenamed("name", "branch")), "branch")
     out = own.join(view, (F.col("parent") == F.col("__p")) & (F.col("file_id") == F.col("__f")), "left")
     there = F.col("__f").isNotNull()
     return out.select("branch", "file_id", F.when(F.col("deleted"), "deleted").when(there, "changed").otherwise("added").alias("kind"))

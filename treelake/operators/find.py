@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from treelake.functions import paths, patterns, scalars
+from treelake.sources.snapshots import settled
 
 
 @dataclass(frozen=True)
@@ -260,13 +261,14 @@ def batch_stat(files: DataFrame, requests: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, most: int = 40) -> DataFrame:
     """links: (path, target). (path, target, hops, error): the end of each chain, ELOOP after ``most`` hops.
 
-    Hops double each round (a link is replaced by its target's link), so rounds are logarithmic.
+    Hops double each round (a link is replaced by its target's link), so rounds are logarithmic; each is written, as the next reads it twice.
     """
     at = links.select("path", "target", F.lit(1).alias("hops"))
     done = 1
     while done < most:
         nxt = at.select(F.col("path").alias("p"), F.col("target").alias("t"), F.col("hops").alias("h"))
         at = at.join(nxt, F.col("target") == F.col("p"), "left").select("path", F.coalesce("t", "target").alias("target"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"))
+        at = settled(at, "links")
         done *= 2
     ends = links.select(F.col("path").alias("e")).distinct()
     out = at.join(ends, F.col("target") == F.col("e"), "left")

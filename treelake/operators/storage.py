@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelake.functions import paths
+from treelake.sources.snapshots import settled
 
 TIERS = ("hot", "warm", "cold")
 
@@ -216,12 +217,23 @@ def hot_pages(pages: DataFrame, accesses: int, tier: str | None = None) -> DataF
 def evict(pages: DataFrame, most: int, threshold: float = 0.9, target: float = 0.7, tier: str = "warm") -> DataFrame:
     """The oldest pages of a tier that go once it holds most * threshold of them, down to most * target.
 
-    How many is one count on the driver; which is a top-k, not a numbering of all pages in one task.
+    They grow with the table, so this is no top-k: pages are written in order over many tasks, and the counts of the
+    tasks tell where the cut is.
     """
     rows = pages.where(F.col("tier") == tier)
-    n = rows.count()
+    order = ["last_access_at", "page_key"]
+    ranked = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "pages")
+    # The upper bits of that id are the task, the lower 33 a row's place in it.
+    counts = sorted(ranked.groupBy(F.shiftright("__at", 33).alias("task")).count().collect())
+    n = sum(k for _, k in counts)
     go = n - int(most * target) if n >= int(most * threshold) else 0
-    return oldest(rows, go)
+    end = 0
+    for task, k in counts:
+        end = (task << 33) + min(go, k)
+        go -= min(go, k)
+        if go == 0:
+            break
+    return ranked.where(F.col("__at") < end).drop("__at")
 
 
 def promotable(pages: DataFrame, accesses: int, capacity: int) -> DataFrame:

@@ -7,7 +7,7 @@ gives the same result as the live run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelake.functions import patterns
@@ -87,13 +87,23 @@ def fold(types: Column) -> Column:
 def batch(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """(window, path, type, events, priority) for each tumbling window and path.
 
-    A window's events of one path are folded from an array; the closed form
-    needs only the last delete and the first create or rename after it, but the
-    array is bounded by a path's events in a window.
+    The type is what ``fold`` gives: after the last delete, the first create or rename, else the newest event. A table's
+    events are marked within their window and path, so no array of them is built, however many one path has. A stream
+    can't look back at rows: there it folds an array, kept in state, of a path's events in a window.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "type"))), lambda x: x["type"])
-    rows = events.groupBy(F.window("ts", width).alias("w"), "path").agg(ordered.alias("types"))
-    rows = rows.select(F.col("w.start").alias("window"), "path", fold(F.col("types")).alias("type"), F.size("types").alias("events"))
+    event = F.struct("ts", "event_id", "type")
+    if events.isStreaming:
+        ordered = F.transform(F.array_sort(F.collect_list(event)), lambda x: x["type"])
+        rows = events.groupBy(F.window("ts", width).alias("w"), "path").agg(ordered.alias("types"))
+        rows = rows.select("w", "path", fold(F.col("types")).alias("type"), F.size("types").cast("long").alias("events"))
+    else:
+        rows = events.select(F.window("ts", width).alias("w"), "path", event.alias("e"))
+        last = F.max(F.when(F.col("e.type") == "delete", F.col("e"))).over(Window.partitionBy("w", "path"))
+        rows = rows.withColumn("sticky", F.col("e.type").isin("create", "rename") & F.coalesce(F.col("e") > last, F.lit(True)))
+        rows = rows.groupBy("w", "path").agg(F.max("e").alias("newest"), F.min(F.when(F.col("sticky"), F.col("e"))).alias("first"), F.count("*").alias("events"))
+        kind = F.when(F.col("newest.type") == "delete", "delete").otherwise(F.when(F.col("first").isNotNull(), F.col("first.type")).otherwise(F.col("newest.type")))
+        rows = rows.select("w", "path", kind.alias("type"), "events")
+    rows = rows.select(F.col("w.start").alias("window"), "path", "type", "events")
     return rows.withColumn("priority", priority(F.col("type")))
 
 
