@@ -93,9 +93,12 @@ def glob(
     only_directories: bool = False,
     deep: int | None = None,
     absolute: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """(path), distinct and in code order, relative to cwd unless absolute.
 
+    Not ordered: rows as the scan finds them, without a shuffle; so it takes streams too, and a path comes as often as files hold it.
+
     Without dot, a path with a hidden segment is left out unless a pattern names a hidden one.
     """
     cwd = paths.normalize(cwd)
@@ -122,7 +125,8 @@ def glob(
         out = out.where("type = 'file'")
     if deep is not None:
         out = out.where(F.size(F.split(rel, "/")) <= deep)
-    return out.select((F.col("path") if absolute else rel).alias("path")).distinct().orderBy("path")
+    out = out.select((F.col("path") if absolute else rel).alias("path"))
+    return out.distinct().orderBy("path") if ordered else out
 
 
 def by_path(files: DataFrame, path: str) -> DataFrame:
@@ -276,6 +280,18 @@ def resolve_links(links: DataFrame, most: int = 40) -> DataFrame:
     return out.select("path", F.when(~loop, F.col("target")).alias("target"), F.when(~loop, F.col("hops")).alias("hops"), F.when(loop, "ELOOP").alias("error"))
 
 
+def readable(files: DataFrame, as_uid: int, as_gids: list[int]) -> DataFrame:
+    """files without the directories that the user may not read and search, and without all below them.
+
+    Directories alone look for barred ancestors; an entry then looks at its own directory only.
+    """
+    folders = files.where("type = 'directory'")
+    barred = folders.where(~scalars.access(F.col("mode"), F.col("uid"), F.col("gid"), 5, as_uid, as_gids, root_bypass=True)).select(F.col("path").alias("__b"))
+    above = folders.select(F.col("path").alias("__c"), F.explode(F.concat(paths.ancestors(F.col("path")), F.array("path"))).alias("__b"))
+    closed = above.join(barred, "__b", "left_semi").select("__c").distinct()
+    return files.join(closed, F.when(F.col("type") == "directory", F.col("path")).otherwise(F.col("parent")) == F.col("__c"), "left_anti")
+
+
 def permitted(requests: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """requests: (tenant, op, path); rules: (tenant, grant, pattern), an argument. Adds allowed.
 

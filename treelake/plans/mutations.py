@@ -173,6 +173,16 @@ def subscriptions(c: Catalog) -> DataFrame:
     return watch.match_subscriptions(c.watch_events, [("a", "/u/1*/*.dat"), ("b", "/u/**"), ("b", "/u/1*/*.dat"), ("c", "/u/7/0.dat")]).select("event_id", "connection")
 
 
+@query(
+    "w03_subscription_limit",
+    """WITH p AS (SELECT user_id AS connection, path AS pattern, min(event_id) AS place FROM watch_events GROUP BY 1, 2)
+SELECT connection, pattern, place FROM p QUALIFY row_number() OVER (PARTITION BY connection ORDER BY place) <= 2""",
+)
+def subscription_limit(c: Catalog) -> DataFrame:
+    asked = c.watch_events.select(F.col("user_id").alias("connection"), F.concat("path", F.lit("/")).alias("pattern"), "event_id")
+    return watch.accepted(asked, "event_id", 2)
+
+
 @query(
     "w04_watchers",
     "SELECT event_id, 'all' AS watcher, path[4:] AS filename FROM watch_events UNION ALL SELECT event_id, 'seven', string_split(path, '/')[-1] FROM watch_events WHERE starts_with(path, '/u/7/') UNION ALL SELECT event_id, 'one', '0.dat' FROM watch_events WHERE path = '/u/5/0.dat'",
@@ -222,6 +232,15 @@ def batch_metrics(c: Catalog) -> DataFrame:
     return watch.batch_metrics(c.watch_events, "1 day")
 
 
+@query(
+    "a18_batch_latency",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, path, epoch_us(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY) // 1000 - epoch_us(max(ts)) // 1000 AS ms FROM watch_events GROUP BY 1, 2)
+SELECT count(*) / count(DISTINCT b) AS average_size, sum(ms) / count(*) AS average_latency_ms, count(*) / (epoch(max(b) - min(b)) + 86400) AS per_second FROM w""",
+)
+def batch_latency(c: Catalog) -> DataFrame:
+    return watch.batch_latency(c.watch_events, "1 day")
+
+
 def _turns(key: str) -> str:
     """Events numbered within a key, for the SQL that takes them in turn."""
     return f"e AS (SELECT event_id, {key} AS key, path, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM watch_events)"

@@ -230,6 +230,23 @@ def glob(c: Catalog) -> DataFrame:
     return ops.glob(c.files, ["docs/**/*.txt", "web/*5.html"], ignore=["docs/src1/**"])
 
 
+@query("p13_glob_stream", "SELECT path[2:] AS path FROM files WHERE type = 'file' AND NOT regexp_matches(path, '/\\.') AND starts_with(path, '/chat/') AND path LIKE '%.md'")
+def glob_stream(c: Catalog) -> DataFrame:
+    return ops.glob(c.files, ["chat/**/*.md"], ordered=False)
+
+
+@query(
+    "p10_readable",
+    """WITH f AS (SELECT * REPLACE (CASE WHEN path IN ('/docs/src1', '/chat/3') OR path LIKE '/docs/src2/%' AND type = 'directory' THEN 448 ELSE mode END AS mode) FROM files),
+b AS (SELECT path FROM f WHERE type = 'directory' AND uid <> 2 AND (mode & 5) <> 5)
+SELECT path, type FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE f.path = b.path OR starts_with(f.path, b.path || '/'))""",
+)
+def readable(c: Catalog) -> DataFrame:
+    path = F.col("path")
+    closed = path.isin("/docs/src1", "/chat/3") | (path.startswith("/docs/src2/") & (F.col("type") == "directory"))
+    return ops.readable(c.files.withColumn("mode", F.when(closed, 448).otherwise(F.col("mode"))), 2, [9]).select("path", "type")
+
+
 @query("p12_glob_dot", "SELECT DISTINCT path AS path FROM files WHERE type = 'file' AND regexp_matches(path, '^/chat/[^/]*/\\.0-[^/]*\\.md$')")
 def glob_dot(c: Catalog) -> DataFrame:
     return ops.glob(c.files, ["*/.0-*.md"], cwd="/chat", absolute=True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelake.functions import patterns
+from treelake.functions import paths, patterns
 from treelake.streaming import sequential
 
 PRIORITY = {"delete": 3, "rename": 2, "create": 1, "modify": 0}
@@ -36,6 +36,18 @@ def match_subscriptions(events: DataFrame, subscriptions: list[tuple[str, str]])
     return events.withColumn("connection", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull()))) if hits else events.withColumn("connection", F.lit("")).where("false")
 
 
+def accepted(requests: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """requests: (connection, pattern, order). Those that become subscriptions: (connection, pattern, place).
+
+    Patterns are normalised; a connection's repeated pattern is refused, as are those after its first ``most`` (0: no limit).
+    """
+    rows = requests.groupBy("connection", paths.normalize_col(F.col("pattern")).alias("pattern")).agg(F.min(order).alias("place"))
+    if most == 0:
+        return rows
+    turn = F.row_number().over(Window.partitionBy("connection").orderBy("place", "pattern"))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn")
+
+
 def match_watchers(events: DataFrame, watchers: list[tuple[str, str, bool]]) -> DataFrame:
     """watchers: (name, path, recursive). Adds watcher and filename relative to it."""
     hits = []
@@ -114,6 +126,19 @@ def batch_metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return by_window.agg(F.sum("received").alias("received"), F.sum("emitted").alias("emitted"), F.count("*").alias("batches"), (F.sum("received") / F.sum("emitted")).alias("compression"))
 
 
+def batch_latency(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """(average_size, average_latency_ms, per_second) over all batches, null without events.
+
+    Latency runs from a path's last event in a window to the window's end, when its batch goes; the rate is of emitted
+    events from the first window's start to the last one's end.
+    """
+    rows = events.groupBy(F.window("ts", width).alias("w"), "path").agg(F.max("ts").alias("last"))
+    rows = rows.withColumn("ms", F.unix_millis("w.end") - F.unix_millis("last"))
+    by_window = rows.groupBy("w").agg(F.count("*").alias("emitted"), F.sum("ms").alias("ms"))
+    seconds = (F.unix_millis(F.max("w.end")) - F.unix_millis(F.min("w.start"))) / 1000
+    return by_window.agg((F.sum("emitted") / F.count("*")).alias("average_size"), (F.sum("ms") / F.sum("emitted")).alias("average_latency_ms"), (F.sum("emitted") / seconds).alias("per_second"))
+
+
 def stream_batches(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """batch on a stream, with a watermark for late events."""
     return batch(events.withWatermark("ts", late), width)
