@@ -234,7 +234,7 @@ def batch_metrics(c: Catalog) -> DataFrame:
 
 @query(
     "a18_batch_latency",
-    """WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, path, epoch_us(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY) // 1000 - epoch_us(max(ts)) // 1000 AS ms FROM watch_events GROUP BY 1, 2)
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, path, epoch_us(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY) // 1000 - epoch_us(min(ts)) // 1000 AS ms FROM watch_events GROUP BY 1, 2)
 SELECT count(*) / count(DISTINCT b) AS average_size, sum(ms) / count(*) AS average_latency_ms, count(*) / (epoch(max(b) - min(b)) + 86400) AS per_second FROM w""",
 )
 def batch_latency(c: Catalog) -> DataFrame:

@@ -129,11 +129,11 @@ def batch_metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
 def batch_latency(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """(average_size, average_latency_ms, per_second) over all batches, null without events.
 
-    Latency runs from a path's last event in a window to the window's end, when its batch goes; the rate is of emitted
+    Latency runs from a path's first event in a window to the window's end, when its batch goes; the rate is of emitted
     events from the first window's start to the last one's end.
     """
-    rows = events.groupBy(F.window("ts", width).alias("w"), "path").agg(F.max("ts").alias("last"))
-    rows = rows.withColumn("ms", F.unix_millis("w.end") - F.unix_millis("last"))
+    rows = events.groupBy(F.window("ts", width).alias("w"), "path").agg(F.min("ts").alias("first"))
+    rows = rows.withColumn("ms", F.unix_millis("w.end") - F.unix_millis("first"))
     by_window = rows.groupBy("w").agg(F.count("*").alias("emitted"), F.sum("ms").alias("ms"))
     seconds = (F.unix_millis(F.max("w.end")) - F.unix_millis(F.min("w.start"))) / 1000
     return by_window.agg((F.sum("emitted") / F.count("*")).alias("average_size"), (F.sum("ms") / F.sum("emitted")).alias("average_latency_ms"), (F.sum("emitted") / seconds).alias("per_second"))
