@@ -207,6 +207,51 @@ def test_existence_filter(spark):
     assert sum(rows[k] for k in range(2000, 6000)) < 4000 * 0.03
 
 
+def test_existence_filter_sends_each_key_once(spark):
+    """Neither positions nor partial bitmaps travel, so that what is shuffled grows as the keys do, whatever the filter's size."""
+    from treelake.operators import storage
+
+    def sent(n):
+        held = storage.existence_filter(spark.range(0, n, 1, 16).selectExpr("concat('k', id) AS k"), "k", n)
+        asked = spark.range(0, 3 * n, 1, 16).selectExpr("concat('k', id) AS k", "id")
+        row = storage.may_exist(asked, "k", held).selectExpr(f"count_if(id < {n} AND NOT may_exist)", f"count_if(id >= {n} AND may_exist)", "count(*)").first()
+        assert row[0] == 0 and row[1] < 2 * n * 0.013 and row[2] == 3 * n
+        return shuffled(spark)
+
+    shuffled(spark)
+    records, size = sent(20_000)
+    more, larger = sent(200_000)
+    assert records <= 4.1 * 20_000 and more <= 4.1 * 200_000 and larger < 11 * size
+
+
+_COUNTED = set()
+
+
+def shuffled(spark):
+    """(records, bytes) written to shuffles since the last call."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    new = [s for s in map(stages.apply, range(stages.size())) if s.stageId() not in _COUNTED]
+    _COUNTED.update(s.stageId() for s in new)
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+def test_existence_filter_edges(spark):
+    """Null keys are neither held nor found, asked copies stay, names with dots and columns of any type pass; nothing held gives nothing."""
+    from treelake.operators import storage
+
+    keys = spark.createDataFrame([("a",), ("a",), (None,), ("",)], "k string")
+    asked = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("", 3), ("zz", 4)], "k string, `x.y` int")
+    for rate in (0.5, 0.01, 1e-9):
+        got = storage.may_exist(asked, "k", storage.existence_filter(keys, "k", 3, rate))
+        assert got.columns == ["k", "x.y", "may_exist"]
+        assert sorted(tuple(r) for r in got.where("k <> 'zz' OR k IS NULL").collect() if r[0] is not None) == [("", 3, True), ("a", 1, True), ("a", 1, True)]
+        assert [r["may_exist"] for r in got.where("k IS NULL").collect()] == [None]
+    none = storage.may_exist(asked, "k", storage.existence_filter(keys.where("false"), "k", 0))
+    assert sorted((r["x.y"], r["may_exist"]) for r in none.collect()) == [(1, False), (1, False), (2, None), (3, False), (4, False)]
+
+
 PARTS = st.lists(st.sampled_from(["a", "..", ".", "", " ", "b c", "%00", "\\0", "\t", "é", "　", "x" * 50]), max_size=8)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -315,34 +316,52 @@ def flush_extents(dirty: DataFrame, pages_each: int) -> DataFrame:
     return out.withColumn("checksum", F.sha2("data", 256))
 
 
+#: Positions of a block for each hash: all positions of a key are in one block, so that keys and blocks meet by an equality of their numbers.
+SLICE_BITS = 4096
+
+
 def existence_filter(rows: DataFrame, key: str, expected: int, rate: float = 0.01) -> tuple[DataFrame, int, int]:
-    """A Bloom filter as bitmaps of 32,768 positions each: (bucket, bits), positions in all, hashes of a key.
+    """A Bloom filter as blocks of SLICE_BITS positions for each hash: (bucket, bits: longs), blocks in all, hashes of a key.
 
-    Positions m = -n ln p / (ln 2)^2, hashes m / n ln 2.
+    Positions m = -n ln p / (ln 2)^2, rounded up to whole blocks, hashes m / n ln 2. A key is shuffled once, as one hash; the bits
+    are set where its block is, as maps with partial bitmaps would each send the whole filter.
     """
     import math
 
     m = max(8, math.ceil(-expected * math.log(rate) / math.log(2) ** 2))
     k = max(1, round(m / max(expected, 1) * math.log(2)))
-    at = rows.select(F.explode(_positions(F.col(key), m, k)).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")), m, k
+    blocks = math.ceil(m / (k * SLICE_BITS))
+    h = F.col("h")
+    keys = rows.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).select("h", _bucket(h, blocks).alias("bucket")).repartition("bucket")
+    slices = [F.substring(F.bitmap_construct_agg(_position(h, j)), 1, SLICE_BITS // 8) for j in range(k)]
+    long = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    blocked = keys.groupBy("bucket").agg(F.concat(*slices).alias("bits"))
+    return blocked.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(k * SLICE_BITS // 64 - 1)), long).alias("bits")), blocks, k
+
 
+def _bucket(h: Column, blocks: int) -> Column:
+    return F.pmod(h, F.lit(blocks).cast("long"))
 
-def _positions(key: Column, m: int, k: int) -> Column:
-    # Two hashes give all positions; a position counts from 1, as bitmap buckets do.
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    return F.array(*(F.pmod(a.bitwiseAND(F.lit((1 << 40) - 1)) + b.bitwiseAND(F.lit((1 << 40) - 1)) * j, F.lit(m)) + 1 for j in range(k)))
+
+def _position(h: Column, j: int) -> Column:
+    """Position of the j-th hash in its slice of the block."""
+    return F.xxhash64(h, F.lit(j)).bitwiseAND(F.lit(SLICE_BITS - 1).cast("long"))
 
 
 def may_exist(requests: DataFrame, key: str, held: tuple[DataFrame, int, int]) -> DataFrame:
-    """requests with may_exist: false only for keys that were never put in."""
-    bitmaps, m, k = held
-    asked = requests.select(key).distinct().select(key, F.explode(_positions(F.col(key), m, k)).alias("at"))
-    asked = asked.withColumn("bucket", F.bitmap_bucket_number("at")).join(bitmaps, "bucket", "left")
-    pos = F.bitmap_bit_position("at")
-    byte = F.conv(F.hex(F.substring("bits", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))
-    return requests.join(asked.withColumn("hit", hit).groupBy(key).agg(F.bool_and("hit").alias("may_exist")), key, "left")
+    """requests with may_exist: false only for keys that were never put in, null for null keys.
+
+    A request is shuffled once, to its key's block, and isn't sorted; a task holds its share of the blocks.
+    """
+    filled, blocks, k = held
+    h = F.col("__h")
+    asked = requests.withColumn("__h", F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+    filled = filled.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    found = asked.join(filled.hint("shuffle_hash"), _bucket(h, blocks) == F.col("__bucket"), "left")
+    # A long holds eight bytes, the first of them highest.
+    hits = [F.getbit(F.get("__bits", (F.lit(j * SLICE_BITS // 64) + F.shiftright(_position(h, j), 6)).cast("int")), _position(h, j).bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56)).cast("int")) == 1 for j in range(k)]
+    hit = F.coalesce(reduce(Column.__and__, hits), F.lit(False))
+    return found.withColumn("may_exist", F.when(h.isNotNull(), hit)).drop("__h", "__bucket", "__bits")
 
 
 def compression_stats(contents: DataFrame) -> DataFrame:
