@@ -191,6 +191,30 @@ def test_training_raises_likelihood():
         model = hmm.Model.estimated((starts, moves, emits), totals, strength=1.0)
 
 
+def test_words_of_the_model_are_the_patterns_words_at_less_cost():
+    import time
+
+    odd = ["", " ", "A\x0bB\x0cc\r\nD\te", "x\x1cy\x1dz\x1e\x1f", "n\x85b\xa0c\u2003d\u3000e", "\x00\x00 Z", "ÉCOLE Straße \u212aELVIN \U0001d400 İi", None]
+    for t in odd:
+        assert [w.decode() for w in hmm.words_of(None if t is None else t.encode())] == words(t)
+    rnd = random.Random(6)
+    text = " ".join(rnd.choices(["Größe", "naïve", "The", "of", "élève", "Data"], k=400_000))
+    data, began = text.encode(), time.process_time()
+    want = words(text)
+    middle = time.process_time()
+    got = hmm.words_of(data)
+    assert time.process_time() - middle < (middle - began) / 2
+    assert [w.decode() for w in got] == want and len(want) == 400_000
+
+
+def test_hmm_scores_bytes_that_are_no_text(spark):
+    """Strings of a table may hold bytes that aren't UTF-8: they are words as any other."""
+    df = spark.createDataFrame([(k, b"a b \xff\xfe c" if k % 2 else b"a a b") for k in range(12)], "doc_id long, text binary")
+    rows = hmm.score(df.selectExpr("doc_id", "CAST(text AS string) AS text"), F.lit(False)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in rows} == {k: (5, 5) if k % 2 else (4, 4) for k in range(12)}
+    assert all(r["score"] < 0 for r in rows)
+
+
 def test_hmm_edges(edge):
     rows = hmm.score(edge, F.col("doc_id") == 6).collect()
     assert len(rows) == edge.count()

@@ -18,7 +18,7 @@ are joined with the table of counts by word. A frequent word is thus never a hot
 key of that join, and no word's count is lost.
 
 Defined cases: a null or empty text is the end token alone; words are runs
-without ASCII white space, A-Z in lower case; rows with a null id are scored
+without ASCII white space, A-Z in lower case, as bytes of UTF-8; rows with a null id are scored
 and, as their remainder is null, learned from; repeated rows are scored one by
 one; with nothing to learn from, every base and model probability is defined by
 zero counts; an empty table gives an empty result.
@@ -26,12 +26,11 @@ zero counts; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm._arrow import col, lower_ascii, slices
+from treelake.llm._arrow import col, slices
 from treelake.llm._spark import most_frequent, written
 
 STATES, OWN, BUCKETS = 8, 8192, 4096
@@ -48,17 +47,17 @@ INITIAL, INITIAL_STEPS, PASSES = 300, 12, 2
 #: Cells (steps times sequences) side by side in training and in scoring.
 CELLS, SCORE_CELLS = 1 << 19, 1 << 21
 SLICE = 8 << 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 END = OWN + BUCKETS
 CLASSES = END + 1
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(lower_ascii(text)) if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    """Bytes know no letters and no white space but ASCII's: A-Z, and 0x20 and 0x09 to 0x0D, none of which is part of another character in UTF-8."""
+    return text.lower().split() if text else []
 
 
-def bucket(word: str) -> int:
-    return OWN + zlib.crc32(word.encode()) % BUCKETS
+def bucket(word: str | bytes) -> int:
+    return OWN + zlib.crc32(word.encode() if isinstance(word, str) else word) % BUCKETS
 
 
 def blocks(sequences: list[np.ndarray], cells: int, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,6 +163,14 @@ class Model:
         return forward, scale, seen
 
 
+def _bytes(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+
+
+def _strings(words: Iterable[bytes]) -> pa.Array:
+    return pa.array(list(words), pa.binary()).view(pa.string())
+
+
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts, pre-counted in each slice of texts before the shuffle."""
 
@@ -171,9 +178,9 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(0), SLICE):
                 n = Counter()
-                for t in batch.column(0).slice(a, b - a).to_pylist():
+                for t in _bytes(batch.column(0).slice(a, b - a)):
                     n.update(words_of(t))
-                yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([_strings(n.keys()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     return df.select(col(text_col).cast("string").alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -187,7 +194,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     texts = train.count()
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = (whole["n"] or 0) + texts, whole["v"] + (texts > 0)
-    top = most_frequent(counts, LOOKUP).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+    top = most_frequent(counts, LOOKUP).select(F.col("word").cast("binary").alias("word"), "n").toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     own = dict(zip(top["word"][:OWN], range(OWN)))
     by_bucket = counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("t"), F.count("*").alias("v")).toPandas()
     totals = np.zeros(CLASSES)
@@ -248,16 +255,15 @@ def unpack(classes: bytes) -> np.ndarray:
 class Encoder:
     """Texts to classes, with what the lookup table knows of their words."""
 
-    def __init__(self, words: list[str], logs: np.ndarray) -> None:
+    def __init__(self, words: list[bytes], logs: np.ndarray) -> None:
         self.code = dict(zip(words, range(len(words))))
         self.logs = np.append(logs, 0.0)  # the last is for rarer words
         own = len(words[:OWN])
         self.classes = np.array([*range(own), *(bucket(w) for w in words[own:]), 0], np.uint16)
         #: What a known word adds to the model's score beside its class.
         self.extra = np.where(np.arange(len(self.logs)) < own, 0.0, self.logs)
-        self.buckets: dict[str, int] = {}
 
-    def text(self, text: str | None) -> tuple[bytes, int, int, float, float, list[str], list[int]]:
+    def text(self, text: bytes | None) -> tuple[bytes, int, int, float, float, list[bytes], list[int]]:
         words = words_of(text)
         rest = len(self.logs) - 1
         codes = np.fromiter(map(self.code.get, words, repeat(rest)), np.int32, len(words))
@@ -265,19 +271,10 @@ class Encoder:
         classes[:-1] = self.classes[codes]
         classes[-1] = END
         at = np.flatnonzero(codes == rest)
-        rare: dict[str, int] = {}
+        rare: dict[bytes, int] = {}
         if len(at):
-            known = self.buckets
-            some = [words[k] for k in at]
-            ids = []
-            for w in some:
-                k = known.get(w)
-                if k is None:
-                    if len(known) > 1 << 19:
-                        known.clear()
-                    k = known[w] = bucket(w)
-                ids.append(k)
-            classes[at] = ids
+            some = [words[k] for k in at.tolist()]
+            classes[at] = np.fromiter(map(zlib.crc32, some), np.uint32, len(some)) % BUCKETS + OWN
             rare = Counter(some)
         return classes.tobytes(), len(words) + 1, len(words) - len(at), float(self.logs[codes].sum()), float(self.extra[codes].sum()), list(rare), list(rare.values())
 
@@ -295,7 +292,7 @@ def _encode(lookup):
         encoder, row = _ENCODER[name], TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE // 2):
-                classes, tokens, known, base, extra, w, k = zip(*map(encoder.text, batch.column(1).slice(a, b - a).to_pylist()))
+                classes, tokens, known, base, extra, w, k = zip(*map(encoder.text, _bytes(batch.column(1).slice(a, b - a))))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in w])]).astype(np.int32)
                 # A row's own key, as ids may be null or repeat; a repeated task gives the same keys.
                 u = np.arange(row, row + b - a)
@@ -310,7 +307,7 @@ def _encode(lookup):
                         pa.array(base, pa.float64()),
                         pa.array(extra, pa.float64()),
                         pa.array(classes, pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array([x for y in w for x in y], pa.string())),
+                        pa.ListArray.from_arrays(offsets, _strings(chain.from_iterable(w))),
                         pa.ListArray.from_arrays(offsets, pa.array([x for y in k for x in y], pa.int32())),
                     ],
                     names=["u", "i", "h", "n_tokens", "n_known", "base", "extra", "classes", "w", "k"],
